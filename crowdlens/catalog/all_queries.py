@@ -1,6 +1,12 @@
 """Imports every query module, so that the registry is complete."""
 
-from crowdlens.catalog import signal_queries  # noqa: F401
+from crowdlens.catalog import (  # noqa: F401
+    ingest_queries,
+    label_queries,
+    metric_queries,
+    signal_queries,
+    text_queries,
+)
 from crowdlens.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

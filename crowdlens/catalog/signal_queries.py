@@ -372,7 +372,7 @@ _ROBUST = ("burstiness", "rating_extremity", "deviation")
   SELECT {', '.join(f'quantile_disc(abs(s_{name} - m_{name}), 0.5) AS d_{name}' for name in _ROBUST)}
   FROM shrunk CROSS JOIN medians
 )
-SELECT user_id, {', '.join(f'round((s_{name} - m_{name}) / d_{name}, 4) AS z_{name}' for name in _ROBUST)}
+SELECT user_id, {', '.join(f'round(round((s_{name} - m_{name}) / d_{name}, 7), 4) AS z_{name}' for name in _ROBUST)}
 FROM shrunk CROSS JOIN medians CROSS JOIN spread""")
 def robust_z(spark, sf):
     """The older scaling on signals it can scale (duplication is mostly zero and would be refused)."""

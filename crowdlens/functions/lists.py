@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def clean_list(text: Column, sep: str = ",") -> Column:
     """Trimmed, non-empty items; null becomes an empty array."""
-    items = F.filter(F.transform(F.split(text, re.escape(sep)), F.trim), lambda item: F.length(item) > 0)
+    items = F.filter(F.transform(F.split(text, re.escape(sep)), lambda item: F.trim(item)), lambda item: F.length(item) > 0)
     return F.coalesce(items, F.array().cast("array<string>"))
 
 
