@@ -69,7 +69,7 @@ labelled AS (
   SELECT review_id, business_id, r.user_id, text, CAST(length(text) AS INT) AS text_len, review_date,
          stars AS review_stars, labels, n_labels, review_count AS user_review_count, fans AS user_fans,
          CAST(review_date - yelping_since AS INT) AS account_age_days_at_review,
-         round(stars - coalesce(average_stars, stars), 6) AS star_deviation_from_user_mean,
+         round(stars - coalesce(average_stars, stars) + 1e-10, 6) AS star_deviation_from_user_mean,
          CAST(CASE WHEN friends = 'None' THEN 0 ELSE len(string_split(friends, ',')) END AS INT) AS friend_count,
          {_split_sql('business_id::VARCHAR')} AS split
   FROM review r JOIN vectors USING (business_id) LEFT JOIN user_profile u ON u.user_id = r.user_id
@@ -93,7 +93,7 @@ pairs AS (
   SELECT a.idx AS idx_a, b.idx AS idx_b, count(*) AS n_both FROM flags a JOIN flags b
   ON a.business_id = b.business_id AND a.idx < b.idx AND a.flag = 1 AND b.flag = 1 GROUP BY ALL
 )
-SELECT idx_a, idx_b, n_both, round(n_both / (a.c + b.c - n_both), 6) AS jaccard
+SELECT idx_a, idx_b, n_both, round(n_both / (a.c + b.c - n_both) + 1e-10, 6) AS jaccard
 FROM pairs JOIN totals a ON a.idx = idx_a JOIN totals b ON b.idx = idx_b""")
 def label_cooccurrence(spark, sf):
     return rounded(labels.label_cooccurrence(labels.attach_labels(listed_businesses(spark, sf), categories(spark, sf))))
@@ -138,7 +138,7 @@ def split_summary(spark, sf):
   SELECT business_id, count(DISTINCT split) AS s, min(split) AS low FROM labelled GROUP BY business_id
 )
 SELECT count(*) AS groups, count_if(s > 1)::BIGINT AS leaking_groups,
-       round(avg(CASE WHEN low = 'test' THEN 1.0 ELSE 0.0 END), 6) AS test_share FROM sides""")
+       round(avg(CASE WHEN low = 'test' THEN 1.0 ELSE 0.0 END) + 1e-10, 6) AS test_share FROM sides""")
 def split_leakage(spark, sf):
     return rounded(split.split_leakage(labelled_reviews(spark, sf)))
 
@@ -153,7 +153,7 @@ def split_slice(spark, sf):
 
 @query("label_prevalence", f"""WITH {CTE_DOCUMENT}, scores AS ({' UNION ALL '.join(
     f'SELECT {j} AS idx, {term} AS y FROM labelled' for j, term in enumerate(LABEL_TERMS))})
-SELECT idx, count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS positives, round(avg(y), 6) AS prevalence,
+SELECT idx, count(*) AS n_rows, CAST(sum(y) AS BIGINT) AS positives, round(avg(y) + 1e-10, 6) AS prevalence,
        sum(y) = 0 OR sum(y) = count(*) AS is_constant FROM scores GROUP BY idx""")
 def label_prevalence(spark, sf):
     return rounded(labels.label_prevalence(tables.labelled_documents(spark, sf)))
@@ -163,8 +163,8 @@ def label_prevalence(spark, sf):
     f'SELECT {j} AS idx, {term} AS y FROM labelled' for j, term in enumerate(LABEL_TERMS))}),
 counts AS (SELECT idx, CAST(sum(y) AS BIGINT) AS positives, (count(*) - sum(y)) / greatest(sum(y), 1) AS ratio
            FROM scores GROUP BY idx)
-SELECT idx, positives, round(least(greatest(ratio, 1.0), 20.0), 6)::DOUBLE AS pos_weight,
-       CASE WHEN positives > 0 THEN round(greatest(ratio, 1.0), 6)::DOUBLE END AS scale_pos_weight FROM counts""")
+SELECT idx, positives, round(least(greatest(ratio, 1.0), 20.0)::DOUBLE + 1e-10, 6) AS pos_weight,
+       CASE WHEN positives > 0 THEN round(greatest(ratio, 1.0)::DOUBLE + 1e-10, 6) END AS scale_pos_weight FROM counts""")
 def label_class_weights(spark, sf):
     prevalence = labels.label_prevalence(tables.labelled_documents(spark, sf))
     return rounded(labels.label_class_weights(prevalence))

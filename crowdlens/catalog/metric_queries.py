@@ -95,9 +95,9 @@ deltas AS (
   FROM b_per_label b JOIN a_per_label a USING (label)
   WHERE a.average_precision IS NOT NULL AND b.average_precision IS NOT NULL
 )
-SELECT count(*) AS n_labels, round(regr_slope(delta, x), 6) AS slope, round(corr(delta, x), 6) AS r,
-       round(avg(delta), 6) AS mean_delta, round(avg(delta) FILTER (prevalence < 0.01), 6) AS mean_delta_rare,
-       round(avg(delta) FILTER (prevalence >= 0.10), 6) AS mean_delta_common FROM deltas""")
+SELECT count(*) AS n_labels, round(regr_slope(delta, x) + 1e-10, 6) AS slope, round(corr(delta, x) + 1e-10, 6) AS r,
+       round(avg(delta) + 1e-10, 6) AS mean_delta, round(avg(delta) FILTER (prevalence < 0.01) + 1e-10, 6) AS mean_delta_rare,
+       round(avg(delta) FILTER (prevalence >= 0.10) + 1e-10, 6) AS mean_delta_common FROM deltas""")
 def label_delta_regression(spark, sf):
     scores = document_scores(spark, sf)
     return rounded(metrics.label_delta_regression(
@@ -138,15 +138,15 @@ def arm_comparison(spark, sf):
          max(macro_average_precision) FILTER (arm = 'linear_svd_meta') AS d,
          max(macro_average_precision) FILTER (arm = 'trees_svd_meta') AS t FROM arms
 )
-SELECT test_rows, round(s - t, 6) AS total_gap, round(s - d, 6) AS representation_gap, round(d - t, 6) AS model_gap,
-       round((s - d) / (s - t), 6) AS representation_share FROM wide""")
+SELECT test_rows, round(s - t + 1e-10, 6) AS total_gap, round(s - d + 1e-10, 6) AS representation_gap, round(d - t + 1e-10, 6) AS model_gap,
+       round((s - d) / (s - t) + 1e-10, 6) AS representation_share FROM wide""")
 def gap_decomposition(spark, sf):
     return rounded(metrics.gap_decomposition(arms(spark, sf), "linear_tfidf", "linear_svd_meta", "trees_svd_meta"))
 
 
 @query("metrics_upsert", f"""WITH {CTE_ARMS}
 SELECT arm, CASE WHEN arm = 'trees_svd_meta' THEN 'first' ELSE 'second' END AS run,
-       round(CASE WHEN arm = 'trees_svd_meta' THEN macro_average_precision ELSE micro_average_precision END, 6) AS value
+       round(CASE WHEN arm = 'trees_svd_meta' THEN macro_average_precision ELSE micro_average_precision END + 1e-10, 6) AS value
 FROM arms""")
 def metrics_upsert(spark, sf):
     """A second run reports two of three arms; the third keeps its first result."""
@@ -187,21 +187,21 @@ def validate_reviews(spark, sf):
     return rejected.select("doc_id", F.col("errors")[0]["pointer"].alias("first_error"))
 
 
-@query("latency_summary", """SELECT event_type, count(value) AS n, round(avg(value), 2) AS mean_ms,
-       round(round(quantile_cont(value, 0.5), 5), 2) AS p50_ms, round(round(quantile_cont(value, 0.95), 5), 2) AS p95_ms,
-       round(round(quantile_cont(value, 0.99), 5), 2) AS p99_ms, round(max(value), 2) AS max_ms
+@query("latency_summary", """SELECT event_type, count(value) AS n, round(avg(value) + 1e-10, 2) AS mean_ms,
+       round(quantile_cont(value, 0.5) + 1e-10, 2) AS p50_ms, round(quantile_cont(value, 0.95) + 1e-10, 2) AS p95_ms,
+       round(quantile_cont(value, 0.99) + 1e-10, 2) AS p99_ms, round(max(value) + 1e-10, 2) AS max_ms
 FROM events GROUP BY event_type""")
 def latency_summary(spark, sf):
-    found = latency.latency_summary(tables.read(spark, sf, "events"), "value", ["event_type"], dp=5)
-    return found.withColumns({name: F.round(name, 2) for name in found.columns if name.endswith("_ms")})
+    found = latency.latency_summary(tables.read(spark, sf, "events"), "value", ["event_type"], dp=9)
+    return rounded(found, dp=2)
 
 
-@query("latency_summary_overall", """SELECT count(value) AS n, round(avg(value), 2) AS mean_ms,
-       round(round(quantile_cont(value, 0.5), 5), 2) AS p50_ms, round(round(quantile_cont(value, 0.95), 5), 2) AS p95_ms,
-       round(round(quantile_cont(value, 0.99), 5), 2) AS p99_ms, round(max(value), 2) AS max_ms FROM events""")
+@query("latency_summary_overall", """SELECT count(value) AS n, round(avg(value) + 1e-10, 2) AS mean_ms,
+       round(quantile_cont(value, 0.5) + 1e-10, 2) AS p50_ms, round(quantile_cont(value, 0.95) + 1e-10, 2) AS p95_ms,
+       round(quantile_cont(value, 0.99) + 1e-10, 2) AS p99_ms, round(max(value) + 1e-10, 2) AS max_ms FROM events""")
 def latency_summary_overall(spark, sf):
-    found = latency.latency_summary(tables.read(spark, sf, "events"), "value", dp=5)
-    return found.withColumns({name: F.round(name, 2) for name in found.columns if name.endswith("_ms")})
+    found = latency.latency_summary(tables.read(spark, sf, "events"), "value", dp=9)
+    return rounded(found, dp=2)
 
 
 @query("latency_summary_sketch")
@@ -212,14 +212,14 @@ def latency_summary_sketch(spark, sf):
 ROLLING_N = 500
 
 
-@query("rolling_latency", f"""SELECT event_type, event_id, count(value) OVER w AS n, round(avg(value) OVER w, 4) AS mean_ms,
-       round(quantile_cont(value, 0.5) OVER w, 4) AS p50_ms, round(quantile_cont(value, 0.95) OVER w, 4) AS p95_ms,
-       round(quantile_cont(value, 0.99) OVER w, 4) AS p99_ms, round(max(value) OVER w, 4) AS max_ms
+@query("rolling_latency", f"""SELECT event_type, event_id, count(value) OVER w AS n, round(avg(value) OVER w + 1e-10, 4) AS mean_ms,
+       round(quantile_cont(value, 0.5) OVER w + 1e-10, 4) AS p50_ms, round(quantile_cont(value, 0.95) OVER w + 1e-10, 4) AS p95_ms,
+       round(quantile_cont(value, 0.99) OVER w + 1e-10, 4) AS p99_ms, round(max(value) OVER w + 1e-10, 4) AS max_ms
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN {ROLLING_N - 1} PRECEDING AND CURRENT ROW)""")
 def rolling_latency(spark, sf):
     events = tables.read(spark, sf, "events").select("event_type", "ts", "event_id", "value")
-    found = latency.rolling_latency(events, "event_type", ["ts", "event_id"], "value", ROLLING_N, dp=4, block=2 * ROLLING_N)
-    return found.drop("ts")
+    found = latency.rolling_latency(events, "event_type", ["ts", "event_id"], "value", ROLLING_N, dp=9, block=2 * ROLLING_N)
+    return rounded(found.drop("ts"), dp=4)
 
 
 _CURVE = """curve AS (
@@ -248,7 +248,7 @@ def throughput_knee(spark, sf):
 
 @query("sweep_pct_of_best", f"""WITH {_CURVE}
 SELECT event_type, batch_size, {six('throughput_per_sec')},
-       round(round(100.0 * throughput_per_sec / max(throughput_per_sec) OVER (PARTITION BY event_type), 9), 6) AS pct_of_best
+       round(100.0 * throughput_per_sec / max(throughput_per_sec) OVER (PARTITION BY event_type) + 1e-10, 6) AS pct_of_best
 FROM curve""")
 def sweep_pct_of_best(spark, sf):
     return rounded(latency.sweep_pct_of_best(throughput_curve(spark, sf), "throughput_per_sec", ["event_type"]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdlens.catalog import tables
-from crowdlens.catalog.registry import query, rounded, six
+from crowdlens.catalog.registry import query, rounded, rounded_sql, six
 from crowdlens.catalog.tables import CTE_REVIEW, CTE_USER
 from crowdlens.functions.numeric import AS241_CENTRE, AS241_FAR_TAIL, AS241_NEAR_TAIL, norm_ppf
 from crowdlens.operators import parity, scaler, scoring, signals, validation
@@ -151,7 +151,7 @@ def hash_repeats(spark, sf):
 
 @query("rating_deviation", f"""WITH {CTE_HISTORY}, {CTE_CONSENSUS}
 SELECT user_id, business_id, stars, {six('business_mean_stars')},
-       round(abs(stars - business_mean_stars), 6) AS star_gap
+       {rounded_sql('abs(stars - business_mean_stars)')} AS star_gap
 FROM history LEFT JOIN consensus USING (business_id)""")
 def rating_deviation(spark, sf):
     kept = history(spark, sf).select("user_id", "business_id", "stars")
@@ -162,7 +162,7 @@ def rating_deviation(spark, sf):
 
 @query("rating_deviation_leave_one_out", f"""WITH {CTE_HISTORY}, {CTE_CONSENSUS}
 SELECT user_id, business_id, stars,
-       round(abs(stars - (business_mean_stars * business_n_reviews - stars) / (business_n_reviews - 1)), 6) AS star_gap
+       round(abs(stars - (business_mean_stars * business_n_reviews - stars) / (business_n_reviews - 1)) + 1e-10, 6) AS star_gap
 FROM history LEFT JOIN consensus USING (business_id)""")
 def rating_deviation_leave_one_out(spark, sf):
     kept = history(spark, sf).select("user_id", "business_id", "stars")
@@ -248,10 +248,10 @@ def _as241(p: str) -> str:
 
 
 @query("norm_ppf", f"""WITH shares AS (SELECT doc_id, (n_chars + 0.5) / (n_chars + 40.0e0) AS p FROM documents)
-SELECT doc_id, round({_as241('p')}, 6) AS z FROM shares""")
+SELECT doc_id, round({_as241('p')} + 1e-10, 6) AS z FROM shares""")
 def norm_ppf_query(spark, sf):
     share = (F.col("n_chars") + 0.5) / (F.col("n_chars") + 40.0)
-    return tables.read(spark, sf, "documents").select("doc_id", F.round(norm_ppf(share), 6).alias("z"))
+    return tables.read(spark, sf, "documents").select("doc_id", F.round(norm_ppf(share) + 1e-10, 6).alias("z"))
 
 
 @query("rank_normalise", f"""WITH {CTE_SCORED}
@@ -279,7 +279,7 @@ _SUMS = ", ".join(
 @query("anomaly_scaler", f"""WITH {CTE_BREAKPOINTS}
 SELECT 'rank_normal' AS method, CAST({_POINTS} AS INT) AS cdf_points, 10.0::DOUBLE AS pseudo_count,
        -5.0::DOUBLE AS clip_low, 8.0::DOUBLE AS clip_high, {_SUMS},
-       {', '.join(f'round((SELECT {name} FROM priors), 6) AS prior_{name}' for name in SHRUNK_SIGNALS)}""")
+       {', '.join(f'round((SELECT {name} FROM priors) + 1e-10, 6) AS prior_{name}' for name in SHRUNK_SIGNALS)}""")
 def anomaly_scaler(spark, sf):
     """The persisted scaler, read back and summed up per signal."""
     fitted = scaler.fit_scaler(account_signals(spark, sf), PARAMS)
@@ -288,7 +288,7 @@ def anomaly_scaler(spark, sf):
         f"sum_{name}": F.round(F.aggregate(F.col("cdf_breakpoints")[name], F.lit(0.0), lambda a, b: a + b), 4)
         for name in SIGNALS
     }
-    prior = {f"prior_{name}": F.round(F.col("prior_mean")[name], 6) for name in SHRUNK_SIGNALS}
+    prior = {f"prior_{name}": F.round(F.col("prior_mean")[name] + 1e-10, 6) for name in SHRUNK_SIGNALS}
     return table.select(
         "method", "cdf_points", "pseudo_count", "clip_low", "clip_high",
         *[column.alias(name) for name, column in {**total, **prior}.items()],
@@ -372,7 +372,7 @@ _ROBUST = ("burstiness", "rating_extremity", "deviation")
   SELECT {', '.join(f'quantile_disc(abs(s_{name} - m_{name}), 0.5) AS d_{name}' for name in _ROBUST)}
   FROM shrunk CROSS JOIN medians
 )
-SELECT user_id, {', '.join(f'round(round((s_{name} - m_{name}) / d_{name}, 7), 4) AS z_{name}' for name in _ROBUST)}
+SELECT user_id, {', '.join(f'round((s_{name} - m_{name}) / d_{name} + 1e-10, 4) AS z_{name}' for name in _ROBUST)}
 FROM shrunk CROSS JOIN medians CROSS JOIN spread""")
 def robust_z(spark, sf):
     """The older scaling on signals it can scale (duplication is mostly zero and would be refused)."""

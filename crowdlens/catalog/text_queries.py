@@ -67,7 +67,7 @@ raw_weights AS (
   SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + df)) + 1) AS w
   FROM tokens JOIN stats USING (term)
 )
-SELECT doc_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)), 6) AS top_weight FROM raw_weights GROUP BY doc_id""")
+SELECT doc_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)) + 1e-10, 6) AS top_weight FROM raw_weights GROUP BY doc_id""")
 def tfidf_unbounded(spark, sf):
     """No limit on the vocabulary: frequent terms are broadcast, the others shuffled."""
     docs = tables.read(spark, sf, "documents")
@@ -90,7 +90,7 @@ _CHI2 = ", ".join(
 targets AS (SELECT doc_id, {_LABEL_COLUMNS} FROM labelled), shares AS (SELECT {_SHARES} FROM targets),
 sums AS (SELECT term, sum(w) AS f, {_SUMS} FROM weights JOIN targets USING (doc_id) GROUP BY term),
 scored AS (SELECT term, greatest({_CHI2}) AS chi2 FROM sums CROSS JOIN shares)
-SELECT term, round(round(chi2, 9), 6) AS chi2, CAST(row_number() OVER (ORDER BY round(chi2, 9) DESC, term) AS INT) AS rank
+SELECT term, round(round(chi2, 9) + 1e-10, 6) AS chi2, CAST(row_number() OVER (ORDER BY round(chi2, 9) DESC, term) AS INT) AS rank
 FROM scored ORDER BY round(chi2, 9) DESC, term LIMIT {SELECT_K}""")
 def chi2_select(spark, sf):
     docs = tables.labelled_documents(spark, sf)

@@ -68,10 +68,22 @@ def _accent_rules() -> tuple[str, str, tuple, tuple]:
     return "".join(single_from + marks), "".join(single_to), tuple(long_from), tuple(long_to)
 
 
+def _ranges(chars: tuple) -> str:
+    """A character class of sorted characters, with neighbours joined to ranges."""
+    runs: list[list[int]] = []
+    for code in map(ord, chars):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\u{first:04x}-\\u{last:04x}" for first, last in runs) + "]"
+
+
 def strip_accents(text: Column) -> Column:
     """Letters without their accents; ligatures and similar signs are written out.
 
-    The per-character map runs only on the rare rows that hold a sign with a longer form.
+    Plain texts pass unchanged after one quick scan, and the per-character map runs only on the rare rows
+    that hold a sign with a longer form.
     """
     singles_from, singles_to, long_from, long_to = _accent_rules()
     separator = "\x1f"
@@ -81,8 +93,12 @@ def strip_accents(text: Column) -> Column:
     written_out = F.array_join(
         F.transform(F.split(text, ""), lambda char: F.coalesce(F.try_element_at(table, char), char)), ""
     )
-    pattern = "[" + "".join(long_from) + "]"
-    return F.translate(F.when(text.rlike(pattern), written_out).otherwise(text), singles_from, singles_to)
+    has_long_form = text.rlike(r"[\u00bc-\u00be\u0100-\uffff]") & text.rlike(_ranges(long_from))
+    return (
+        F.when(~text.rlike(r"[^\x00-\x7f]"), text)
+        .when(has_long_form, F.translate(written_out, singles_from, singles_to))
+        .otherwise(F.translate(text, singles_from, singles_to))
+    )
 
 
 def words(text: Column, accents: bool = False) -> Column:
