@@ -4,6 +4,7 @@ from crowdlens.catalog import (  # noqa: F401
     ingest_queries,
     label_queries,
     metric_queries,
+    model_queries,
     signal_queries,
     text_queries,
 )

@@ -11,11 +11,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.mllib.linalg import SparseVector as MllibSparseVector
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from crowdlens.functions.numeric import finite_or_zero, logistic
+from crowdlens.functions.numeric import finite_or_zero
 from crowdlens.operators.labels import label_prevalence
 from crowdlens.operators.metrics import multilabel_report
 
@@ -43,12 +43,10 @@ def sparse_features(
     return docs.join(cells, id_col, "left").withColumn(out, to_vector("_cells")).drop("_cells")
 
 
-def _fit_each_label(
-    train: DataFrame, test: DataFrame, labels_col: str, keep: Sequence[str], estimator: Callable, parallel: int
-) -> DataFrame:
-    """Fit `estimator(label, positives, rows)` per label and score `test`; a label never seen scores 0.
+def fit_each_label(train: DataFrame, labels_col: str, estimator: Callable, parallel: int = 4) -> list:
+    """Fit `estimator(positives, rows)` per label, `parallel` at a time over one cached training table.
 
-    The training rows are cached while the labels share them. Returns `keep` and `scores` (array).
+    Entry j is a fitted model, or 0.0 / 1.0 for a label that never or always occurs.
     """
     cached = train.persist()
     try:
@@ -56,44 +54,49 @@ def _fit_each_label(
 
         def fit(j: int):
             row = stats[j]
-            if row.positives == 0:
-                return F.lit(0.0)
-            if row.positives == row.n_rows:
-                return F.lit(1.0)
+            if row.positives in (0, row.n_rows):
+                return 1.0 if row.positives else 0.0
             target = cached.withColumn("_y", F.col(labels_col)[j].cast("double"))
-            return estimator(j, int(row.positives), int(row.n_rows)).fit(target)
+            return estimator(int(row.positives), int(row.n_rows)).fit(target)
 
         with ThreadPoolExecutor(max_workers=parallel) as pool:
-            fitted = list(pool.map(fit, sorted(stats)))
+            return list(pool.map(fit, sorted(stats)))
     finally:
         cached.unpersist()
 
+
+def score_each_label(models: list, test: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """`keep` and `scores`: the probability of each label, in label order."""
     scored, columns = test, []
-    for j, model in enumerate(fitted):
-        if not isinstance(model, Column):
-            scored = model.setPredictionCol(f"_d{j}").setProbabilityCol(f"_p{j}").setRawPredictionCol(
-                f"_r{j}").transform(scored).drop(f"_d{j}", f"_r{j}")
-            columns.append(vector_to_array(F.col(f"_p{j}"))[1])
-        else:
-            columns.append(model)
+    for j, model in enumerate(models):
+        if isinstance(model, float):
+            columns.append(F.lit(model))
+            continue
+        model.setPredictionCol("").setRawPredictionCol(f"_r{j}").setProbabilityCol(f"_p{j}")
+        scored = model.transform(scored).drop(f"_r{j}")
+        columns.append(vector_to_array(F.col(f"_p{j}"))[1])
     return scored.select(*keep, F.array(*columns).alias("scores"))
 
 
-def fit_linear(
-    train: DataFrame, test: DataFrame, labels_col: str = "labels", features_col: str = "features",
-    keep: Sequence[str] = ("doc_id", "labels"), c: float = 4.0, max_iter: int = 400, parallel: int = 4,
-    n_rows: int | None = None,
-) -> DataFrame:
-    """One logistic regression per label with inverse penalty `c`; returns `keep` and `scores`."""
-    rows = n_rows or train.count()
-
-    def estimator(j, positives, total):
+def linear_estimator(
+    features_col: str, c: float = 4.0, max_iter: int = 400
+) -> Callable[[int, int], LogisticRegression]:
+    """Logistic regression whose penalty 1 / (c·rows) matches an inverse penalty `c` on the summed loss."""
+    def build(positives: int, rows: int) -> LogisticRegression:
         return LogisticRegression(
             featuresCol=features_col, labelCol="_y", regParam=1.0 / (c * rows), elasticNetParam=0.0,
             maxIter=max_iter, standardization=False,
         )
+    return build
+
 
-    return _fit_each_label(train, test, labels_col, keep, estimator, parallel)
+def fit_linear(
+    train: DataFrame, test: DataFrame, labels_col: str = "labels", features_col: str = "features",
+    keep: Sequence[str] = ("doc_id", "labels"), c: float = 4.0, max_iter: int = 400, parallel: int = 4,
+) -> DataFrame:
+    """One logistic regression per label with inverse penalty `c`; returns `keep` and `scores`."""
+    models = fit_each_label(train, labels_col, linear_estimator(features_col, c, max_iter), parallel)
+    return score_each_label(models, test, keep)
 
 
 def fit_linear_dense(train: DataFrame, test: DataFrame, features_col: str = "features", **options) -> DataFrame:
@@ -105,18 +108,18 @@ def fit_linear_dense(train: DataFrame, test: DataFrame, features_col: str = "fea
 def fit_gbt(
     train: DataFrame, test: DataFrame, labels_col: str = "labels", features_col: str = "features",
     keep: Sequence[str] = ("doc_id", "labels"), rounds: int = 300, depth: int = 6, step: float = 0.08,
-    row_share: float = 0.85, column_share: float = 0.7, seed: int = 17, parallel: int = 4,
+    row_share: float = 0.85, column_share: float = 0.7, min_rows: int = 4, seed: int = 17, parallel: int = 4,
 ) -> DataFrame:
     """Boosted trees per label, positives weighted by the negatives per positive; returns `keep` and `scores`."""
-    def estimator(j, positives, total):
-        weight = max((total - positives) / positives, 1.0)
+    def build(positives: int, rows: int) -> _Weighted:
         booster = GBTClassifier(
             featuresCol=features_col, labelCol="_y", weightCol="_weight", maxIter=rounds, maxDepth=depth,
-            stepSize=step, subsamplingRate=row_share, featureSubsetStrategy=str(column_share), seed=seed,
+            stepSize=step, subsamplingRate=row_share, featureSubsetStrategy=str(column_share),
+            minInstancesPerNode=min_rows, seed=seed,
         )
-        return _Weighted(booster, weight)
+        return _Weighted(booster, max((rows - positives) / positives, 1.0))
 
-    return _fit_each_label(train, test, labels_col, keep, estimator, parallel)
+    return score_each_label(fit_each_label(train, labels_col, build, parallel), test, keep)
 
 
 class _Weighted:
@@ -183,20 +186,6 @@ def dense_features(
     return assembled.transform(cleaned).drop(*[f"_n_{name}" for name in numeric])
 
 
-def linear_scores(weights: DataFrame, coefficients: DataFrame, intercepts: Sequence[float], id_col: str = "doc_id") -> DataFrame:
-    """Probabilities of a fixed linear model from long-form weights: (id, probabilities).
-
-    `coefficients` is (term, coefs array) for the selected vocabulary, thousands of rows, and is broadcast.
-    Documents without a known term keep the intercepts through a left join by the caller.
-    """
-    size = len(intercepts)
-    joined = weights.join(F.broadcast(coefficients), "term")
-    sums = joined.groupBy(id_col).agg(*[F.sum(F.col("w") * F.col("coefs")[j]).alias(f"_m{j}") for j in range(size)])
-    return sums.select(id_col, F.array(*[
-        logistic(F.col(f"_m{j}") + F.lit(float(intercepts[j]))) for j in range(size)
-    ]).alias("probabilities"))
-
-
 def vocab_sweep(
     sizes: Sequence[int], fit_and_score: Callable[[int], DataFrame], available: int
 ) -> DataFrame:
