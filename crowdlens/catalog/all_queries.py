@@ -6,6 +6,7 @@ from crowdlens.catalog import (  # noqa: F401
     metric_queries,
     model_queries,
     signal_queries,
+    stream_queries,
     text_queries,
 )
 from crowdlens.catalog.registry import ORACLES, QUERIES

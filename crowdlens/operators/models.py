@@ -9,8 +9,8 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.mllib.linalg import SparseVector as MllibSparseVector
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -18,6 +18,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from crowdlens.functions.numeric import finite_or_zero
 from crowdlens.operators.labels import label_prevalence
 from crowdlens.operators.metrics import multilabel_report
+from crowdlens.session import stage
 
 
 def indexed_terms(weights: DataFrame, index: DataFrame, index_rows: int | None = None) -> DataFrame:
@@ -26,21 +27,24 @@ def indexed_terms(weights: DataFrame, index: DataFrame, index_rows: int | None =
     return weights.join(F.broadcast(index) if bounded else index, "term").drop("term")
 
 
+def sparse_rows(cells: DataFrame, width: int, id_col: str = "doc_id", out: str = "features") -> DataFrame:
+    """One sparse vector per id from (id, idx, w). The lists are as long as single documents are."""
+    @F.udf(VectorUDT())
+    def to_vector(pairs):
+        return SparseVector(width, {pair.idx: pair.w for pair in pairs})
+
+    gathered = cells.groupBy(id_col).agg(F.collect_list(F.struct("idx", "w")).alias("_cells"))
+    return gathered.select(id_col, to_vector("_cells").alias(out))
+
+
 def sparse_features(
     docs: DataFrame, weights: DataFrame, index: DataFrame, width: int, id_col: str = "doc_id", out: str = "features"
 ) -> DataFrame:
-    """`docs` with a sparse vector of their term weights; a document without any known term gets zeros.
-
-    A document's own terms form the row, so the collected lists are as long as documents are.
-    """
-    @F.udf(VectorUDT())
-    def to_vector(cells):
-        return SparseVector(width, {cell.idx: cell.w for cell in cells or ()})
-
-    cells = indexed_terms(weights, index, width).groupBy(id_col).agg(
-        F.collect_list(F.struct("idx", "w")).alias("_cells")
-    )
-    return docs.join(cells, id_col, "left").withColumn(out, to_vector("_cells")).drop("_cells")
+    """`docs` with a sparse vector of their term weights; a document without any known term gets zeros."""
+    empty = F.udf(lambda: SparseVector(width, {}), VectorUDT())
+    rows = sparse_rows(indexed_terms(weights, index, width), width, id_col, out)
+    joined = docs.join(rows, id_col, "left")
+    return joined.withColumn(out, F.coalesce(F.col(out), empty()))
 
 
 def fit_each_label(train: DataFrame, labels_col: str, estimator: Callable, parallel: int = 4) -> list:
@@ -139,24 +143,23 @@ def text_svd(
     """Project (id, idx, w) rows onto the leading right singular vectors of the training rows.
 
     Uncentred, as for sparse text. Ids are whole numbers. Returns (id, svd) for both sides and the share
-    of the training variance explained. Only the basis (width × dims) passes through the driver.
+    of the training variance explained. Only the basis (width × dims) passes through the driver; the rows
+    are written once as vectors, because the decomposition reads them in every iteration.
     """
-    def matrix(cells: DataFrame) -> IndexedRowMatrix:
-        rows = cells.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("cells"))
-        vectors = rows.rdd.map(lambda row: IndexedRow(row[0], MllibSparseVector(
-            width, [cell.idx for cell in row.cells], [cell.w for cell in row.cells])))
-        return IndexedRowMatrix(vectors, numCols=width)
+    def matrix(cells: DataFrame) -> tuple[IndexedRowMatrix, int]:
+        rows = stage(sparse_rows(cells, width, id_col), "svd-rows")
+        vectors = rows.select(F.col(id_col).cast("long").alias("index"), F.col("features").alias("vector"))
+        return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), numCols=width), rows.count()
 
-    documents = train.select(id_col).distinct().count()
+    training, documents = matrix(train)
     rank = max(1, min(dims, min(documents, width) - 1))
-    training = matrix(train)
     basis = training.computeSVD(rank).V
 
     def project(source: IndexedRowMatrix) -> DataFrame:
         projected = source.multiply(basis).rows.map(lambda row: (row.index, row.vector.asML()))
         return train.sparkSession.createDataFrame(projected, _svd_schema(id_col))
 
-    left, right = project(training), project(matrix(test))
+    left, right = stage(project(training), "svd-train"), project(matrix(test)[0])
     return left, right, _explained(left, train, documents)
 
 

@@ -94,7 +94,7 @@ def rolling_window_latency(
     frame = F.window(ts, window, slide) if slide else F.window(ts, window)
     marks = F.percentile_approx(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), accuracy)
     return (
-        events.withWatermark(ts, late).groupBy(frame.alias("_window"), key)
+        events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(frame.alias("_window"), key)
         .agg(F.count(value).alias("n"), F.avg(value).alias("mean_ms"), marks.alias("_p"), F.max(value).alias("max_ms"))
         .select(
             F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), key, "n",
