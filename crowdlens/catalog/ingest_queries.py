@@ -11,7 +11,7 @@ from crowdlens.catalog.signal_queries import FINGERPRINT
 from crowdlens.catalog.tables import CTE_BUSINESS, CTE_REVIEW, CTE_USER
 from crowdlens.functions.lists import clean_list, counted_list
 from crowdlens.functions.text import fingerprint_text, text_fingerprint, word_count
-from crowdlens.operators import features
+from crowdlens.operators import features, signals
 from crowdlens.session import stage_path
 from crowdlens.sources import lake, raw
 
@@ -158,10 +158,10 @@ def text_fingerprint_query(spark, sf):
     docs = tables.read(spark, sf, "documents").select("doc_id", "text").withColumn(
         "text_hash", text_fingerprint(F.col("text"))
     )
-    shared = docs.groupBy("text_hash").agg(F.count("*").alias("same_fingerprint"))
-    return docs.join(shared, "text_hash").select(
+    return signals.hash_repeats(docs, ["text_hash"]).select(
         "doc_id", fingerprint_text(F.col("text")).alias("reference_text"),
-        fingerprint_text(F.col("text"), "lower_first").alias("lower_first_text"), "same_fingerprint",
+        fingerprint_text(F.col("text"), "lower_first").alias("lower_first_text"),
+        F.col("hash_repeats").alias("same_fingerprint"),
     )
 
 

@@ -146,7 +146,7 @@ def duplication(spark, sf):
 SELECT user_id, business_id, text, count(*) OVER (PARTITION BY user_id, {FINGERPRINT}) AS hash_repeats FROM history""")
 def hash_repeats(spark, sf):
     kept = history(spark, sf).select("user_id", "business_id", "text", "text_hash")
-    return signals.hash_repeats(kept, "user_id", "text_hash").drop("text_hash")
+    return signals.hash_repeats(kept).drop("text_hash")
 
 
 @query("rating_deviation", f"""WITH {CTE_HISTORY}, {CTE_CONSENSUS}

@@ -144,16 +144,16 @@ def stream_rolling_latency(spark, sf):
     events = tables.read(spark, sf, "events").select("ts", "event_type", "value")
     events.write.parquet(source)
     stream = spark.readStream.schema(events.schema).parquet(source)
-    windows = scorer.rolling_window_latency(stream, "ts", "value", "event_type")
+    windows = scorer.rolling_window_latency(stream, "ts", "value", "event_type", dp=9)
     running = (
         windows.writeStream.outputMode("append")
         .foreachBatch(lambda batch, batch_id: scorer.write_batch(batch, batch_id, out))
         .option("checkpointLocation", stage_path(spark, "stream")).trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return scorer.landed(spark, out).select(
+    return rounded(scorer.landed(spark, out).select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "mean_ms", "max_ms"
-    )
+    ), dp=3)
 
 
 @query("event_latency_by_day", """SELECT CAST(ts AS DATE) AS day, count(value) AS n, round(avg(value) + 1e-10, 2) AS mean_ms,

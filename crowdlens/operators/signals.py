@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,18 +80,18 @@ def duplication(
 
 
 def hash_repeats(
-    reviews: DataFrame, author: str, text_hash: str, hot_rows: int = 5_000_000, salts: int = 256
+    reviews: DataFrame, keys: Sequence[str] = ("user_id", "text_hash"), hot_rows: int = 5_000_000, salts: int = 256
 ) -> DataFrame:
-    """Each review with the number of the author's reviews that share its fingerprint.
+    """Each review with the number of reviews that share its keys, by default author and fingerprint.
 
     Says what `count(*) OVER (PARTITION BY author, text_hash)` says, without sorting a whole group
     into one task: the counts are aggregated first and looked up.
     """
-    counts = reviews.groupBy(author, text_hash).agg(F.count("*").alias("hash_repeats"))
-    spread = [name for name in reviews.columns if name not in (author, text_hash)]
+    keys = list(keys)
+    counts = reviews.groupBy(*keys).agg(F.count("*").alias("hash_repeats"))
+    spread = [name for name in reviews.columns if name not in keys]
     return hot_split_join(
-        reviews, counts, counts.where(F.col("hash_repeats") >= hot_rows), [author, text_hash],
-        spread or [author], "left", salts,
+        reviews, counts, counts.where(F.col("hash_repeats") >= hot_rows), keys, spread or keys, "left", salts
     )
 
 

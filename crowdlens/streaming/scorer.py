@@ -88,7 +88,7 @@ def scored_events(
 
 def rolling_window_latency(
     events: DataFrame, ts: str, value: str, key: str, window: str = "1 hour", slide: str | None = None,
-    late: str = "10 minutes", accuracy: int = 10_000,
+    late: str = "10 minutes", accuracy: int = 10_000, dp: int = 3,
 ) -> DataFrame:
     """Latency summary per key and event-time window; rows later than `late` are dropped by the watermark."""
     frame = F.window(ts, window, slide) if slide else F.window(ts, window)
@@ -98,8 +98,8 @@ def rolling_window_latency(
         .agg(F.count(value).alias("n"), F.avg(value).alias("mean_ms"), marks.alias("_p"), F.max(value).alias("max_ms"))
         .select(
             F.col("_window.start").alias("window_start"), F.col("_window.end").alias("window_end"), key, "n",
-            F.round("mean_ms", 3).alias("mean_ms"),
-            *[F.round(F.col("_p")[i], 3).alias(f"{name}_ms") for i, name in enumerate(("p50", "p95", "p99"))],
-            F.round("max_ms", 3).alias("max_ms"),
+            F.round("mean_ms", dp).alias("mean_ms"),
+            *[F.round(F.col("_p")[i], dp).alias(f"{name}_ms") for i, name in enumerate(("p50", "p95", "p99"))],
+            F.round("max_ms", dp).alias("max_ms"),
         )
     )
