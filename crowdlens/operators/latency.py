@@ -33,13 +33,12 @@ def latency_summary(
     else:
         counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
         curve = running_totals(counts, keys, [F.col(value)], ["_c"])
-        group = keys or [F.lit(0).alias("_all")]
-        sizes = df.groupBy(*group).agg(*basics)
+        sizes = df.groupBy(*keys).agg(*basics)
         if keys:
             placed = curve.join(sizes.select(*keys, "n"), keys)
         else:
-            curve = curve.withColumn("_all", F.lit(0))
-            placed = curve.join(F.broadcast(sizes.select("_all", "n")), "_all")
+            sizes = sizes.withColumn("_all", F.lit(0))
+            placed = curve.withColumn("_all", F.lit(0)).join(F.broadcast(sizes.select("_all", "n")), "_all")
         below = F.col("cum__c") - F.col("_c")
         picks = []
         for name, p in PERCENTILES:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -37,12 +37,14 @@ def read_raw(spark: SparkSession, entity: str, path: str) -> DataFrame:
         raise
 
 
+def _usable(entity: str) -> Column:
+    usable = F.col(CORRUPT).isNull()
+    return usable & F.col(PRIMARY_ID[entity]).isNotNull() if PRIMARY_ID[entity] else usable
+
+
 def set_aside_broken(raw: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
     """(usable records, quarantined records): broken lines and records without their primary id go aside."""
-    usable = F.col(CORRUPT).isNull()
-    if PRIMARY_ID[entity]:
-        usable = usable & F.col(PRIMARY_ID[entity]).isNotNull()
-    return raw.where(usable).drop(CORRUPT), raw.where(~usable)
+    return raw.where(_usable(entity)).drop(CORRUPT), raw.where(~_usable(entity))
 
 
 def transform_business(df: DataFrame) -> DataFrame:
@@ -111,30 +113,35 @@ class RowsLost(RuntimeError):
 def ingest_entity(spark: SparkSession, entity: str, raw_path: str, out_root: str) -> IngestResult:
     """Read, transform and write one entity, then check that every record landed or was quarantined.
 
-    Reviews are partitioned by year. Rebalancing gives each year files of even size: without it every
-    input task would leave a small file in every year, and a plain repartition one huge file per year.
+    Records are counted while they are written, so clean input is read once; only if some are broken does
+    a second pass write those aside. Reviews are partitioned by year. Rebalancing gives each year files of
+    even size: without it every input task would leave a small file in every year, and a plain
+    repartition one huge file per year.
     """
     raw = read_raw(spark, entity, raw_path)
-    usable, broken = set_aside_broken(raw, entity)
     target, aside = f"{out_root}/{entity}", f"{out_root}/_quarantine/{entity}"
-    rows = TRANSFORMS[entity](usable)
+    seen = Observation()
+    counted = raw.observe(
+        seen, F.count(F.lit(1)).alias("rows_in"), F.count_if(~_usable(entity)).alias("rows_broken")
+    )
+    rows = TRANSFORMS[entity](set_aside_broken(counted, entity)[0])
     if entity in PARTITION_BY:
         rows = rows.hint("rebalance", *PARTITION_BY[entity])
     rows.write.mode("overwrite").partitionBy(*PARTITION_BY.get(entity, ())).parquet(target)
-    broken.select(CORRUPT, *_id_columns(entity)).write.mode("overwrite").parquet(aside)
-    result = IngestResult(
-        entity, spark.read.text(raw_path).where(F.trim("value") != "").count(),
-        spark.read.parquet(target).count(), spark.read.parquet(aside).count(),
-    )
-    if result.rows_written + result.rows_quarantined != result.rows_in:
+    quarantined = 0
+    if seen.get["rows_broken"]:
+        set_aside_broken(raw, entity)[1].write.mode("overwrite").parquet(aside)
+        quarantined = spark.read.parquet(aside).count()
+    rows_in, written = seen.get["rows_in"], spark.read.parquet(target).count()
+    if written + quarantined != rows_in:
+        # A stage that ran again after the loss of an executor is counted twice: count the lines themselves.
+        rows_in = spark.read.text(raw_path).where(F.trim("value") != "").count()
+    result = IngestResult(entity, rows_in, written, quarantined)
+    if written + quarantined != rows_in:
         raise RowsLost(str(result))
     return result
 
 
-def _id_columns(entity: str) -> list[str]:
-    return [PRIMARY_ID[entity]] if PRIMARY_ID[entity] else []
-
-
 def ingest(
     spark: SparkSession, raw_paths: dict, out_root: str, only: Sequence[str] | None = None
 ) -> list[IngestResult]:

@@ -54,10 +54,14 @@ def score_stream(
     interval. `operator` is any batch operator; it may join and aggregate within the micro-batch.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
-        good, bad = parse_events(batch, schema)
-        write_batch(operator(good), batch_id, out)
-        if quarantine:
-            write_batch(bad, batch_id, quarantine)
+        kept = batch.persist()           # read the source once for both outputs
+        try:
+            good, bad = parse_events(kept, schema)
+            write_batch(operator(good), batch_id, out)
+            if quarantine:
+                write_batch(bad, batch_id, quarantine)
+        finally:
+            kept.unpersist()
         if before_commit:
             before_commit(batch_id)
 
