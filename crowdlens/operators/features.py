@@ -36,11 +36,14 @@ def reviewer_features(users: DataFrame, columns: Sequence[tuple] = AUTHOR_COLUMN
 
 
 def eligible_reviews(
-    reviews: DataFrame, min_chars: int = 40, text: str = "text", text_len: str = "text_len",
+    reviews: DataFrame, min_chars: int = 40, text_len: str = "text_len",
     required: Sequence[str] = ("business_id", "user_id"),
 ) -> DataFrame:
-    """Reviews with a text of at least `min_chars` characters and all required ids."""
-    keep = F.col(text).isNotNull() & (F.col(text_len) >= min_chars)
+    """Reviews with a text of at least `min_chars` characters and all required ids.
+
+    The length is null where the text is, so a missing text fails the filter without its column being read.
+    """
+    keep = F.col(text_len) >= min_chars
     for name in required:
         keep = keep & F.col(name).isNotNull()
     return reviews.where(keep)

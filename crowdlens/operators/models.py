@@ -47,20 +47,25 @@ def sparse_features(
     return joined.withColumn(out, F.coalesce(F.col(out), empty()))
 
 
-def fit_each_label(train: DataFrame, labels_col: str, estimator: Callable, parallel: int = 4) -> list:
+def fit_each_label(
+    train: DataFrame, labels_col: str, estimator: Callable, parallel: int = 4, rows_per_task: int = 10_000
+) -> list:
     """Fit `estimator(positives, rows)` per label, `parallel` at a time over one cached training table.
 
-    Entry j is a fitted model, or 0.0 / 1.0 for a label that never or always occurs.
+    Entry j is a fitted model, or 0.0 / 1.0 for a label that never or always occurs. An iteration is one
+    job over all partitions, so a small table is read in few of them; a large one keeps what it has.
     """
     cached = train.persist()
     try:
         stats = {row.idx: row for row in label_prevalence(cached, labels_col).collect()}
+        rows = max((row.n_rows for row in stats.values()), default=0)
+        shared = cached.coalesce(max(1, -(-rows // rows_per_task)))
 
         def fit(j: int):
             row = stats[j]
             if row.positives in (0, row.n_rows):
                 return 1.0 if row.positives else 0.0
-            target = cached.withColumn("_y", F.col(labels_col)[j].cast("double"))
+            target = shared.withColumn("_y", F.col(labels_col)[j].cast("double"))
             return estimator(int(row.positives), int(row.n_rows)).fit(target)
 
         with ThreadPoolExecutor(max_workers=parallel) as pool:

@@ -62,3 +62,19 @@ def exact_quantiles(values: DataFrame, group: str, value: str, points: int) -> D
         .where(F.col("_first") <= F.col("_last"))
         .select(group, F.explode(F.sequence("_first", "_last")).alias("idx"), value)
     )
+
+
+def largest(df: DataFrame, by: str, ties: str, k: int, small: int = 10_000) -> DataFrame:
+    """The `k` rows with the largest `by`, ties by the smaller `ties`.
+
+    Sort-and-limit keeps k rows of every partition and merges them in one task, which is fine for a small
+    k. For a larger one the value of the k-th row is found first, on distributed running counts, so that
+    only about k rows are left to merge.
+    """
+    if k > small:
+        df = stage(df, "largest")
+        values = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n"))
+        curve = running_totals(values, [], [F.col(by).desc()], ["_n"])
+        bound = curve.where(F.col("cum__n") - F.col("_n") < k).agg(F.min(by)).head()[0]
+        df = df.where(F.col(by) >= F.lit(bound))
+    return df.orderBy(F.desc(by), F.asc(ties)).limit(k)

@@ -85,14 +85,16 @@ def hash_repeats(
     """Each review with the number of reviews that share its keys, by default author and fingerprint.
 
     Says what `count(*) OVER (PARTITION BY author, text_hash)` says, without sorting a whole group
-    into one task: the counts are aggregated first and looked up.
+    into one task: the counts are aggregated first and those above 1 are looked up. A review with a null
+    key has nothing to share and counts 1.
     """
     keys = list(keys)
-    counts = reviews.groupBy(*keys).agg(F.count("*").alias("hash_repeats"))
+    counts = reviews.groupBy(*keys).agg(F.count("*").alias("hash_repeats")).where(F.col("hash_repeats") > 1)
     spread = [name for name in reviews.columns if name not in keys]
-    return hot_split_join(
+    found = hot_split_join(
         reviews, counts, counts.where(F.col("hash_repeats") >= hot_rows), keys, spread or keys, "left", salts
     )
+    return found.withColumn("hash_repeats", F.coalesce("hash_repeats", F.lit(1).cast("long")))
 
 
 def rating_deviation(

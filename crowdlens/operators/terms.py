@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crowdlens.functions.text import word_ngrams, words
 from crowdlens.operators.joins import hot_split_join
+from crowdlens.operators.ordering import largest
 
 
 def tokenise(
@@ -40,7 +41,7 @@ def term_stats(
     )
     if max_features is None:
         return stats
-    return stats.orderBy(F.desc("term_count"), F.asc("term")).limit(max_features)
+    return largest(stats, "term_count", "term", max_features)
 
 
 def tfidf(
@@ -101,7 +102,7 @@ def chi2_scores(
 
 def chi2_select(scores: DataFrame, k: int = 20_000) -> DataFrame:
     """The `k` best terms as (term, chi2, rank); ties by name."""
-    best = scores.orderBy(F.desc("chi2"), F.asc("term")).limit(k)
+    best = largest(scores, "chi2", "term", k)
     # At most k rows are left, so numbering them in one task is fine.
     ranked = Window.orderBy(F.desc("chi2"), F.asc("term"))
     return best.select("term", "chi2", F.row_number().over(ranked).alias("rank"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crowdlens.operators.joins import frequent_keys, hot_split_join, lookup_join
-from crowdlens.operators.ordering import exact_quantiles, row_numbers, running_totals
+from crowdlens.operators.ordering import exact_quantiles, largest, row_numbers, running_totals
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +67,14 @@ def test_exact_quantiles(spark):
     for name, vs in values.items():
         found = [r.value for r in sorted((r for r in got if r.signal == name), key=lambda r: r.idx)]
         assert found == list(np.quantile(vs, [i / 100 for i in range(101)], method="inverted_cdf"))
+
+
+@pytest.mark.parametrize("k", [1, 40, 333, 5000])
+def test_largest_with_and_without_a_bound(spark, k):
+    rng = random.Random(9)
+    rows = [(f"t{i}", rng.randrange(30)) for i in range(900)] + [("none", None)]
+    df = spark.createDataFrame(rows, "name string, n int").repartition(7)
+    expected = [r[0] for r in sorted(rows[:900], key=lambda r: (-r[1], r[0]))][:k]
+    for small in (0, 10_000):
+        got = [r.name for r in largest(df, "n", "name", k, small).collect() if r.n is not None]
+        assert got == expected
