@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crowdlens.operators.latency import sweep_pct_of_best
 from crowdlens.operators.metrics import multilabel_report, scores_long
 from crowdlens.operators.models import (
     dense_features, fit_gbt, fit_linear, fit_linear_dense, indexed_terms, sparse_features, text_svd, vocab_sweep,
 )
-from crowdlens.operators.split import bounded_sample
+from crowdlens.operators.split import bounded_sample, split_slice
 from crowdlens.operators.terms import chi2_select, tfidf, tokenise
-from crowdlens.operators.text_model import TrainingTerms, term_index, training_terms
-from crowdlens.params import TextParams
+from crowdlens.operators.text_model import TrainingTerms, fit_text_model, term_index, training_terms
+from crowdlens.params import NUMERIC_FEATURES, TextParams
+from crowdlens.plans.metrics_store import record
 from crowdlens.session import stage
 
 # Names of the model arms.
@@ -93,3 +95,26 @@ class Baselines:
 
     def _long(self, scored: DataFrame) -> DataFrame:
         return stage(scores_long(scored, "labels", "scores", [self.id_col]), "scores")
+
+
+def run(
+    spark: SparkSession, table: str, out: str, categories: Sequence[str], arms: Sequence[str] = ("linear_tfidf",),
+    params: TextParams = TextParams(), sweep: Sequence[int] = (), id_col: str = "review_number",
+) -> DataFrame:
+    """Fit `arms` on the labelled table, record their reports, and store the linear model for scoring.
+
+    The table gets whole-number row ids, written once, since the projection of the dense arms needs them.
+    """
+    numbered = stage(
+        spark.read.parquet(table).withColumn(id_col, F.monotonically_increasing_id()).select(
+            id_col, "split", "text", "labels", *NUMERIC_FEATURES),
+        "labelled",
+    )
+    train, test = (split_slice(numbered, side).drop("split") for side in ("train", "test"))
+    fitted = Baselines(train, test, params, id_col, NUMERIC_FEATURES)
+    merged = record(fitted.report(arms), f"{out}/baseline_metrics")
+    if sweep:
+        record(sweep_pct_of_best(fitted.sweep(sweep)), f"{out}/vocab_sweep", "k")
+    model = fit_text_model(fitted.train, categories, params, id_col, prepared=fitted.terms)
+    model.save(f"{out}/text_model")
+    return merged

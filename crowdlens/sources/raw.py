@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -113,29 +113,22 @@ class RowsLost(RuntimeError):
 def ingest_entity(spark: SparkSession, entity: str, raw_path: str, out_root: str) -> IngestResult:
     """Read, transform and write one entity, then check that every record landed or was quarantined.
 
-    Records are counted while they are written, so clean input is read once; only if some are broken does
-    a second pass write those aside. Reviews are partitioned by year. Rebalancing gives each year files of
-    even size: without it every input task would leave a small file in every year, and a plain
-    repartition one huge file per year.
+    Clean input is parsed once; the check counts lines without parsing them, and only if some did not land
+    does a second pass write the broken ones aside. Reviews are partitioned by year. Rebalancing gives
+    each year files of even size: without it every input task would leave a small file in every year, and
+    a plain repartition one huge file per year.
     """
-    raw = read_raw(spark, entity, raw_path)
+    usable, broken = set_aside_broken(read_raw(spark, entity, raw_path), entity)
     target, aside = f"{out_root}/{entity}", f"{out_root}/_quarantine/{entity}"
-    seen = Observation()
-    counted = raw.observe(
-        seen, F.count(F.lit(1)).alias("rows_in"), F.count_if(~_usable(entity)).alias("rows_broken")
-    )
-    rows = TRANSFORMS[entity](set_aside_broken(counted, entity)[0])
+    rows = TRANSFORMS[entity](usable)
     if entity in PARTITION_BY:
         rows = rows.hint("rebalance", *PARTITION_BY[entity])
     rows.write.mode("overwrite").partitionBy(*PARTITION_BY.get(entity, ())).parquet(target)
-    quarantined = 0
-    if seen.get["rows_broken"]:
-        set_aside_broken(raw, entity)[1].write.mode("overwrite").parquet(aside)
+    rows_in = spark.read.text(raw_path).where(F.trim("value") != "").count()
+    written, quarantined = spark.read.parquet(target).count(), 0
+    if written != rows_in:
+        broken.write.mode("overwrite").parquet(aside)
         quarantined = spark.read.parquet(aside).count()
-    rows_in, written = seen.get["rows_in"], spark.read.parquet(target).count()
-    if written + quarantined != rows_in:
-        # A stage that ran again after the loss of an executor is counted twice: count the lines themselves.
-        rows_in = spark.read.text(raw_path).where(F.trim("value") != "").count()
     result = IngestResult(entity, rows_in, written, quarantined)
     if written + quarantined != rows_in:
         raise RowsLost(str(result))
