@@ -111,14 +111,17 @@ def transform_user(spark, sf):
     )
 
 
-@query("transform_checkin", """SELECT CAST(l_partkey AS VARCHAR) AS business_id, CAST(count(*) AS INT) AS checkin_count
-FROM lineitem GROUP BY l_partkey""")
+@query("transform_checkin", """SELECT CAST(l_partkey AS VARCHAR) AS business_id,
+       CAST(CASE WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber END AS INT) AS checkin_count FROM lineitem""")
 def transform_checkin(spark, sf):
-    """Check-in lists (one per part: the times of its line items) reduced to their counts."""
-    times = tables.read(spark, sf, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("business_id")).agg(
-        F.array_join(F.collect_list(F.date_format("l_shipdate", FORMAT)), ", ").alias("date")
+    """Each line item as a check-in record whose list repeats its time once per line number; line 1 is empty."""
+    time = F.date_format("l_shipdate", FORMAT)
+    times = F.array_join(F.transform(F.sequence(F.lit(1), "l_linenumber"), lambda _: time), ", ")
+    records = tables.read(spark, sf, "lineitem").select(
+        F.col("l_partkey").cast("string").alias("business_id"),
+        F.when(F.col("l_linenumber") == 1, F.lit("")).otherwise(times).alias("date"),
     )
-    return raw.transform_checkin(times)
+    return raw.transform_checkin(records)
 
 
 @query("transform_tip", """SELECT user_id, CAST(event_id AS VARCHAR) AS business_id, event_type AS text,
