@@ -73,7 +73,7 @@ def review_labeled(
     labels = attach_labels(businesses, categories)
     authors = reviewer_features(users)
     joined = lookup_join(facts, labels, "business_id", ["user_id"], "inner")
-    joined = lookup_join(joined, authors, "user_id", ["business_id"], "left")
+    joined = lookup_join(joined, authors, "user_id", ["business_id"], "left", keys_from=facts)
     mean = F.coalesce(F.col("user_average_stars"), F.col("review_stars"))
     table = (
         joined.withColumn("account_age_days_at_review", F.datediff("review_date", F.to_date("yelping_since_ts")))

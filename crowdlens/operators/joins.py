@@ -75,7 +75,13 @@ def lookup_join(
     how: str = "left",
     support: float = 0.001,
     salts: int = 256,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
-    """`hot_split_join` with the frequent keys found in `fact` itself."""
-    hot_dim = dim.join(F.broadcast(frequent_keys(fact, key, support)), key, "left_semi")
+    """`hot_split_join` with the frequent keys found in the data.
+
+    They are looked for in `keys_from` where given: the source of `fact` does as well and is cheaper than
+    a `fact` that is itself the result of a join. Which keys are found affects the speed, not the result.
+    """
+    hot_keys = frequent_keys(fact if keys_from is None else keys_from, key, support)
+    hot_dim = dim.join(F.broadcast(hot_keys), key, "left_semi")
     return hot_split_join(fact, dim, hot_dim, [key], salt_by, how, salts)
