@@ -136,7 +136,7 @@ def write(pages: DataFrame, folder: str, settings: Settings = Settings()) -> Dat
             for page, url, text, first, whole in zip(*[column.to_pylist() for column in batch.columns]):
                 if sink is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    sink, size, count = store.open_output_stream(path), 0, 0
+                    sink, size, count = store.open_output_stream(path, compression=None), 0, 0
                 data = member(record(page, url, text.encode(), first, whole, settings.date), settings.level)
                 sink.write(data)
                 size, count = size + len(data), count + 1
