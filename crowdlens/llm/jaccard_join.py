@@ -206,10 +206,9 @@ def may_be_similar(sketch_a: np.ndarray, sketch_b: np.ndarray, size_a, size_b, p
     return distance * (100 + percent) <= (size_a + size_b) * (100 - percent)
 
 
-def sets_of(docs: DataFrame, signed: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """(node, n, sketch, elements) of each of the nodes, from the text of its smallest (doc_id, mark)."""
-    chosen = signed.join(nodes, "node").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("r")).select(
-        "node", F.col("r.doc_id").alias("_id"), F.col("r.mark").alias("_mark"))
+def sets_of(docs: DataFrame, nodes: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
+    """(node, n, sketch, elements) of the needed nodes, each from the text of `one`: its smallest (doc_id, mark)."""
+    chosen = nodes.join(needed, "node").select("node", F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"))
     chosen = stage(chosen, "jaccard-representatives")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,11 +323,12 @@ class Joined:
 def join(docs: DataFrame, s: Settings = Settings()) -> Joined:
     signed = stage(signatures(docs, s), "jaccard-signatures")
     nodes = stage(signed.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("least"), (F.min("check") != F.max("check")).alias("clash")), "jaccard-nodes")
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("one"),
+        (F.min("check") != F.max("check")).alias("clash")), "jaccard-nodes")
     if nodes.where("clash").limit(1).count():
         return join(docs, Settings(s.k, s.percent, s.spare, s.block, s.seed + 1))
     shared = stage(shared_parts(docs, s), "jaccard-shared")
-    sets = stage(sets_of(docs, signed, shared.select("node").distinct(), s), "jaccard-sets")
+    sets = stage(sets_of(docs, nodes, shared.select("node").distinct(), s), "jaccard-sets")
     first = stage(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(),
                   "jaccard-pairs")
     links = stage(similar(possible(first, sets, s), sets, s), "jaccard-links")
