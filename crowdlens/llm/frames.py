@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +23,28 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark send the package to all workers, once per context: they may have no other way to import it."""
+    context = spark.sparkContext
+    if getattr(context, "_crowdlens_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="crowdlens-code-")  # the driver's; addPyFile copies the file to every executor
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(f"{folder}/{root.name}.zip")
+    context._crowdlens_shipped = True
+
+
 def map_rows(
     rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | StructType,
 ) -> DataFrame:
-    """`mapInArrow` with small batches."""
+    """`mapInArrow` with small batches, by workers that know this package."""
     bounded_batches(rows.sparkSession)
+    ship_package(rows.sparkSession)
     return rows.mapInArrow(function, schema)
 
 

@@ -25,7 +25,8 @@ from crowdlens.llm import frames, words
 from crowdlens.session import stage
 
 STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-#: What the forest sees, all shares or logs, so that short and long texts can be compared.
+#: What the forest sees, all shares or logs, so that short and long texts can be compared. Of repeated lines, repeated
+#: words and digits, which good texts have as well (a heading given twice, a number), only what exceeds a tolerance counts.
 MEASURES = ("log_words", "word_length", "symbol_share", "dup_lines_share", "repeat_share", "distinct_share", "upper_share",
             "digit_share", "bar_share", "line_length")
 SCHEMA = f"doc_id long, {STATISTICS}, base_failed boolean, measures array<float>"
@@ -87,9 +88,13 @@ def measures(s: dict[str, np.ndarray]) -> np.ndarray:
     n, chars, lines = np.maximum(s["n_words"], 1), np.maximum(s["word_chars"], 1), np.maximum(s["_lines"], 1)
     # Few different words are normal in long texts: compare with the square root law of vocabularies.
     distinct = s["_distinct"] / np.minimum(n, 12 * np.sqrt(n))
+
+    def beyond(count: str, of: np.ndarray, tolerated: float) -> np.ndarray:
+        return np.maximum(s[count] / of - tolerated, 0)
     return np.column_stack((
-        np.log1p(s["n_words"]), chars / n, s["n_symbols"] / chars, s["n_dup_lines"] / lines, s["n_repeat_words"] / n,
-        distinct, s["_upper"] / chars, s["_digits"] / chars, s["_bars"] / n, np.log1p(n / lines))).astype(np.float32)
+        np.log1p(s["n_words"]), chars / n, s["n_symbols"] / chars, beyond("n_dup_lines", lines, 0.3),
+        beyond("n_repeat_words", n, 0.2), distinct, s["_upper"] / chars, beyond("_digits", chars, 0.15), s["_bars"] / n,
+        np.log1p(n / lines))).astype(np.float32)
 
 
 def measured(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
