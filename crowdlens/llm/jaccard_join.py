@@ -2,12 +2,13 @@
 
 Two sets of a <= b elements with Jaccard similarity of at least s differ in d <= a (1 - s) / s elements. Every element
 falls into one part of its set's sketch, by its hash; a part is the XOR of the hashes of its elements, so equal elements
-leave no trace in the difference of two sketches, and at most d parts differ. Sketches of d + 1 + `spare` parts
-therefore share `spare` + 1 parts at least (pigeonhole): documents meet in an equi-join on (size band, part number,
-part). The number of parts is fixed by size band; near the lower end of a band a set joins the band below as well.
+leave no trace in the difference of two sketches, and at most d parts differ. Sketches of d + 1 + spare parts therefore
+share spare + 1 parts at least (pigeonhole): documents meet in an equi-join on (size band, part number, part). The number
+of parts is fixed by size band; near the lower end of a band a set joins the band below as well.
 
-Parts without elements say little and are left out, unless a set has more than `spare` of them; sets that share only
-empty parts both have more, so no pair is lost.
+Parts of few elements say little: a line that thousands of documents share would bring them all together. So every set
+leaves out its `spare` lightest parts (by number of elements, then by value) and is indexed by d + 1. No pair is lost: of
+the spare + 1 or more parts that two sets share, the heaviest has at least `spare` lighter ones in either set.
 
 Candidates are then compared by bit sketches, in which every element flips one bit: their Hamming distance is at most d.
 What is left is verified on the whole sets. Steps:
@@ -45,7 +46,7 @@ from crowdlens.session import stage
 class Settings:
     k: int = 5
     percent: int = 80  # least similarity
-    spare: int = 1
+    spare: float = 0.4  # parts that are left out, as a share of d
     block: int = 512
     seed: int = 0
 
@@ -66,10 +67,11 @@ def most_different(size: np.ndarray | int, percent: int):
     return size * (100 - percent) // percent
 
 
-def parts_of(band: np.ndarray, s: Settings) -> np.ndarray:
-    """Number of parts in a band; 0 where only equal sets are similar."""
+def parts_of(band: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Number of parts in a band and how many of them are left out; none where only equal sets are similar."""
     different = most_different(BANDS[band + 1] - 1, s.percent)
-    return np.where(different > 0, different + 1 + s.spare, 0)
+    spare = np.where(different > 0, (different * s.spare).astype(np.int64) + 1, 0)
+    return np.where(different > 0, different + 1 + spare, 0), spare
 
 
 def node_of(doc: np.ndarray, hashed: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,20 +118,20 @@ def part_keys(doc: np.ndarray, hashed: np.ndarray, sizes: np.ndarray, s: Setting
             here &= least < BANDS[np.maximum(band, 0) + 1]
         if not here.any():
             return
-        count = np.where(here, parts_of(np.maximum(band, 0), s), 0)
+        count, spare = (np.where(here, x, 0) for x in parts_of(np.maximum(band, 0), s))
         base = np.cumsum(count) - count
         total = int(count.sum())
         chosen = count[doc] > 0
         d = doc[chosen]
         cell = base[d] + (place[chosen] % count[d].astype(np.uint64)).astype(np.int64)
-        value, filled = np.zeros(total, np.uint64), np.zeros(total, bool)
+        value = np.zeros(total, np.uint64)
         np.bitwise_xor.at(value, cell, hashed[chosen])
-        filled[cell] = True
+        weight = np.bincount(cell, minlength=total)
         owner = np.repeat(np.arange(len(sizes)), count)
-        empty = count - np.bincount(owner[filled], minlength=len(sizes))
-        used = filled | (empty > s.spare)[owner]
         number = np.arange(total) - base[owner]
         key = words.mix(value + words.mix((band[owner].astype(np.uint64) << np.uint64(40)) + number.astype(np.uint64)))
+        order = np.lexsort((key, weight, owner))  # lightest first in each set
+        used = order[number >= spare[owner]]
         yield owner[used], key[used]
         step += 1
 
@@ -206,8 +208,9 @@ def may_be_similar(sketch_a: np.ndarray, sketch_b: np.ndarray, size_a, size_b, p
     return distance * (100 + percent) <= (size_a + size_b) * (100 - percent)
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, needed: DataFrame, s: Settings) -> DataFrame:
-    """(node, n, sketch, elements) of the needed nodes, each from the text of `one`: its smallest (doc_id, mark)."""
+def sets_of(docs: DataFrame, nodes: DataFrame, needed: DataFrame, s: Settings, whole: bool) -> DataFrame:
+    """(node, n, sketch) of the needed nodes, or with `whole` (node, elements), each from the text of `one`: the node's
+    smallest (doc_id, mark)."""
     chosen = nodes.join(needed, "node").select("node", F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"))
     chosen = stage(chosen, "jaccard-representatives")
 
@@ -216,14 +219,18 @@ def sets_of(docs: DataFrame, nodes: DataFrame, needed: DataFrame, s: Settings) -
             for texts in words.slices(batch.column("text"), words.SPACED):
                 doc, hashed = words.shingles(texts, texts.hashes(words.LOWERED), s.k)
                 sets = np.split(hashed, np.searchsorted(doc, np.arange(1, len(texts))))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("node")[texts.first: texts.first + len(texts)], pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary()),
-                    pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "n", "sketch", "elements"])
+                node = batch.column("node")[texts.first: texts.first + len(texts)]
+                if whole:
+                    yield pa.RecordBatch.from_arrays(
+                        [node, pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "elements"])
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [node, pa.array([len(x) for x in sets], pa.int64()),
+                         pa.array([bit_sketch(x).tobytes() for x in sets], pa.binary())], names=["node", "n", "sketch"])
     joined = keyed(docs).join(frames.small_side(chosen, 300_000),
                               F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    made = frames.map_rows(joined.select("node", "text"), task, "node long, n long, sketch binary, elements binary")
-    return made.dropDuplicates(["node"])
+    schema = "node long, elements binary" if whole else "node long, n long, sketch binary"
+    return stage(frames.map_rows(joined.select("node", "text"), task, schema).dropDuplicates(["node"]), "jaccard-sets")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -251,8 +258,10 @@ def possible(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return frames.map_rows(_beside(pairs, sets, "n", "sketch"), task, "a long, b long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     """Pairs whose whole sets are similar."""
+    sets = sets_of(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), s, whole=True)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -261,7 +270,7 @@ def similar(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= s.percent * (len(x) + len(y) - common))
             yield _pair_batch(batch, keep)
-    return frames.map_rows(_beside(pairs, sets, "elements"), task, "a long, b long")
+    return stage(frames.map_rows(_beside(pairs, sets, "elements"), task, "a long, b long"), "jaccard-links")
 
 
 def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -328,13 +337,13 @@ def join(docs: DataFrame, s: Settings = Settings()) -> Joined:
     if nodes.where("clash").limit(1).count():
         return join(docs, Settings(s.k, s.percent, s.spare, s.block, s.seed + 1))
     shared = stage(shared_parts(docs, s), "jaccard-shared")
-    sets = stage(sets_of(docs, nodes, shared.select("node").distinct(), s), "jaccard-sets")
-    first = stage(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(),
-                  "jaccard-pairs")
-    links = stage(similar(possible(first, sets, s), sets, s), "jaccard-links")
+    sketches = sets_of(docs, nodes, shared.select("node").distinct(), s, whole=False)
+    first = shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    first = stage(possible(first, sketches, s), "jaccard-pairs")
+    links = similar(first, docs, nodes, s)
     roots = stars(links)
-    second = cross_pairs(shared, roots, sets, s).join(first, ["a", "b"], "left_anti")
-    more = stage(similar(second, sets, s), "jaccard-links")
+    second = stage(cross_pairs(shared, roots, sketches, s).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+    more = similar(second, docs, nodes, s)
     if more.limit(1).count():
         links = links.union(more)
         roots = stars(links)
