@@ -82,6 +82,7 @@ def paths(nodes: DataFrame, score: Column | None = None, best: int = 1) -> DataF
         score = ((F.col("role") == TRAINED) & (F.col("text") != "")).cast("double")
     nodes = stage(nodes.withColumn("score", score.cast("double")), "reply-nodes")
     # up: the ancestor after `steps` = 2**j levels (null: the walk has ended at a root), and totals over the way there.
+    # Walks that have ended wait for the others: only nodes at least 2**j below their root take part in join j.
     jumps = [stage(nodes.select("conv_id", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"),
                                 F.col("score").alias("total")), "reply-jumps")]
     longest = nodes.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
@@ -89,9 +90,10 @@ def paths(nodes: DataFrame, score: Column | None = None, best: int = 1) -> DataF
         last = jumps[-1]
         above = last.select(F.col("conv_id").alias("_conv"), F.col("node").alias("_node"), F.col("up").alias("_up"),
                             F.col("steps").alias("_steps"), F.col("total").alias("_total"))
-        jumps.append(stage(_beside(last, above, "up", "left").select(
-            "conv_id", "node", F.col("_up").alias("up"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"),
-            (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total")), "reply-jumps"))
+        further = _beside(last.where("up IS NOT NULL"), above, "up", "inner").select(
+            "conv_id", "node", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"),
+            (F.col("total") + F.col("_total")).alias("total"))
+        jumps.append(stage(last.where("up IS NULL").union(further), "reply-jumps"))
     parents = nodes.where("parent IS NOT NULL").select(F.col("conv_id").alias("_conv"), F.col("parent").alias("_node")).distinct()
     ends = jumps[-1].where("up IS NULL")  # in a loop there is always something above
     leaves = ends.join(parents, ends["conv_id"].eqNullSafe(parents["_conv"]) & (ends["node"] == parents["_node"]), "left_anti")
