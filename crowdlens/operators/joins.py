@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on `keys` in which null equals null, so that the rows of a null group stay. Keys are kept once."""
+    names = {key: f"_right_{number}" for number, key in enumerate(keys)}
+    renamed = right.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [left[key].eqNullSafe(renamed[name]) for key, name in names.items()])
+    return left.join(renamed, same, how).drop(*names.values())
+
+
 def frequent_keys(fact: DataFrame, key: str, support: float = 0.001) -> DataFrame:
     """Keys that may hold more than `support` of the rows (all that do, perhaps a few more).
 
@@ -44,7 +53,9 @@ def hot_split_join(
     )
     cold = dim.select(
         *key, *[F.col(name).alias(f"_cold_{name}") for name in values], F.lit(True).alias("_is_cold"),
-        F.lit(-1).alias("_route"),
+        # -1 for every row, but not as a constant: the optimiser would replace a constant in the join condition, the
+        # route would no longer be a join key, and all rows of a hot key would meet in one task.
+        (F.pmod(F.xxhash64(*key), F.lit(1)).cast("int") - 1).alias("_route"),
     )
     no_match = F.lit(False)
     for name in key:
