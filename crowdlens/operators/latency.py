@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdlens.operators.joins import null_safe_join
 from crowdlens.operators.ordering import row_numbers, running_totals
 
 # The percentiles of every latency report.
@@ -35,7 +35,7 @@ def latency_summary(
         curve = running_totals(counts, keys, [F.col(value)], ["_c"])
         sizes = df.groupBy(*keys).agg(*basics)
         if keys:
-            placed = curve.join(sizes.select(*keys, "n"), keys)
+            placed = null_safe_join(curve, sizes.select(*keys, "n"), keys)
         else:
             sizes = sizes.withColumn("_all", F.lit(0))
             placed = curve.withColumn("_all", F.lit(0)).join(F.broadcast(sizes.select("_all", "n")), "_all")
@@ -48,7 +48,7 @@ def latency_summary(
                 picks.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
         names = keys or ["_all"]
         found = placed.groupBy(*names).agg(*picks)
-        summary = sizes.join(found, names, "left").select(
+        summary = null_safe_join(sizes, found, names, "left").select(
             *keys, "n", "mean", "max",
             *[
                 (F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo"))
@@ -64,14 +64,14 @@ def latency_summary(
 def rolling_latency(
     df: DataFrame, key: str, order: Sequence[str], value: str, n: int = 2000, dp: int = 3, block: int | None = None
 ) -> DataFrame:
-    """For each row, n, mean, p50, p95, p99 and max of the last `n` values of its key in `order`.
+    """For each row with a value, n, mean, p50, p95, p99 and max of the last `n` values of its key in `order`.
 
-    Rows are numbered within their key and cut into blocks; the last n-1 rows of a block are also sent to
+    Rows without a value are no part of any window and get no row; null keys form one key. Rows are numbered within their key and cut into blocks; the last n-1 rows of a block are also sent to
     the next one, so a key of any size is spread over many tasks and no window crosses a block. Inside a
-    block a sorted list slides along: Spark's own framed percentile rebuilds every window from scratch.
+    block a compiled rolling window slides along: Spark's own framed percentile rebuilds every window from scratch.
     """
     size = max(block or 16 * n, n)
-    numbered = row_numbers(df, [key], [F.col(name) for name in order])
+    numbered = row_numbers(df.where(F.col(value).isNotNull()), [key], [F.col(name) for name in order])
     own = ((F.col("rn") - 1) / size).cast("long")
     carried = F.when(F.col("rn") > (own + 1) * size - (n - 1), F.array(own, own + 1)).otherwise(F.array(own))
     blocks = numbered.select(
@@ -85,26 +85,14 @@ def rolling_latency(
 
     def slide(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rn", ignore_index=True)
-        values = rows["_value"].to_numpy()
-        reported = (rows["_own"] == rows["_block"]).to_numpy()
-        ordered: list = []
-        out = []
-        for i, latest in enumerate(values):
-            bisect.insort(ordered, latest)
-            if len(ordered) > n:
-                del ordered[bisect.bisect_left(ordered, values[i - n])]
-            if reported[i]:
-                last = len(ordered) - 1
-                marks = []
-                for _, p in PERCENTILES:
-                    low = int(last * p)
-                    high = min(low + 1, last)
-                    marks.append(ordered[low] + (ordered[high] - ordered[low]) * (last * p - low))
-                out.append((last + 1, values[i - last:i + 1].mean(), *marks, ordered[last]))
-        kept = rows.loc[reported, [key, *order]].reset_index(drop=True)
-        return pd.concat([kept, pd.DataFrame(out, columns=["n", *stats])], axis=1)
-
-    rolled = blocks.where(F.col("_value").isNotNull()).groupBy(key, "_block").applyInPandas(slide, schema)
+        window = rows["_value"].rolling(n, min_periods=1)
+        found = pd.DataFrame({
+            "n": window.count().astype("int64"), "mean_ms": window.mean(),
+            **{f"{name}_ms": window.quantile(p) for name, p in PERCENTILES}, "max_ms": window.max()})
+        reported = rows["_own"] == rows["_block"]
+        return pd.concat([rows.loc[reported, [key, *order]], found[reported]], axis=1)
+
+    rolled = blocks.groupBy(key, "_block").applyInPandas(slide, schema)
     return rolled.withColumns({name: F.round(name, dp) for name in stats})
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdlens.operators.joins import null_safe_join
 from crowdlens.session import stage
 
 
@@ -15,7 +16,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
     The rows are range-partitioned by group and order into slices and written once, which pins the slices.
     Slice totals (one row per group and slice) give each slice its starting value; the rest is a window
-    inside one slice. No task ever holds a whole group. (group, order) should be unique.
+    inside one slice. No task ever holds a whole group. (group, order) should be unique. Nulls form a group.
     """
     group, order = list(group), list(order)
     ranged = df.repartitionByRange(*[F.col(name) for name in group], *order)
@@ -30,7 +31,7 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[Column],
         *[F.coalesce(F.sum(f"_total_{name}").over(before), F.lit(0)).alias(f"_start_{name}") for name in sums],
     )
     inside = Window.partitionBy(*group, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.join(starts, [*group, "_slice"]).select(
+    return null_safe_join(ranged, starts, [*group, "_slice"]).select(
         *df.columns,
         *[(F.col(f"_start_{name}") + F.sum(name).over(inside)).alias(f"cum_{name}") for name in sums],
     )
@@ -56,7 +57,7 @@ def exact_quantiles(values: DataFrame, group: str, value: str, points: int) -> D
     first = F.when(below == 0, F.lit(0)).otherwise(F.expr(f"((cum_n - n) * {steps}) div _rows") + 1)
     last = F.expr(f"(cum_n * {steps}) div _rows")
     return (
-        curve.join(F.broadcast(sizes), group)
+        null_safe_join(curve, sizes, [group])
         .withColumn("_first", first.cast("int"))
         .withColumn("_last", last.cast("int"))
         .where(F.col("_first") <= F.col("_last"))
@@ -65,16 +66,18 @@ def exact_quantiles(values: DataFrame, group: str, value: str, points: int) -> D
 
 
 def largest(df: DataFrame, by: str, ties: str, k: int, small: int = 10_000) -> DataFrame:
-    """The `k` rows with the largest `by`, ties by the smaller `ties`.
+    """The `k` rows with the largest `by`, ties by the smaller `ties`. Rows without a `by` have no rank and are left out.
 
     Sort-and-limit keeps k rows of every partition and merges them in one task, which is fine for a small
     k. For a larger one the value of the k-th row is found first, on distributed running counts, so that
     only about k rows are left to merge.
     """
+    df = df.where(F.col(by).isNotNull())
     if k > small:
         df = stage(df, "largest")
-        values = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n"))
+        values = df.groupBy(by).agg(F.count("*").alias("_n"))
         curve = running_totals(values, [], [F.col(by).desc()], ["_n"])
         bound = curve.where(F.col("cum__n") - F.col("_n") < k).agg(F.min(by)).head()[0]
-        df = df.where(F.col(by) >= F.lit(bound))
+        if bound is not None:  # else there are no rows
+            df = df.where(F.col(by) >= F.lit(bound))
     return df.orderBy(F.desc(by), F.asc(ties)).limit(k)
