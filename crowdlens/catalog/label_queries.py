@@ -59,7 +59,7 @@ vectors AS (
 )"""
 
 
-def _split_sql(key: str) -> str:
+def split_sql(key: str) -> str:
     return (f"CASE WHEN ('0x' || substr(md5('cci-v1|' || {key}), 1, 8))::BIGINT % 1000 < 200 "
             "THEN 'test' ELSE 'train' END")
 
@@ -71,7 +71,7 @@ labelled AS (
          CAST(review_date - yelping_since AS INT) AS account_age_days_at_review,
          round(stars - coalesce(average_stars, stars) + 1e-10, 6) AS star_deviation_from_user_mean,
          CAST(CASE WHEN friends = 'None' THEN 0 ELSE len(string_split(friends, ',')) END AS INT) AS friend_count,
-         {_split_sql('business_id::VARCHAR')} AS split
+         {split_sql('business_id::VARCHAR')} AS split
   FROM review r JOIN vectors USING (business_id) LEFT JOIN user_profile u ON u.user_id = r.user_id
   WHERE length(text) >= 24 AND r.user_id IS NOT NULL
 )"""
@@ -115,16 +115,18 @@ def review_labeled(spark, sf):
     ), "star_deviation_from_user_mean")
 
 
-@query("grouped_split", f"SELECT doc_id, source, {_split_sql('source')} AS split FROM documents")
+@query("grouped_split", f"SELECT doc_id, source, {split_sql('source')} AS split FROM documents")
 def grouped_split(spark, sf):
     docs = tables.read(spark, sf, "documents").select("doc_id", "source")
     return split.grouped_split(docs, "source", method="md5")
 
 
-@query("grouped_split_xxhash64")
+@query("grouped_split_xxhash64", """SELECT doc_id, source, TRUE AS whole_group FROM documents""")
 def grouped_split_xxhash64(spark, sf):
-    """The default hash, which the checking engine does not have."""
-    return split.grouped_split(tables.read(spark, sf, "documents").select("doc_id", "source"), "source")
+    """The default hash, which the checking engine does not have: every group lies whole on one side."""
+    docs = split.grouped_split(tables.read(spark, sf, "documents").select("doc_id", "source"), "source")
+    sides = docs.groupBy("source").agg((F.min("split") == F.max("split")).alias("whole_group"))
+    return docs.select("doc_id", "source").join(sides, "source").select("doc_id", "source", "whole_group")
 
 
 @query("split_summary", f"""WITH {CTE_LABELLED}
@@ -183,16 +185,19 @@ def clean_numeric(spark, sf):
     return tables.read(spark, sf, "documents").select("doc_id", finite_or_zero(number).alias("number"))
 
 
-@query("hash_sample")
+@query("hash_sample", f"""SELECT doc_id, source, lang FROM documents
+WHERE md5('17|' || doc_id) < '{split.md5_threshold(0.25)}'""")
 def hash_sample(spark, sf):
     docs = tables.read(spark, sf, "documents").select("doc_id", "source", "lang")
-    return split.hash_sample(docs, "doc_id", 0.25)
+    return split.hash_sample(docs, "doc_id", 0.25, method="md5")
 
 
-@query("bounded_sample", "SELECT doc_id, quality FROM labels")
+@query("bounded_sample", """SELECT doc_id, quality FROM labels WHERE md5('17|' || doc_id) < (
+  SELECT lpad(lower(hex((100.0::DOUBLE / count(*) * 18446744073709551616.0)::UBIGINT)), 16, '0') || repeat('0', 16)
+  FROM labels)""")
 def bounded_sample(spark, sf):
-    """A table within the limit is kept whole."""
+    """About 100 rows of a larger table."""
     found = tables.read(spark, sf, "labels").select("doc_id", "quality")
-    return split.bounded_sample(found, "doc_id", 1_000_000_000)
+    return split.bounded_sample(found, "doc_id", 100, method="md5")
 
 

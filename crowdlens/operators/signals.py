@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crowdlens.operators.joins import hot_split_join
 from crowdlens.params import QueueParams
+from crowdlens.session import stage
 
 
 def reviews_in_window(
@@ -33,11 +34,11 @@ def business_consensus(
     reviews: DataFrame, business: str = "business_id", stars: str = "stars", min_reviews: int = 10
 ) -> DataFrame:
     """Mean rating of every business that has enough reviews for one."""
-    return (
-        reviews.groupBy(business)
-        .agg(F.avg(stars).alias("business_mean_stars"), F.count("*").alias("business_n_reviews"))
-        .where(F.col("business_n_reviews") >= min_reviews)
-    )
+    rated = reviews.groupBy(business).agg(
+        F.sum(stars).alias("_sum"), F.count(stars).alias("_rated"), F.count("*").alias("business_n_reviews"))
+    mean = F.try_divide(F.col("_sum"), F.col("_rated"))
+    return rated.where(F.col("business_n_reviews") >= min_reviews).select(
+        business, mean.alias("business_mean_stars"), "business_n_reviews")
 
 
 def burstiness(reviews: DataFrame, author: str = "user_id", date: str = "review_date") -> DataFrame:
@@ -150,11 +151,14 @@ def reviewer_signals(
 ) -> DataFrame:
     """One row per author with enough reviews: the five signals and what they were computed from.
 
-    `reviews` needs user_id, business_id, stars, review_date, text_len and text_hash; each aggregation
-    reads only its own columns. All four sides are partitioned by author when they meet.
+    `reviews` needs user_id, business_id, stars, review_date, text_len and text_hash. These six narrow columns and the
+    consensus (one row per business) are written once: five aggregations then read a small table instead of repeating
+    whatever `reviews` is made of, and each reads only its own columns. All four sides are partitioned by author when
+    they meet.
     """
-    history = reviews_in_window(reviews, params.start_date, params.end_date, author=author)
-    consensus = business_consensus(history, min_reviews=params.min_reviews_per_business)
+    needed = [author, "business_id", "stars", "review_date", "text_len", "text_hash"]
+    history = stage(reviews_in_window(reviews, params.start_date, params.end_date, author=author).select(*needed), "history")
+    consensus = stage(business_consensus(history, min_reviews=params.min_reviews_per_business), "consensus")
     user_columns = [name for name in users.columns if name != author]
     signals = (
         reviewer_profile(history, consensus, params, author=author)
@@ -162,14 +166,7 @@ def reviewer_signals(
         .join(duplication(history, author), author, "left")
         .join(users.select(author, *user_columns), author, "left")
     )
-    days = F.datediff(F.col("first_review_date"), F.to_date(joined_at))
-    return (
-        signals.withColumn("days_to_first_review", days)
-        .withColumn("precocity", precocity(F.col("days_to_first_review")))
-        .withColumn(
-            "precocity_imputed",
-            F.col("days_to_first_review").isNull() | (F.col("days_to_first_review") < 0),
-        )
-        .withColumn("duplication", F.coalesce("duplication", F.lit(0.0)))
-        .withColumn("deviation", F.coalesce("deviation", F.lit(0.0)))
-    )
+    gap = F.datediff(F.col("first_review_date"), F.to_date(joined_at))
+    derived = {name: F.coalesce(name, F.lit(0.0)) for name in ("duplication", "deviation")}
+    derived |= {"days_to_first_review": gap, "precocity": precocity(gap), "precocity_imputed": ~F.coalesce(gap >= 0, F.lit(False))}
+    return signals.withColumns(derived)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crowdlens.operators.joins import null_safe_join
 
+
+# Salt, hash and number of buckets decide the side of every group and must not change.
 def _bucket(key: Column, salt: str, method: str, buckets: int) -> Column:
     salted = F.concat_ws("|", F.lit(salt), key)
     if method == "xxhash64":
@@ -35,14 +38,22 @@ def split_summary(
     df: DataFrame, group: str = "business_id", author: str = "user_id", labels: str = "n_labels",
     split: str = "split", approximate: bool = False,
 ) -> DataFrame:
-    """Rows, distinct groups and authors, and mean labels per side."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    return df.groupBy(split).agg(
-        F.count("*").alias("rows"),
-        distinct(F.col(group)).alias("businesses"),
-        distinct(F.col(author)).alias("users"),
-        F.round(F.avg(labels), 3).alias("avg_labels"),
-    )
+    """Rows, distinct groups and authors, and mean labels per side.
+
+    The exact counts come from sums per (side, group) and per (side, author), which combine before their shuffles;
+    counting both in one aggregation would triple the rows.
+    """
+    totals = [F.count("*").alias("rows"), F.sum(labels).alias("_sum"), F.count(labels).alias("_n")]
+    if approximate:
+        found = df.groupBy(split).agg(
+            *totals, F.approx_count_distinct(group).alias("businesses"), F.approx_count_distinct(author).alias("users"))
+    else:
+        groups = df.groupBy(split, group).agg(*totals).groupBy(split).agg(
+            *[F.sum(name).alias(name) for name in ("rows", "_sum", "_n")], F.count(group).alias("businesses"))
+        authors = df.groupBy(split, author).agg(F.lit(1)).groupBy(split).agg(F.count(author).alias("users"))
+        found = null_safe_join(groups, authors, [split])
+    mean = F.round(F.try_divide(F.col("_sum"), F.col("_n")), 3)
+    return found.select(split, "rows", "businesses", "users", mean.alias("avg_labels"))
 
 
 def split_leakage(df: DataFrame, group: str = "business_id", split: str = "split") -> DataFrame:
@@ -55,18 +66,29 @@ def split_leakage(df: DataFrame, group: str = "business_id", split: str = "split
     )
 
 
-def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 17) -> DataFrame:
-    """Uniform sample by a seeded hash of the key.
+def md5_threshold(fraction: float) -> str:
+    """The 32 hexadecimal digits below which `fraction` of all md5 sums lie."""
+    return f"{min(int(fraction * 2**64), 2**64 - 1):016x}" + "0" * 16
 
-    Unlike `sample`, the choice does not depend on partitioning, and a retried task repeats it.
+
+def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 17, method: str = "xxhash64") -> DataFrame:
+    """Uniform sample by a seeded hash of the key, compared in full length, so that no fraction is too small.
+
+    Unlike `sample`, the choice does not depend on partitioning, and a retried task repeats it. `md5` is slower and
+    can be repeated in any engine.
     """
-    resolution = 1 << 20
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(resolution)) < int(fraction * resolution))
+    if fraction >= 1:
+        return df
+    if method == "md5":
+        return df.where(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))) < md5_threshold(fraction))
+    if method != "xxhash64":
+        raise ValueError(f"unknown hash: {method!r}")
+    return df.where(F.xxhash64(F.lit(seed), F.col(key)) < F.lit(int(fraction * 2**64) - 2**63))
 
 
-def bounded_sample(df: DataFrame, key: str, limit: int | None, seed: int = 17) -> DataFrame:
+def bounded_sample(df: DataFrame, key: str, limit: int | None, seed: int = 17, method: str = "xxhash64") -> DataFrame:
     """About `limit` rows spread over the whole table; all rows where there are no more than that."""
     if limit is None:
         return df
     total = df.count()
-    return df if total <= limit else hash_sample(df, key, limit / total, seed)
+    return df if total <= limit else hash_sample(df, key, limit / total, seed, method)

@@ -28,6 +28,8 @@ NUMERIC_FEATURES = (
 )
 
 
+# The defaults below that decide results (dates, minima, pseudo count, breakpoints, clips, split, text and
+# sample sizes) are those a user expects; `hot_rows` and `salts` only change plans.
 @dataclass(frozen=True)
 class QueueParams:
     """Review-queue settings."""
