@@ -7,23 +7,25 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from crowdlens.functions.numeric import finite_or_zero
+from crowdlens.functions.numeric import finite_or_zero, logistic
 from crowdlens.operators.labels import label_prevalence
 from crowdlens.operators.metrics import multilabel_report
 from crowdlens.session import stage
 
+BROADCAST_TERMS = 1_000_000
+
 
 def indexed_terms(weights: DataFrame, index: DataFrame, index_rows: int | None = None) -> DataFrame:
     """(id, idx, w) for terms of a fixed index (term, idx); the index is broadcast up to a million terms."""
-    bounded = index_rows is not None and index_rows <= 1_000_000
+    bounded = index_rows is not None and index_rows <= BROADCAST_TERMS
     return weights.join(F.broadcast(index) if bounded else index, "term").drop("term")
 
 
@@ -31,7 +33,7 @@ def sparse_rows(cells: DataFrame, width: int, id_col: str = "doc_id", out: str =
     """One sparse vector per id from (id, idx, w). The lists are as long as single documents are."""
     @F.udf(VectorUDT())
     def to_vector(pairs):
-        return SparseVector(width, {pair.idx: pair.w for pair in pairs})
+        return SparseVector(width, {pair.idx: pair.w for pair in pairs if pair.idx is not None})
 
     gathered = cells.groupBy(id_col).agg(F.collect_list(F.struct("idx", "w")).alias("_cells"))
     return gathered.select(id_col, to_vector("_cells").alias(out))
@@ -40,11 +42,43 @@ def sparse_rows(cells: DataFrame, width: int, id_col: str = "doc_id", out: str =
 def sparse_features(
     docs: DataFrame, weights: DataFrame, index: DataFrame, width: int, id_col: str = "doc_id", out: str = "features"
 ) -> DataFrame:
-    """`docs` with a sparse vector of their term weights; a document without any known term gets zeros."""
-    empty = F.udf(lambda: SparseVector(width, {}), VectorUDT())
-    rows = sparse_rows(indexed_terms(weights, index, width), width, id_col, out)
-    joined = docs.join(rows, id_col, "left")
-    return joined.withColumn(out, F.coalesce(F.col(out), empty()))
+    """`docs` with a sparse vector of their term weights; a document without any known term gets zeros.
+
+    For training rows, whose number is bounded: vectors are packed by a Python function. Other rows are scored by
+    `linear_scores` or projected by `project`, which are joins.
+    """
+    cells = docs.select(id_col).join(indexed_terms(weights, index, width), id_col, "left")
+    return docs.join(sparse_rows(cells, width, id_col, out), id_col)
+
+
+def linear_scores(
+    docs: DataFrame, weights: DataFrame, index: DataFrame, models: list, id_col: str = "doc_id",
+    keep: Sequence[str] = ("doc_id", "labels"),
+) -> DataFrame:
+    """`keep` and `scores` of fitted linear models for any number of documents, by one join and one aggregation.
+
+    A document without any known term has the margin of the intercepts.
+    """
+    table, intercepts = coefficient_table(docs.sparkSession, index, models)
+    known = weights.join(F.broadcast(table), "term")
+    sums = known.groupBy(id_col).agg(*[
+        F.sum(F.col("w") * F.col("coefs")[j]).alias(f"_m{j}") for j in range(len(models))])
+    margins = [F.coalesce(F.col(f"_m{j}"), F.lit(0.0)) + F.lit(intercepts[j]) for j in range(len(models))]
+    scored = docs.join(sums, id_col, "left")
+    return scored.select(*keep, F.array(*[logistic(margin) for margin in margins]).alias("scores"))
+
+
+def coefficient_table(spark, index: DataFrame, models: list) -> tuple[DataFrame, list[float]]:
+    """(term, coefs) of the selected terms and the intercepts; a constant label has no terms and a large intercept.
+
+    At most as many rows as the index has selected terms: small enough to be broadcast.
+    """
+    intercepts = [(1.0 if m else -1.0) * 1e3 if isinstance(m, float) else float(m.intercept) for m in models]
+    fitted = {j: m.coefficients.toArray() for j, m in enumerate(models) if not isinstance(m, float)}
+    width = max((len(c) for c in fitted.values()), default=0)
+    rows = [(i, [float(fitted[j][i]) if j in fitted else 0.0 for j in range(len(models))]) for i in range(width)]
+    coefficients = spark.createDataFrame(rows, "idx int, coefs array<double>")
+    return index.join(coefficients, "idx").select("term", "coefs"), intercepts
 
 
 def fit_each_label(
@@ -147,29 +181,33 @@ def text_svd(
 ) -> tuple[DataFrame, DataFrame, float]:
     """Project (id, idx, w) rows onto the leading right singular vectors of the training rows.
 
-    Uncentred, as for sparse text. Ids are whole numbers. Returns (id, svd) for both sides and the share
-    of the training variance explained. Only the basis (width × dims) passes through the driver; the rows
-    are written once as vectors, because the decomposition reads them in every iteration.
+    Uncentred, as for sparse text. Ids are whole numbers. Returns (id, svd) of all documents with a known term on both
+    sides, and the share of the training variance explained. Only the basis (width x dims) passes through the driver;
+    training rows are written once as vectors, because the decomposition reads them in every iteration.
     """
-    def matrix(cells: DataFrame) -> tuple[IndexedRowMatrix, int]:
-        rows = stage(sparse_rows(cells, width, id_col), "svd-rows")
-        vectors = rows.select(F.col(id_col).cast("long").alias("index"), F.col("features").alias("vector"))
-        return IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), numCols=width), rows.count()
-
-    training, documents = matrix(train)
+    rows = stage(sparse_rows(train, width, id_col), "svd-rows")
+    vectors = rows.select(F.col(id_col).cast("long").alias("index"), F.col("features").alias("vector"))
+    matrix, documents = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), numCols=width), rows.count()
     rank = max(1, min(dims, min(documents, width) - 1))
-    basis = training.computeSVD(rank).V
+    values = matrix.computeSVD(rank).V.toArray()
+    basis = stage(train.sparkSession.createDataFrame(
+        [(i, row.tolist()) for i, row in enumerate(values)], "idx int, v array<double>"), "svd-basis")
+    left = stage(project(train, basis, width, id_col), "svd-train")
+    return left, project(test, basis, width, id_col), _explained(left, train, documents)
 
-    def project(source: IndexedRowMatrix) -> DataFrame:
-        projected = source.multiply(basis).rows.map(lambda row: (row.index, row.vector.asML()))
-        return train.sparkSession.createDataFrame(projected, _svd_schema(id_col))
 
-    left, right = stage(project(training), "svd-train"), project(matrix(test)[0])
-    return left, right, _explained(left, train, documents)
+def project(cells: DataFrame, basis: DataFrame, width: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, svd): for every id the sum of its weights times the basis rows of its terms."""
+    bounded = F.broadcast(basis) if width <= 20_000 else basis
+    rows = cells.join(bounded, "idx").select(id_col, "w", array_to_vector("v").alias("_v"))
+    return rows.groupBy(id_col).agg(Summarizer.sum(F.col("_v"), F.col("w")).alias("svd"))
 
 
-def _svd_schema(id_col: str) -> StructType:
-    return StructType([StructField(id_col, LongType()), StructField("svd", VectorUDT())])
+def with_projection(docs: DataFrame, projected: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """`docs` with `svd`; a document without any known term has the zero vector."""
+    size = projected.select(F.max(F.size(vector_to_array("svd")))).head()[0] or 1
+    zeros = array_to_vector(F.array_repeat(F.lit(0.0), size))
+    return docs.join(projected, id_col, "left").withColumn("svd", F.coalesce("svd", zeros))
 
 
 def _explained(projected: DataFrame, cells: DataFrame, documents: int) -> float:

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crowdlens.functions.numeric import logistic
-from crowdlens.operators.models import fit_each_label, linear_estimator, sparse_features
+from crowdlens.operators.models import (
+    BROADCAST_TERMS, coefficient_table, fit_each_label, linear_estimator, sparse_features,
+)
 from crowdlens.operators.predictions import topk_categories
 from crowdlens.operators.terms import chi2_scores, chi2_select, term_stats, tfidf, tokenise
 from crowdlens.params import TextParams
@@ -51,11 +53,12 @@ class TextModel:
     def probabilities(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, probabilities) of every document; one without a known term gets the intercepts.
 
-        The model has at most `max_features` terms and is broadcast. Each document's sums are formed where
-        its text is, so the only data moved is the text itself.
+        A model of at most BROADCAST_TERMS terms is broadcast: then each document's sums are formed where its text is,
+        and the only data moved is the text itself. A larger one meets the terms in a shuffle.
         """
         tokens = tokenise(docs, id_col, text_col, self.ngrams)
-        known = tokens.join(F.broadcast(self.terms), "term").select(
+        bounded = self.terms.count() <= BROADCAST_TERMS
+        known = tokens.join(F.broadcast(self.terms) if bounded else self.terms, "term").select(
             id_col, ((F.log("tf") + 1.0) * F.col("idf")).alias("_w"), "coefs"
         )
         size = len(self.intercepts)
@@ -93,7 +96,7 @@ def training_terms(
     labels_col: str = "labels",
 ) -> TrainingTerms:
     """Vocabulary, weights and chi-squared ranking, from the training documents alone."""
-    tokens = tokenise(train, id_col, text_col, params.ngrams)
+    tokens = stage(tokenise(train, id_col, text_col, params.ngrams), "tokens")
     vocabulary = stage(term_stats(tokens, params.min_df, params.max_features), "vocabulary")
     n_docs = train.count()
     weights = stage(tfidf(tokens, vocabulary, n_docs, id_col, params.max_features), "weights")
@@ -104,29 +107,26 @@ def training_terms(
 def fit_text_model(
     train: DataFrame, categories: Sequence[str], params: TextParams = TextParams(), id_col: str = "doc_id",
     text_col: str = "text", labels_col: str = "labels", c: float = 4.0, max_iter: int = 400, parallel: int = 4,
-    prepared: TrainingTerms | None = None,
+    prepared: TrainingTerms | None = None, fitted: tuple | None = None,
 ) -> TextModel:
     """TF-IDF, chi-squared selection of `select_k` terms and one logistic regression per label.
 
-    The coefficients of the selected terms pass through the driver: select_k × labels numbers.
+    The coefficients of the selected terms pass through the driver: select_k × labels numbers. `fitted` takes the term
+    index and models of an earlier fit on the same terms instead of fitting again.
     """
     spark = train.sparkSession
     found = prepared or training_terms(train, params, id_col, text_col, labels_col)
-    index = stage(term_index(chi2_select(found.ranking, params.select_k)), "terms")
-    width = index.count()
-    features = sparse_features(train.select(id_col, labels_col), found.weights, index, width, id_col)
-    models = fit_each_label(features, labels_col, linear_estimator("features", c, max_iter), parallel)
-
-    # A constant label becomes a model without terms and a large intercept.
-    intercepts = tuple((1.0 if m else -1.0) * 1e3 if isinstance(m, float) else float(m.intercept) for m in models)
-    columns = [[0.0] * width if isinstance(m, float) else m.coefficients.toArray().tolist() for m in models]
-    coefficients = spark.createDataFrame(
-        [(i, [column[i] for column in columns]) for i in range(width)], "idx int, coefs array<double>"
-    )
+    if fitted is None:
+        index = stage(term_index(chi2_select(found.ranking, params.select_k)), "terms")
+        features = sparse_features(train.select(id_col, labels_col), found.weights, index, index.count(), id_col)
+        models = fit_each_label(features, labels_col, linear_estimator("features", c, max_iter), parallel)
+    else:
+        index, models = fitted
+    coefficients, intercepts = coefficient_table(spark, index, models)
     idf = F.log((1.0 + found.n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     terms = (
         found.vocabulary.select("term", idf.alias("idf"))
-        .join(F.broadcast(index.join(coefficients, "idx")), "term", "left")
+        .join(F.broadcast(coefficients), "term", "left")
         .select("term", "idf", "coefs")
     )
-    return TextModel(stage(terms, "text-model"), intercepts, tuple(categories), params.ngrams)
+    return TextModel(stage(terms, "text-model"), tuple(intercepts), tuple(categories), params.ngrams)

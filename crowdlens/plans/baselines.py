@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from crowdlens.operators.latency import sweep_pct_of_best
 from crowdlens.operators.metrics import multilabel_report, scores_long
 from crowdlens.operators.models import (
-    dense_features, fit_gbt, fit_linear, fit_linear_dense, indexed_terms, sparse_features, text_svd, vocab_sweep,
+    dense_features, fit_each_label, fit_gbt, fit_linear_dense, indexed_terms, linear_estimator, linear_scores,
+    sparse_features, text_svd, vocab_sweep, with_projection,
 )
 from crowdlens.operators.split import bounded_sample, split_slice
 from crowdlens.operators.terms import chi2_select, tfidf, tokenise
@@ -41,6 +42,7 @@ class Baselines:
             "test-weights",
         )
         self._dense = None
+        self.linear_models = None  # term index and models of the whole linear arm, once fitted
 
     def linear(self, k: int | None = None) -> DataFrame:
         """Logistic regression on the `k` best terms."""
@@ -48,8 +50,10 @@ class Baselines:
         width = index.count()
         keep = [self.id_col, "labels"]
         left = sparse_features(self.train.select(*keep), self.terms.weights, index, width, self.id_col)
-        right = sparse_features(self.test.select(*keep), self.test_weights, index, width, self.id_col)
-        return self._long(fit_linear(left, right, keep=keep, max_iter=self.max_iter))
+        models = fit_each_label(left, "labels", linear_estimator("features", max_iter=self.max_iter))
+        if k is None:
+            self.linear_models = (index, models)
+        return self._long(linear_scores(self.test, self.test_weights, index, models, self.id_col, keep))
 
     def projected(self) -> tuple[DataFrame, DataFrame, float]:
         """SVD of the whole vocabulary; both sides with labels and numeric columns."""
@@ -59,10 +63,9 @@ class Baselines:
             sides = [indexed_terms(w, index, width) for w in (self.terms.weights, self.test_weights)]
             left, right, explained = text_svd(*sides, width, self.params.svd_dims, self.id_col)
             columns = [self.id_col, "labels", *self.numeric]
-            # A document without any known term has no projection and takes no part in the dense arms.
             self._dense = (
-                stage(self.train.select(*columns).join(left, self.id_col), "svd-train"),
-                stage(self.test.select(*columns).join(right, self.id_col), "svd-test"),
+                stage(with_projection(self.train.select(*columns), left, self.id_col), "svd-train"),
+                stage(with_projection(self.test.select(*columns), right, self.id_col), "svd-test"),
                 explained,
             )
         return self._dense
@@ -115,6 +118,6 @@ def run(
     merged = record(fitted.report(arms), f"{out}/baseline_metrics")
     if sweep:
         record(sweep_pct_of_best(fitted.sweep(sweep)), f"{out}/vocab_sweep", "k")
-    model = fit_text_model(fitted.train, categories, params, id_col, prepared=fitted.terms)
+    model = fit_text_model(fitted.train, categories, params, id_col, prepared=fitted.terms, fitted=fitted.linear_models)
     model.save(f"{out}/text_model")
     return merged
