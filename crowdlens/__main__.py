@@ -5,11 +5,13 @@ from __future__ import annotations
 import argparse
 
 from crowdlens.operators.labels import vocabulary_list
+from crowdlens.operators.split import bounded_sample
 from crowdlens.params import LabelParams, QueueParams, TextParams, from_conf
 from crowdlens.plans import baselines, labelled_table, review_queue, scoring_parity, stream_scoring
 from crowdlens.session import get_spark
 from crowdlens.sources import events, lake, raw
 from crowdlens.sources.schemas import SCHEMAS
+from crowdlens.streaming import progress
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,10 +36,10 @@ def parser() -> argparse.ArgumentParser:
     fit.add_argument("--arms", nargs="+", choices=baselines.ARMS, default=["linear_tfidf"])
     fit.add_argument("--sweep", nargs="*", type=int, default=[])
     land = job("land", "source", "target")
-    land.add_argument("--dry-run", action="store_true", help="only list files and bytes per partition")
+    land.add_argument("--dry-run", action="store_true", help="only write files and bytes per partition to target/_manifest")
     replay = job("replay", "features", "target")
     replay.add_argument("--split", choices=["train", "test"], default="test")
-    replay.add_argument("--limit", type=int, default=50_000)
+    replay.add_argument("--limit", type=int, help="about so many events, spread over the whole table; all by default")
     replay.add_argument("--broker", help="Kafka bootstrap servers; without it JSON lines are written to the target")
     stream = job("stream", "model", "out", "checkpoint")
     stream.add_argument("--path", help="folder of JSON lines")
@@ -47,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     stream.add_argument("--max-per-batch", type=int)
     stream.add_argument("--wait", help="trigger interval; without it the job stops when it has caught up")
     stream.add_argument("--top-k", type=int, default=3)
+    stream.add_argument("--publish-to", help="topic or folder for scored events as keyed messages")
     return top
 
 
@@ -72,19 +75,28 @@ def main(arguments: list[str] | None = None) -> None:
         ).show()
     elif args.job == "land":
         if args.dry_run:
-            lake.landing_manifest(spark, args.source).orderBy("partition").show(1000, truncate=False)
+            lake.landing_manifest(spark, args.source).write.mode("overwrite").json(f"{args.target}/_manifest")
         else:
             lake.land(spark, args.source, args.target)
     elif args.job == "replay":
-        labelled = spark.read.parquet(f"{args.features}/review_labeled").where(f"split = '{args.split}'").limit(args.limit)
+        labelled = spark.read.parquet(f"{args.features}/review_labeled").where(f"split = '{args.split}'")
+        labelled = bounded_sample(labelled, "review_id", args.limit)
         kafka = {"kafka.bootstrap.servers": args.broker} if args.broker else None
         events.write_messages(events.as_messages(events.review_events(labelled), "business_id"), args.target, kafka)
     elif args.job == "stream":
         kafka = {"kafka.bootstrap.servers": args.broker, "subscribe": args.topic} if args.broker else None
-        stream_scoring.run(
+        log = progress.ProgressLog(echo=True)
+        spark.streams.addListener(log)
+        running = stream_scoring.run(
             spark, args.model, args.out, args.checkpoint, args.path, kafka, args.from_beginning, args.max_per_batch,
-            args.wait, args.top_k,
-        ).awaitTermination()
+            args.wait, args.top_k, args.publish_to,
+        )
+        try:
+            running.awaitTermination()
+        finally:  # also of a run that was interrupted
+            report = progress.stream_report(progress.progress_table(spark, running))
+            report.write.mode("append").json(f"{args.out}/run_report")
+            report.show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -19,8 +19,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), on
 
 
 def land(spark: SparkSession, source: str, target: str, partition_by: Sequence[str] = ("year",)) -> None:
-    """Copy a Parquet table to another store, keeping its partition folders. `target` may be any Hadoop path."""
-    write_parquet(spark.read.parquet(source), target, partition_by)
+    """Copy a Parquet table to another store, keeping those of `partition_by` that it has. `target` may be any Hadoop path.
+
+    Rebalancing gives each partition folder files of even size.
+    """
+    table = spark.read.parquet(source)
+    kept = [name for name in partition_by if name in table.columns]
+    write_parquet(table.hint("rebalance", *kept) if kept else table, target, kept)
 
 
 def landing_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -47,6 +47,11 @@ def set_aside_broken(raw: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]
     return raw.where(_usable(entity)).drop(CORRUPT), raw.where(~_usable(entity))
 
 
+def moment(column: str) -> Column:
+    """Time of a raw record; a bad one becomes null."""
+    return F.try_to_timestamp(column, F.lit(TIMESTAMP_FORMAT))
+
+
 def transform_business(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("category_list", clean_list(F.col("categories")))
@@ -58,9 +63,8 @@ def transform_business(df: DataFrame) -> DataFrame:
 
 def transform_review(df: DataFrame, order: str = "reference", min_fingerprint_chars: int = 0) -> DataFrame:
     """Parsed time with its date and year, text length, words and fingerprint. A bad time becomes null."""
-    moment = F.try_to_timestamp("date", F.lit(TIMESTAMP_FORMAT))
     return (
-        df.withColumn("ts", moment)
+        df.withColumn("ts", moment("date"))
         .withColumns({"review_date": F.to_date("ts"), "year": F.year("ts")})
         .withColumns({
             "text_len": F.length("text"),
@@ -74,7 +78,7 @@ def transform_review(df: DataFrame, order: str = "reference", min_fingerprint_ch
 def transform_user(df: DataFrame) -> DataFrame:
     """Join time, number of friends and of elite years. The lists themselves are dropped."""
     return df.withColumns({
-        "yelping_since_ts": F.try_to_timestamp("yelping_since", F.lit(TIMESTAMP_FORMAT)),
+        "yelping_since_ts": moment("yelping_since"),
         "friend_count": counted_list(F.col("friends"), ("None",)),
         "elite_years": counted_list(F.col("elite"), ("",)),
     }).drop("friends", "elite", "yelping_since")
@@ -85,8 +89,7 @@ def transform_checkin(df: DataFrame) -> DataFrame:
 
 
 def transform_tip(df: DataFrame) -> DataFrame:
-    moment = F.try_to_timestamp("date", F.lit(TIMESTAMP_FORMAT))
-    return df.withColumn("ts", moment).withColumn("tip_date", F.to_date("ts")).drop("date")
+    return df.withColumns({"ts": moment("date"), "tip_date": F.to_date(moment("date"))}).drop("date")
 
 
 TRANSFORMS = {
@@ -113,10 +116,11 @@ class RowsLost(RuntimeError):
 def ingest_entity(spark: SparkSession, entity: str, raw_path: str, out_root: str) -> IngestResult:
     """Read, transform and write one entity, then check that every record landed or was quarantined.
 
-    Clean input is parsed once; the check counts lines without parsing them, and only if some did not land
-    does a second pass write the broken ones aside. Reviews are partitioned by year. Rebalancing gives
-    each year files of even size: without it every input task would leave a small file in every year, and
-    a plain repartition one huge file per year.
+    Clean input is parsed once; the check counts lines without parsing them (observed metrics would save that pass, but a
+    session that has used them can no longer run the ML models of this Spark version). Only if some did not land does a
+    second pass write the broken ones aside; a quarantine of an earlier run goes away. Reviews are partitioned by year.
+    Rebalancing gives each year files of even size: without it every input task would leave a small file in every year,
+    and a plain repartition one huge file per year.
     """
     usable, broken = set_aside_broken(read_raw(spark, entity, raw_path), entity)
     target, aside = f"{out_root}/{entity}", f"{out_root}/_quarantine/{entity}"
@@ -124,9 +128,10 @@ def ingest_entity(spark: SparkSession, entity: str, raw_path: str, out_root: str
     if entity in PARTITION_BY:
         rows = rows.hint("rebalance", *PARTITION_BY[entity])
     rows.write.mode("overwrite").partitionBy(*PARTITION_BY.get(entity, ())).parquet(target)
-    rows_in = spark.read.text(raw_path).where(F.trim("value") != "").count()
+    # A line of blanks and tabs is no record; the JSON reader skips it.
+    rows_in = spark.read.text(raw_path).where(F.col("value").rlike(r"[^ \t\r]")).count()
     written, quarantined = spark.read.parquet(target).count(), 0
-    if written != rows_in:
+    if written != rows_in or _exists(spark, aside):
         broken.write.mode("overwrite").parquet(aside)
         quarantined = spark.read.parquet(aside).count()
     result = IngestResult(entity, rows_in, written, quarantined)
@@ -135,6 +140,11 @@ def ingest_entity(spark: SparkSession, entity: str, raw_path: str, out_root: str
     return result
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def ingest(
     spark: SparkSession, raw_paths: dict, out_root: str, only: Sequence[str] | None = None
 ) -> list[IngestResult]:

@@ -2,53 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import (
-    DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType,
-)
-
-_TEXT, _LONG, _DOUBLE = StringType(), LongType(), DoubleType()
-_MAP = MapType(StringType(), StringType())
-
-
-def _schema(*columns: tuple) -> StructType:
-    return StructType([StructField(name, kind, name != required) for name, kind, required in columns])
-
-
-def _columns(spec: str, kind, required: str = "") -> list[tuple]:
-    return [(name, kind, required) for name in spec.split()]
+from pyspark.sql.types import DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
+STRING, LONG, INT, DOUBLE = StringType(), LongType(), IntegerType(), DoubleType()
+TEXT_MAP = MapType(STRING, STRING)
 
 # Field names, types and field order of the five raw entities. The first id of a keyed
 # entity is declared non-null; the JSON reader does not enforce that, see `sources.raw.read_raw`.
 SCHEMAS = {
-    "business": _schema(
-        *_columns("business_id name address city state postal_code", _TEXT, "business_id"),
-        *_columns("latitude longitude stars", _DOUBLE), *_columns("review_count", _LONG),
-        *_columns("is_open", IntegerType()), *_columns("attributes", _MAP), *_columns("categories", _TEXT),
-        *_columns("hours", _MAP),
-    ),
-    "review": _schema(
-        *_columns("review_id user_id business_id", _TEXT, "review_id"), *_columns("stars", _DOUBLE),
-        *_columns("useful funny cool", _LONG), *_columns("text date", _TEXT),
-    ),
-    "user": _schema(
-        *_columns("user_id name", _TEXT, "user_id"), *_columns("review_count", _LONG),
-        *_columns("yelping_since friends", _TEXT), *_columns("useful funny cool fans", _LONG),
-        *_columns("elite", _TEXT), *_columns("average_stars", _DOUBLE),
-        *_columns(
-            "compliment_hot compliment_more compliment_profile compliment_cute compliment_list compliment_note "
-            "compliment_plain compliment_cool compliment_funny compliment_writer compliment_photos", _LONG,
-        ),
-    ),
-    "checkin": _schema(*_columns("business_id date", _TEXT, "business_id")),
-    "tip": _schema(*_columns("user_id business_id text date", _TEXT), *_columns("compliment_count", _LONG)),
+    "business": StructType([
+        StructField("business_id", STRING, nullable=False),
+        StructField("name", STRING),
+        StructField("address", STRING),
+        StructField("city", STRING),
+        StructField("state", STRING),
+        StructField("postal_code", STRING),
+        StructField("latitude", DOUBLE),
+        StructField("longitude", DOUBLE),
+        StructField("stars", DOUBLE),
+        StructField("review_count", LONG),
+        StructField("is_open", INT),
+        StructField("attributes", TEXT_MAP),
+        StructField("categories", STRING),
+        StructField("hours", TEXT_MAP),
+    ]),
+    "review": StructType([
+        StructField("review_id", STRING, nullable=False),
+        StructField("user_id", STRING),
+        StructField("business_id", STRING),
+        StructField("stars", DOUBLE),
+        StructField("useful", LONG),
+        StructField("funny", LONG),
+        StructField("cool", LONG),
+        StructField("text", STRING),
+        StructField("date", STRING),
+    ]),
+    "user": StructType([
+        StructField("user_id", STRING, nullable=False),
+        StructField("name", STRING),
+        StructField("review_count", LONG),
+        StructField("yelping_since", STRING),
+        StructField("friends", STRING),
+        StructField("useful", LONG),
+        StructField("funny", LONG),
+        StructField("cool", LONG),
+        StructField("fans", LONG),
+        StructField("elite", STRING),
+        StructField("average_stars", DOUBLE),
+        StructField("compliment_hot", LONG),
+        StructField("compliment_more", LONG),
+        StructField("compliment_profile", LONG),
+        StructField("compliment_cute", LONG),
+        StructField("compliment_list", LONG),
+        StructField("compliment_note", LONG),
+        StructField("compliment_plain", LONG),
+        StructField("compliment_cool", LONG),
+        StructField("compliment_funny", LONG),
+        StructField("compliment_writer", LONG),
+        StructField("compliment_photos", LONG),
+    ]),
+    "checkin": StructType([
+        StructField("business_id", STRING, nullable=False),
+        StructField("date", STRING),
+    ]),
+    "tip": StructType([
+        StructField("user_id", STRING),
+        StructField("business_id", STRING),
+        StructField("text", STRING),
+        StructField("date", STRING),
+        StructField("compliment_count", LONG),
+    ]),
 }
 
 # The id a record cannot do without, where it has one.
 PRIMARY_ID = {"business": "business_id", "review": "review_id", "user": "user_id", "checkin": "business_id", "tip": None}
 
+# Fields of a review event.
 EVENT_SCHEMA = StructType([
-    *[StructField(name, _TEXT) for name in ("review_id", "business_id", "user_id", "text")],
-    StructField("stars", _DOUBLE),
-    StructField("produced_at_ms", _DOUBLE),
+    StructField("review_id", STRING),
+    StructField("business_id", STRING),
+    StructField("user_id", STRING),
+    StructField("text", STRING),
+    StructField("stars", DOUBLE),
+    StructField("produced_at_ms", DOUBLE),
 ])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,10 @@ def progress_row(progress) -> tuple:
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps a small row per micro-batch of every query in the session, and prints it if asked."""
+    """Keeps a small row for each of the last micro-batches of the session's queries, and prints it if asked."""
 
-    def __init__(self, echo: bool = False):
-        self.rows: list = []
+    def __init__(self, echo: bool = False, keep: int = 100_000):
+        self.rows: deque = deque(maxlen=keep)
         self.echo = echo
 
     def onQueryStarted(self, event):
@@ -60,7 +61,7 @@ class ProgressLog(StreamingQueryListener):
         pass
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, PROGRESS_DDL)
+        return spark.createDataFrame(list(self.rows), PROGRESS_DDL)
 
 
 def progress_table(spark: SparkSession, query: StreamingQuery) -> DataFrame:

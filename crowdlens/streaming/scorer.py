@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from crowdlens.operators.predictions import topk_categories
-from crowdlens.sources.events import parse_events
+from crowdlens.sources.events import as_messages, parse_events, write_messages
 from crowdlens.sources.schemas import EVENT_SCHEMA
 
 
@@ -46,18 +47,29 @@ def write_batch(batch: DataFrame, batch_id: int, path: str) -> None:
 def score_stream(
     messages: DataFrame, operator: Callable[[DataFrame], DataFrame], out: str, checkpoint: str,
     schema: StructType = EVENT_SCHEMA, quarantine: str | None = None, wait: str | None = None,
-    before_commit: Callable[[int], None] | None = None,
+    before_commit: Callable[[int], None] | None = None, finish: Callable[[DataFrame], DataFrame] | None = None,
+    publish: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
     """Start parse → `operator` → Parquet. The offset is committed after the batch is on disk.
 
-    Without `wait` the query takes what is there and stops by itself; with it, it triggers at that
+    `finish` runs on the computed result, so that a time it takes includes the work of `operator`. `publish` gets what
+    was written and may send it on; after a crash it gets the batch again (at least once). Without `wait` the query takes what is there and stops by itself; with it, it triggers at that
     interval. `operator` is any batch operator; it may join and aggregate within the micro-batch.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()           # read the source once for both outputs
         try:
             good, bad = parse_events(kept, schema)
-            write_batch(operator(good), batch_id, out)
+            scored = operator(good)
+            if finish:
+                scored = scored.persist()
+                scored.count()               # everything is computed before the clock is read
+                write_batch(finish(scored), batch_id, out)
+                scored.unpersist()
+            else:
+                write_batch(scored, batch_id, out)
+            if publish:
+                publish(batch.sparkSession.read.parquet(f"{out}/batch_id={batch_id}"), batch_id)
             if quarantine:
                 write_batch(bad, batch_id, quarantine)
         finally:
@@ -71,9 +83,25 @@ def score_stream(
     return writer.trigger(availableNow=True).start()
 
 
-def landed(spark: SparkSession, path: str) -> DataFrame:
-    """Rows written by `score_stream`."""
-    return spark.read.parquet(path).drop("batch_id")
+def landed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows written by `score_stream`. With their `schema`, a stream that wrote none has an empty table."""
+    reader = spark.read.schema(f"{schema}, batch_id bigint") if schema else spark.read
+    return reader.parquet(path).drop("batch_id")
+
+
+def stamped(scored: DataFrame, now_ms: float | None = None) -> DataFrame:
+    """Scored events with the time at which their scores were there, and the time since production."""
+    now = F.lit(float(now_ms if now_ms is not None else time.time() * 1000))
+    return scored.withColumns({"scored_at_ms": now, "e2e_ms": F.round(now - F.col("produced_at_ms"), 2)})
+
+
+def publish_messages(scored: DataFrame, batch_id: int, target: str, kafka: dict | None = None) -> None:
+    """Scored events as messages keyed by business: to a Kafka topic, or as JSON lines of one folder per batch."""
+    keyed = as_messages(scored, "business_id")
+    if kafka is not None:
+        write_messages(keyed, target, kafka)
+    else:
+        keyed.write.mode("overwrite").json(f"{target}/batch_id={batch_id}")
 
 
 def scored_events(
