@@ -12,7 +12,7 @@ from crowdlens.catalog.tables import CTE_BUSINESS, CTE_REVIEW, CTE_USER
 from crowdlens.functions.lists import clean_list, counted_list
 from crowdlens.functions.text import fingerprint_text, text_fingerprint, word_count
 from crowdlens.operators import features, signals
-from crowdlens.session import stage_path
+from crowdlens.session import stage, stage_path
 from crowdlens.sources import lake, raw
 
 FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -239,9 +239,14 @@ def external_table_count(spark, sf):
     path = partitioned_reviews(spark, sf)
     name = "crowdlens_review_" + path.rsplit("-", 1)[1]
     lake.register_table(spark, name, path, ["year"])
-    return spark.sql(f"SELECT year, count(*) AS reviews FROM {name} GROUP BY year")
+    found = stage(spark.sql(f"SELECT year, count(*) AS reviews FROM {name} GROUP BY year"), "external")
+    spark.sql(f"DROP TABLE {name}")  # an external table: its files stay
+    return found
 
 
-@query("landing_manifest")
+@query("landing_manifest", f"""WITH {CTE_REVIEW}
+SELECT DISTINCT 'year=' || year AS partition, TRUE AS has_files, TRUE AS has_bytes FROM review""")
 def landing_manifest(spark, sf):
-    return lake.landing_manifest(spark, partitioned_reviews(spark, sf))
+    """Number and size of the files depend on the writer; that every partition has some does not."""
+    found = lake.landing_manifest(spark, partitioned_reviews(spark, sf))
+    return found.select("partition", (F.col("files") > 0).alias("has_files"), (F.col("bytes") > 0).alias("has_bytes"))

@@ -204,9 +204,32 @@ def latency_summary_overall(spark, sf):
     return rounded(found, dp=2)
 
 
-@query("latency_summary_sketch")
+@query("latency_summary_sketch", """SELECT event_type, count(value) AS n, round(avg(value) + 1e-10, 2) AS mean_ms,
+       round(quantile_disc(value, 0.5) + 1e-10, 2) AS p50_ms, round(quantile_disc(value, 0.95) + 1e-10, 2) AS p95_ms,
+       round(quantile_disc(value, 0.99) + 1e-10, 2) AS p99_ms, round(max(value) + 1e-10, 2) AS max_ms
+FROM events GROUP BY event_type""")
 def latency_summary_sketch(spark, sf):
-    return latency.latency_summary(tables.read(spark, sf, "events"), "value", ["event_type"], exact=False)
+    """The sketch keeps every rank of up to its accuracy of values, so at that size it is exact."""
+    found = latency.latency_summary(tables.read(spark, sf, "events"), "value", ["event_type"], exact=False, dp=9,
+                                    accuracy=1_000_000)
+    return rounded(found, dp=2)
+
+
+_NULLED = """SELECT CASE WHEN user_id % 5 = 0 THEN NULL ELSE event_type END AS kind, ts, event_id,
+       CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value FROM events"""
+
+
+@query("latency_summary_nulls", f"""SELECT kind, count(value) AS n, round(avg(value) + 1e-10, 2) AS mean_ms,
+       round(quantile_cont(value, 0.5) + 1e-10, 2) AS p50_ms, round(quantile_cont(value, 0.95) + 1e-10, 2) AS p95_ms,
+       round(quantile_cont(value, 0.99) + 1e-10, 2) AS p99_ms, round(max(value) + 1e-10, 2) AS max_ms
+FROM ({_NULLED}) GROUP BY kind""")
+def latency_summary_nulls(spark, sf):
+    """A null key is a key like others; null values are no values."""
+    return rounded(latency.latency_summary(_nulled(spark, sf), "value", ["kind"], dp=9), dp=2)
+
+
+def _nulled(spark, sf):
+    return spark.sql(_NULLED.replace("FROM events", "FROM {events}"), events=tables.read(spark, sf, "events"))
 
 
 ROLLING_N = 500
@@ -222,6 +245,19 @@ def rolling_latency(spark, sf):
     return rounded(found.drop("ts"), dp=4)
 
 
+_OVER = (f"OVER (PARTITION BY kind ORDER BY ts, event_id ROWS BETWEEN {ROLLING_N // 10 - 1} PRECEDING AND CURRENT ROW)")
+
+
+@query("rolling_latency_nulls", f"""SELECT kind, event_id, count(value) {_OVER} AS n, round(avg(value) {_OVER} + 1e-10, 4) AS mean_ms,
+       round(quantile_cont(value, 0.5) {_OVER} + 1e-10, 4) AS p50_ms, round(quantile_cont(value, 0.95) {_OVER} + 1e-10, 4) AS p95_ms,
+       round(quantile_cont(value, 0.99) {_OVER} + 1e-10, 4) AS p99_ms, round(max(value) {_OVER} + 1e-10, 4) AS max_ms
+FROM ({_NULLED}) WHERE value IS NOT NULL""")
+def rolling_latency_nulls(spark, sf):
+    """Windows count values, not rows, and a null key is a key like others."""
+    found = latency.rolling_latency(_nulled(spark, sf), "kind", ["ts", "event_id"], "value", ROLLING_N // 10, dp=9, block=ROLLING_N)
+    return rounded(found.drop("ts"), dp=4)
+
+
 _CURVE = """curve AS (
   SELECT event_type, CAST(batch_size AS BIGINT) AS batch_size, sum(total) / count(*) AS throughput_per_sec FROM (
     SELECT event_type, user_id, CAST(ts AS DATE) AS day, count(*) AS batch_size, sum(value) AS total

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdlens.catalog import tables
-from crowdlens.catalog.registry import query, rounded, rounded_sql, six
+from crowdlens.catalog.registry import ORACLES, query, rounded, rounded_sql, six
 from crowdlens.catalog.tables import CTE_REVIEW, CTE_USER
 from crowdlens.functions.numeric import AS241_CENTRE, AS241_FAR_TAIL, AS241_NEAR_TAIL, norm_ppf
 from crowdlens.operators import parity, scaler, scoring, signals, validation
@@ -225,7 +225,7 @@ def cdf_breakpoints(spark, sf):
     return rounded(scaler.cdf_breakpoints(_shrunk(spark, sf), columns, PARAMS.cdf_points, exact=True))
 
 
-@query("cdf_breakpoints_sketch")
+@query("cdf_breakpoints_sketch", ORACLES["cdf_breakpoints"])
 def cdf_breakpoints_sketch(spark, sf):
     columns = {name: f"s_{name}" for name in SIGNALS}
     return rounded(scaler.cdf_breakpoints(_shrunk(spark, sf), columns, PARAMS.cdf_points))
