@@ -100,6 +100,13 @@ def chi2_scores(
     return sums.where(F.col("_f") > 0).select("term", best.alias("chi2"))
 
 
+def assert_some_term_scores(scores: DataFrame) -> DataFrame:
+    """`scores`, unless no term has a positive one: then a selection would be arbitrary."""
+    if not scores.where(F.col("chi2") > 0).limit(1).count():
+        raise DegenerateTarget("no term has a positive chi-squared score")
+    return scores
+
+
 def chi2_select(scores: DataFrame, k: int = 20_000) -> DataFrame:
     """The `k` best terms as (term, chi2, rank); ties by name."""
     best = largest(scores, "chi2", "term", k)

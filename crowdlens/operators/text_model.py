@@ -13,7 +13,7 @@ from crowdlens.operators.models import (
     BROADCAST_TERMS, coefficient_table, fit_each_label, linear_estimator, sparse_features,
 )
 from crowdlens.operators.predictions import topk_categories
-from crowdlens.operators.terms import chi2_scores, chi2_select, term_stats, tfidf, tokenise
+from crowdlens.operators.terms import assert_some_term_scores, chi2_scores, chi2_select, term_stats, tfidf, tokenise
 from crowdlens.params import TextParams
 from crowdlens.session import stage
 
@@ -100,7 +100,7 @@ def training_terms(
     vocabulary = stage(term_stats(tokens, params.min_df, params.max_features), "vocabulary")
     n_docs = train.count()
     weights = stage(tfidf(tokens, vocabulary, n_docs, id_col, params.max_features), "weights")
-    scores = stage(chi2_scores(weights, train, id_col, labels_col), "chi2")
+    scores = assert_some_term_scores(stage(chi2_scores(weights, train, id_col, labels_col), "chi2"))
     return TrainingTerms(weights, vocabulary, n_docs, scores)
 
 

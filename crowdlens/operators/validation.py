@@ -24,6 +24,11 @@ def _required(name: str) -> Rule:
     return Rule(f"/{name}", "required", lambda: F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double")))
 
 
+def _finite(name: str) -> Rule:
+    return Rule(f"/{name}", "must be finite",
+                lambda: F.col(name).isNull() | (F.abs(F.col(name).cast("double")) < F.lit(float("inf"))) | F.isnan(name))
+
+
 def _within(name: str, low: float, high: float | None) -> Rule:
     if high is None:
         return Rule(f"/{name}", f"must be >= {low:g}", lambda: F.col(name).isNull() | (F.col(name) >= low))
@@ -38,7 +43,7 @@ def signal_rules() -> list[Rule]:
     shares = ("duplication", "rating_extremity")
     rules = [_required("n_reviews"), _within("n_reviews", 1, None)]
     for name in SIGNALS:
-        rules += [_required(name), _within(name, 0, 1 if name in shares else None)]
+        rules += [_required(name), _within(name, 0, 1 if name in shares else None), _finite(name)]
     return rules
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdlens.operators.latency import sweep_pct_of_best
-from crowdlens.operators.metrics import multilabel_report, scores_long
+from crowdlens.operators.metrics import label_metrics, multilabel_report, scores_long
 from crowdlens.operators.models import (
     dense_features, fit_each_label, fit_gbt, fit_linear_dense, indexed_terms, linear_estimator, linear_scores,
     sparse_features, text_svd, vocab_sweep, with_projection,
@@ -30,10 +31,11 @@ class Baselines:
     def __init__(
         self, train: DataFrame, test: DataFrame, params: TextParams = TextParams(), id_col: str = "doc_id",
         numeric: Sequence[str] = (), max_iter: int = 400, rounds: int = 300, depth: int = 6,
+        sample_by: str | None = None,
     ):
         self.params, self.id_col, self.numeric = params, id_col, tuple(numeric)
         self.max_iter, self.rounds, self.depth = max_iter, rounds, depth
-        self.train = bounded_sample(train, id_col, params.train_rows, params.seed)
+        self.train = bounded_sample(train, sample_by or id_col, params.train_rows, params.seed)
         self.test = test
         self.terms: TrainingTerms = training_terms(self.train, params, id_col)
         self.test_weights = stage(
@@ -85,11 +87,19 @@ class Baselines:
         return self.linear() if arm == "linear_tfidf" else self.dense(arm)
 
     def report(self, arms: Sequence[str] = ARMS) -> DataFrame:
-        """One report row per arm, with the size of the test set."""
-        rows = None
+        """One report row per arm, with the size of the test set and the seconds that fitting and scoring took.
+
+        The metrics per label behind each row stay in `per_label`.
+        """
+        rows, self.per_label = None, None
         for arm in arms:
-            row = multilabel_report(self.scores(arm)).withColumn("arm", F.lit(arm))
+            start = time.perf_counter()
+            scores = self.scores(arm)
+            took = round(time.perf_counter() - start, 3)
+            row = multilabel_report(scores).withColumns({"arm": F.lit(arm), "fit_seconds": F.lit(took)})
+            labels = label_metrics(scores).withColumn("arm", F.lit(arm))
             rows = row if rows is None else rows.unionByName(row)
+            self.per_label = labels if self.per_label is None else self.per_label.unionByName(labels)
         return rows
 
     def sweep(self, sizes: Sequence[int]) -> DataFrame:
@@ -106,16 +116,18 @@ def run(
 ) -> DataFrame:
     """Fit `arms` on the labelled table, record their reports, and store the linear model for scoring.
 
-    The table gets whole-number row ids, written once, since the projection of the dense arms needs them.
+    The table gets whole-number row ids, written once, since the projection of the dense arms needs them. Training rows are
+    sampled by review_id, so that the choice does not depend on how the table is stored.
     """
     numbered = stage(
         spark.read.parquet(table).withColumn(id_col, F.monotonically_increasing_id()).select(
-            id_col, "split", "text", "labels", *NUMERIC_FEATURES),
+            id_col, "review_id", "split", "text", "labels", *NUMERIC_FEATURES),
         "labelled",
     )
     train, test = (split_slice(numbered, side).drop("split") for side in ("train", "test"))
-    fitted = Baselines(train, test, params, id_col, NUMERIC_FEATURES)
+    fitted = Baselines(train, test, params, id_col, NUMERIC_FEATURES, sample_by="review_id")
     merged = record(fitted.report(arms), f"{out}/baseline_metrics")
+    record(fitted.per_label, f"{out}/label_metrics")
     if sweep:
         record(sweep_pct_of_best(fitted.sweep(sweep)), f"{out}/vocab_sweep", "k")
     model = fit_text_model(fitted.train, categories, params, id_col, prepared=fitted.terms, fitted=fitted.linear_models)

@@ -128,3 +128,19 @@ def test_labelled_table_job(spark, tables, tmp_path):
     one_side = spark.read.parquet(str(tmp_path / "review_labeled")).where(F.col("split") == "train")
     assert "PartitionFilters: [isnotnull(split" in one_side._jdf.queryExecution().executedPlan().toString()
     assert spark.read.parquet(str(tmp_path / "category_vocab")).count() == 2
+
+
+def test_blank_lines_are_no_records_and_old_quarantines_go(spark, tmp_path):
+    path, out = tmp_path / "tip.json", str(tmp_path / "out")
+    good = '{"user_id": "u", "business_id": "b", "text": "t", "date": "2019-01-01 00:00:00", "compliment_count": 1}'
+    path.write_text(f"{good}\n{{bad\n")
+    assert raw.ingest_entity(spark, "tip", str(path), out).rows_quarantined == 1
+    path.write_text(f"{good}\n\t\t\n  \n\n")
+    result = raw.ingest_entity(spark, "tip", str(path), out)
+    assert (result.rows_in, result.rows_written, result.rows_quarantined) == (1, 1, 0)
+    assert spark.read.schema("raw string").parquet(f"{out}/_quarantine/tip").count() == 0
+
+
+def test_tables_without_a_year_land_as_well(spark, tables, tmp_path):
+    lake.land(spark, tables[0] + "/user", str(tmp_path / "user"))
+    assert spark.read.parquet(str(tmp_path / "user")).count() == 7

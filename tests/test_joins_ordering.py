@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crowdlens.operators.joins import frequent_keys, hot_split_join, lookup_join
+from crowdlens.operators.latency import latency_summary, rolling_latency
 from crowdlens.operators.ordering import exact_quantiles, largest, row_numbers, running_totals
 
 
@@ -76,5 +78,56 @@ def test_largest_with_and_without_a_bound(spark, k):
     df = spark.createDataFrame(rows, "name string, n int").repartition(7)
     expected = [r[0] for r in sorted(rows[:900], key=lambda r: (-r[1], r[0]))][:k]
     for small in (0, 10_000):
-        got = [r.name for r in largest(df, "n", "name", k, small).collect() if r.n is not None]
-        assert got == expected
+        assert [r.name for r in largest(df, "n", "name", k, small).collect()] == expected  # a null has no rank
+        assert largest(df.where("n IS NULL"), "n", "name", k, small).count() == 0
+
+
+def test_a_hot_key_reaches_all_partitions(spark):
+    """Half of the rows share one key, others have none; without broadcast and re-planning the salt must spread them."""
+    fact = spark.range(40_000).select(
+        F.col("id").alias("row"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 4 == 1, F.concat(F.lit("k"), F.col("id")))
+        .alias("key"))
+    dim = fact.where("key IS NOT NULL").select("key").distinct().withColumn("value", F.length("key"))
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], "-1")
+        joined = hot_split_join(fact, dim, dim.where("key = 'hot'"), ["key"], ["row"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert any("SortMergeJoin" in line and line.count("_route") >= 2 for line in plan.splitlines())
+        for chosen in ("key = 'hot'", "key IS NULL"):
+            sizes = [r["count"] for r in joined.where(chosen).groupBy(F.spark_partition_id()).count().collect()]
+            assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * min(sizes)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert {r.value for r in joined.where("key = 'hot'").select("value").distinct().collect()} == {3}
+
+
+def test_null_groups_stay(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), (None, 3)], "g string, o long")
+    assert sorted((r.g or "", r.o, r.rn) for r in row_numbers(df, ["g"], [F.col("o")]).collect()) == [
+        ("", 1, 1), ("", 2, 2), ("", 3, 3), ("a", 1, 1)]
+    assert exact_quantiles(df.select("g", F.col("o").cast("double").alias("v")), "g", "v", 3).count() == 6
+
+
+def test_summaries_of_null_keys_and_values(spark):
+    rows = [(None, i, float(i)) for i in range(50)] + [("a", i, None if i % 2 else float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, o long, v double")
+    found = {r.k: r for r in latency_summary(df, "v", ["k"]).collect()}
+    assert (found[None].n, found[None].p50_ms) == (50, 24.5) and (found["a"].n, found["a"].p50_ms) == (20, 19.0)
+    for block in (3, 6, 100):
+        got = {(r.k, r.o): (r.n, r.max_ms) for r in rolling_latency(df, "k", ["o"], "v", 3, block=block).collect()}
+        assert len(got) == 70 and got[None, 49] == (3, 49.0) and got["a", 2] == (2, 2.0) and got["a", 38] == (3, 38.0)
+
+
+def test_cume_dist_agrees_with_breakpoints(spark):
+    """The share of rows at or below a value, by a window, against its place among exact quantiles."""
+    rng = random.Random(12)
+    df = spark.createDataFrame([("s", float(rng.randrange(40))) for _ in range(400)], "signal string, value double")
+    points = exact_quantiles(df, "signal", "value", 201)
+    places = points.groupBy("value").agg(F.max("idx").alias("idx")).where("idx < 200")
+    shares = df.withColumn("share", F.cume_dist().over(Window.partitionBy("signal").orderBy("value"))).distinct()
+    gaps = places.join(shares, "value").select((F.col("share") - F.col("idx") / 200).alias("gap")).collect()
+    assert gaps and all(0 <= r.gap + 1e-9 and r.gap < 1 / 200 for r in gaps)

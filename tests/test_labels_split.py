@@ -96,3 +96,10 @@ def test_params_from_session_settings(spark):
     finally:
         for name in ("pseudo_count", "exact_quantiles", "stoplist"):
             spark.conf.unset(f"spark.crowdlens.{name}")
+
+
+def test_no_fraction_is_too_small_to_sample(spark):
+    rows = spark.range(3_000_000)
+    for method in ("xxhash64", "md5"):
+        assert 0 < split.hash_sample(rows, "id", 4 / 2**20, method=method).count() < 40
+        assert split.hash_sample(rows.limit(50), "id", 1.0, method=method).count() == 50

@@ -136,3 +136,30 @@ def test_lag_is_read_from_kafka_offsets():
 def test_top_k_is_shared_with_the_batch(one):
     got = one(topk_categories(F.array(F.lit(0.123456), F.lit(0.5)), ["a", "b"], 2))
     assert [(p.category, p.probability) for p in got] == [("b", 0.5), ("a", 0.12346)]
+
+
+def test_scored_events_are_stamped_and_published(spark, folder):
+    def unstamped(batch):
+        return score(batch).drop("scored_at_ms", "e2e_ms")
+    stream = scorer.read_messages(spark, str(folder / "in"), max_per_batch=2)
+    running = scorer.score_stream(
+        stream, unstamped, str(folder / "out"), str(folder / "ckpt"), finish=scorer.stamped,
+        publish=lambda rows, batch: scorer.publish_messages(rows, batch, str(folder / "sent")))
+    running.awaitTermination()
+    landed = scorer.landed(spark, str(folder / "out")).collect()
+    assert len(landed) == 40 and all(r.e2e_ms == pytest.approx(r.scored_at_ms - r.produced_at_ms, abs=0.01) for r in landed)
+    sent = spark.read.json(str(folder / "sent")).collect()
+    assert len(sent) == 40 and all(json.loads(r.value)["business_id"] == r.key for r in sent)
+
+
+def test_a_stream_without_broken_messages_has_an_empty_quarantine(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(event(1)) + "\n")
+    running = scorer.score_stream(scorer.read_messages(spark, str(tmp_path / "in")), score, str(tmp_path / "out"),
+                                  str(tmp_path / "ckpt"), quarantine=str(tmp_path / "bad"))
+    running.awaitTermination()
+    assert scorer.landed(spark, str(tmp_path / "bad"), "raw string").count() == 0
+
+
+def test_the_progress_log_has_a_bound():
+    assert progress.ProgressLog(keep=3).rows.maxlen == 3

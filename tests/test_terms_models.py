@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from crowdlens.operators import models, terms
+from crowdlens.operators import metrics, models, terms, text_model
 from crowdlens.operators.text_model import TextModel, fit_text_model
 from crowdlens.params import TextParams
 from crowdlens.plans.baselines import Baselines
@@ -161,3 +161,35 @@ def test_dense_features_clean_numbers(spark):
     got = models.dense_features(df.withColumn("b", F.lit(None).cast("double")), ["a", "b"]).head().features
     assert list(got) == [1.0, 0.0, 0.0]
     assert list(models.dense_features(df, ["a"], drop_metadata=True).head().features) == [1.0]
+
+
+def test_documents_without_known_terms_stay_in_every_arm(spark, corpus):
+    docs, _ = corpus
+    unknown = spark.createDataFrame([(1000, "zzzz yyyy", [1, 0, 0, 0], 2.0), (1004, None, [0, 1, 0, 0], 0.0)], docs.schema)
+    params = TextParams(max_features=500, select_k=60, svd_dims=5, train_rows=10_000)
+    arms = ["linear_tfidf", "linear_svd_meta", "linear_svd_only"]
+    fitted = Baselines(docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0").union(unknown), params, numeric=["size"],
+                       max_iter=10)
+    found = fitted.report(arms)
+    assert {r.test_rows for r in found.collect()} == {docs.where("doc_id % 4 = 0").count() + 2}
+    assert metrics.gap_decomposition(found, *arms).head().test_rows == docs.where("doc_id % 4 = 0").count() + 2
+    assert {r.arm for r in fitted.per_label.select("arm").distinct().collect()} == set(arms)
+    zero = fitted.projected()[1].where("doc_id = 1000").head().svd
+    assert not any(zero)
+
+
+def test_no_python_on_the_test_side(baselines):
+    index = text_model.term_index(baselines.terms.vocabulary)
+    cells = models.indexed_terms(baselines.test_weights, index)
+    basis = cells.sparkSession.createDataFrame([(0, [1.0, 0.0])], "idx int, v array<double>")
+    rows = models.sparse_features(baselines.train.select("doc_id", "labels"), baselines.terms.weights, index, index.count())
+    fitted = models.fit_each_label(rows, "labels", models.linear_estimator("features", max_iter=2))
+    scored = models.linear_scores(baselines.test, baselines.test_weights, index, fitted)
+    for frame in (models.project(cells, basis, 1), scored):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert not any(node in plan for node in ("Python", "Pandas", "Arrow"))
+
+
+def test_a_ranking_without_positive_scores_is_refused(spark):
+    with pytest.raises(terms.DegenerateTarget):
+        terms.assert_some_term_scores(spark.createDataFrame([("a", 0.0)], "term string, chi2 double"))
