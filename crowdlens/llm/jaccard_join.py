@@ -16,10 +16,12 @@ What is left is verified on the whole sets. Steps:
 1. `signatures`: size and 64-bit fingerprint (`node`) of each set. Equal sets become one node; groups of copies meet
    only in partial sums. A second hash proves that no two sets share a node, else another seed is taken.
 2. `shared_parts`: the join; each task drops repeated nodes before the shuffle and keys held by one node after it.
-3. First round: in each key every node is paired with the smallest one, so a group of n nodes makes n - 1 pairs.
-4. Second round, exact: in keys whose nodes are not yet all connected, every pair of nodes of different components is
-   compared by bit sketches inside tasks, in blocks of at most `block` nodes each way. No pair is skipped but those whose
-   nodes are connected anyway. Only pairs that pass leave the task and are verified.
+3. First round: in each key every node is paired with one of them, the hub, so a group of n nodes makes n - 1 pairs.
+4. Second round, exact: in keys whose other nodes are not yet all connected, every pair of nodes of different components is
+   compared by bit sketches inside tasks, in blocks of at most `block` nodes each way. First only a nearest spanning forest
+   of the pairs that pass leaves the task and is verified, which connects nearly all that is connected; then, for the
+   components that are left, every pair that passes. Skipped are only pairs whose nodes are connected by verified links, and
+   keys that hold the same nodes as another.
 
 Odd cases: texts without words (null, empty, blank) have the empty set and no links. A text of fewer than k words has its
 whole sequence as its one shingle. Repeated rows and repeated ids are linked by their texts alone; a null doc_id takes
@@ -137,7 +139,7 @@ def part_keys(doc: np.ndarray, hashed: np.ndarray, sizes: np.ndarray, s: Setting
 
 
 def shared_parts(docs: DataFrame, s: Settings) -> DataFrame:
-    """(key, hub, node): the nodes of every key that more than one node has, with the smallest of them."""
+    """(key, hub, node): the nodes of every key that more than one node has, with one of them as hub."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # nodes of this task: at most its number of documents
         for batch in batches:
@@ -156,7 +158,7 @@ def shared_parts(docs: DataFrame, s: Settings) -> DataFrame:
                                                      names=["key", "node"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key and node. The last row waits for the next batch."""
+        """Rows come sorted by key, equal nodes together. The last row waits for the next batch."""
         key, node, hub, paired = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, bool))
 
         def out(chosen: np.ndarray) -> pa.RecordBatch:
@@ -186,7 +188,9 @@ def shared_parts(docs: DataFrame, s: Settings) -> DataFrame:
         if len(key):
             yield out(paired)
     rows = frames.map_rows(keyed(docs).select("text"), emit, "key long, node long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(meet, "key long, hub long, node long")
+    # The first node of a key is its hub: by one of three orders of the nodes, so that a group meets several hubs.
+    turn = F.xxhash64("node", F.pmod("key", F.lit(3)))
+    return rows.repartition("key").sortWithinPartitions("key", turn, "node").mapInArrow(meet, "key long, hub long, node long")
 
 
 # ---------------------------------------------------------------- comparing candidates
@@ -202,12 +206,35 @@ def folded(sketch: np.ndarray, length: int) -> np.ndarray:
     return np.bitwise_xor.reduce(sketch.reshape(-1, length), axis=0)
 
 
-def may_be_similar(sketch_a: np.ndarray, sketch_b: np.ndarray, size_a, size_b, percent: int) -> np.ndarray:
+def hamming(sketch_a: np.ndarray, sketch_b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sketch_a ^ sketch_b).sum(axis=-1, dtype=np.int64)
+
+
+def allowed(distance, size_a, size_b, percent: int):
     """Whether size and Hamming distance allow similarity: 100 i >= percent u means d (100 + percent) <= (a + b) (100 - percent)."""
-    distance = np.bitwise_count(sketch_a ^ sketch_b).sum(axis=-1, dtype=np.int64)
     return distance * (100 + percent) <= (size_a + size_b) * (100 - percent)
 
 
+def spanning_forest(group: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> list[int]:
+    """Positions of the pairs (i, j) that connect the groups of nodes with the least distances (Prim's algorithm)."""
+    size = int(group.max()) + 1
+    best, pair = np.full((size, size), np.inf), np.zeros((size, size), np.int64)
+    order = np.argsort(-np.tile(far, 2), kind="stable")  # the nearest pair of two groups is written last
+    a, b = group[np.concatenate((i, j))][order], group[np.concatenate((j, i))][order]
+    best[a, b], pair[a, b] = np.tile(far, 2)[order], order % len(far)
+    out, todo, distance, source = [], np.ones(size, bool), np.full(size, np.inf), np.zeros(size, np.int64)
+    for _ in range(size):
+        at = int(np.argmin(np.where(todo, distance, np.inf)))
+        if not todo[at] or distance[at] == np.inf:
+            at = int(np.argmax(todo))  # a new tree
+        else:
+            out.append(int(pair[source[at], at]))
+        todo[at] = False
+        closer = todo & (best[at] < distance)
+        distance[closer], source[closer] = best[at][closer], at
+    return out
+
+
 def sets_of(docs: DataFrame, nodes: DataFrame, needed: DataFrame, s: Settings, whole: bool) -> DataFrame:
     """(node, n, sketch) of the needed nodes, or with `whole` (node, elements), each from the text of `one`: the node's
     smallest (doc_id, mark)."""
@@ -253,7 +280,7 @@ def possible(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
             for x, y, n, m in zip(*[batch.column(c).to_pylist() for c in ("a_sketch", "b_sketch", "a_n", "b_n")]):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 length = min(len(x), len(y))
-                keep.append(bool(may_be_similar(folded(x, length), folded(y, length), n, m, s.percent)))
+                keep.append(bool(allowed(hamming(folded(x, length), folded(y, length)), n, m, s.percent)))
             yield _pair_batch(batch, keep)
     return frames.map_rows(_beside(pairs, sets, "n", "sketch"), task, "a long, b long")
 
@@ -273,11 +300,19 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, s: Settings) ->
     return stage(frames.map_rows(_beside(pairs, sets, "elements"), task, "a long, b long"), "jaccard-links")
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """(a, b): pairs of nodes that share a key, lie in different components, and pass the bit sketches."""
-    rows = shared.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where(
-        "lo < hi").select("key", F.ceil(F.col("size") / s.block).alias("blocks"))
+def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Settings, forest: bool) -> DataFrame:
+    """(a, b): pairs of nodes that share a key, lie in different components, and pass the bit sketches.
+
+    With `forest`, of each block only the pairs of a spanning forest of its components, the nearest ones.
+    Pairs with a key's hub have been compared in the first round. Of keys with the same other nodes one will do;
+    two fingerprints tell their sets of nodes apart.
+    """
+    rows = shared.where("node <> hub").select("key", "node").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    prints = [F.bit_xor(F.xxhash64("node")).alias("f"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")]
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"), *prints)
+    mixed = mixed.where("lo < hi").groupBy("f", "g", "size").agg(F.min("key").alias("key")).select(
+        "key", F.ceil(F.col("size") / s.block).alias("blocks"))
     rows = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.join(sets.select("node", "n", "sketch"), "node").withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -290,15 +325,21 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Setting
         length = min(map(len, raw))
         bits = np.stack([folded(v, length) for v in raw])
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        a, b = [], []
+        first, second, far = [], [], []
         for position, i in enumerate(left):
             rest = left[position + 1:] if x == y else right
             rest = rest[(root[rest] != root[i]) & (np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * s.percent)]
-            rest = rest[may_be_similar(bits[rest], bits[i], n[rest], n[i], s.percent)]
-            a.append(np.minimum(node[rest], node[i]))
-            b.append(np.maximum(node[rest], node[i]))
-        flat = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in flat], names=["a", "b"])
+            distance = hamming(bits[rest], bits[i])
+            near = allowed(distance, n[rest], n[i], s.percent)
+            first.append(np.full(near.sum(), i))
+            second.append(rest[near])
+            far.append(distance[near])
+        i, j, far = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (first, second, far))
+        if forest and len(i):
+            chosen = spanning_forest(np.unique(root, return_inverse=True)[1], i, j, far)
+            i, j = i[chosen], j[chosen]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))],
+                                          names=["a", "b"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key, x, y: at most 2 blocks of nodes for each."""
@@ -342,11 +383,14 @@ def join(docs: DataFrame, s: Settings = Settings()) -> Joined:
     first = stage(possible(first, sketches, s), "jaccard-pairs")
     links = similar(first, docs, nodes, s)
     roots = stars(links)
-    second = stage(cross_pairs(shared, roots, sketches, s).join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
-    more = similar(second, docs, nodes, s)
-    if more.limit(1).count():
-        links = links.union(more)
-        roots = stars(links)
+    checked = first
+    for forest in (True, False):
+        pairs = stage(cross_pairs(shared, roots, sketches, s, forest).join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+        more = similar(pairs, docs, nodes, s)
+        checked = checked.union(pairs)
+        if more.limit(1).count():
+            links = links.union(more)
+            roots = stars(links)
     return Joined(signed, links, roots, nodes.select("node", "least"))
 
 

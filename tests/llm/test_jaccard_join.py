@@ -126,7 +126,7 @@ def test_similar_sets_share_a_part_and_pass_the_sketch(common, left, right, perc
     assert left + right == 0 or keys[0] & keys[1]
     x, y = jj.bit_sketch(a), jj.bit_sketch(b)
     n = min(len(x), len(y))
-    assert jj.may_be_similar(jj.folded(x, n), jj.folded(y, n), len(a), len(b), percent)
+    assert jj.allowed(jj.hamming(jj.folded(x, n), jj.folded(y, n)), len(a), len(b), percent)
 
 
 def test_parts_of_hot_passages_make_few_rows(documents, spark):
@@ -151,3 +151,28 @@ def test_stars_are_connected_components(spark):
     got = stars(spark.createDataFrame(edges + edges[:5], "a long, b long")).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert stars(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_spanning_forest_is_minimal_and_connects():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        group = rng.integers(0, 8, 20)
+        group = np.unique(group, return_inverse=True)[1]
+        i, j = rng.integers(0, 20, (2, 30))
+        keep = group[i] != group[j]
+        i, j = i[keep], j[keep]
+        far = rng.integers(1, 50, len(i))
+        root = list(range(20))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        cost = 0
+        for e in np.argsort(far, kind="stable"):  # Kruskal
+            a, b = find(group[i[e]]), find(group[j[e]])
+            if a != b:
+                root[a] = b
+                cost += far[e]
+        chosen = jj.spanning_forest(group, i, j, far) if len(i) else []
+        assert sum(far[e] for e in chosen) == cost
