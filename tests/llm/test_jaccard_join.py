@@ -69,7 +69,7 @@ def family():
     return list(zip(ids, docs))
 
 
-@pytest.mark.parametrize("k, percent, block", [(3, 90, 512), (5, 80, 512), (5, 80, 2), (2, 50, 3), (1, 100, 512)])
+@pytest.mark.parametrize("k, percent, block", [(3, 90, 512), (5, 80, 2), (2, 50, 3)])
 def test_components_equal_all_pairs(documents, family, odd_texts, k, percent, block):
     docs = family + [(i + 5000 if i else i, t) for i, t in odd_texts] + [(9000, family[0][1]), (9000, prose(1234, 9))]
     joined = jj.join(documents(docs), jj.Settings(k=k, percent=percent, block=block))
@@ -85,7 +85,7 @@ def test_second_round_finds_links_beside_the_hub(documents):
         w = list(centre)
         w[ray * 14: ray * 14 + 6] = [f"r{ray}x{j}" for j in range(6)]
         docs.append((ray + 1, " ".join(w)))
-    for percent in (90, 92, 94):
+    for percent in (90, 94):
         joined = jj.join(documents(docs), jj.Settings(k=1, percent=percent, block=4))
         got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jj.components(joined).collect())
         assert got == brute(docs, 1, percent)
