@@ -126,22 +126,38 @@ def log_ratios(learn: DataFrame, settings: Settings) -> tuple[np.ndarray, int, i
 
 # ---------------------------------------------------------------- the linear model
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray,
-                            width: int, epochs: int, seed: int = 7) -> np.ndarray:
-    """Weights of a hinge-loss model without own intercept: one dual variable per row, box [0, cost of the row]."""
-    weights, alpha = np.zeros(width), np.zeros(len(rows))
-    norms = np.array([float(v @ v) for v in values])
+@dataclass
+class Sparse:
+    """Rows of a sparse matrix in three arrays: row i has `value` at `column` in bounds[i]:bounds[i + 1]."""
+
+    bounds: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.bounds[i], self.bounds[i + 1])
+        return self.column[own], self.value[own]
+
+
+def dual_coordinate_descent(x: Sparse, y: np.ndarray, cost: np.ndarray, width: int, epochs: int,
+                            chosen: np.ndarray | None = None, seed: int = 7) -> np.ndarray:
+    """Weights of a hinge-loss model, the last one for a constant feature of 1; one dual variable for each chosen row (all
+    by default) in the box [0, cost of the row]."""
+    chosen = np.arange(len(y)) if chosen is None else chosen
+    weights, alpha = np.zeros(width + 1), np.zeros(len(y))
+    norms = {i: float(np.dot(x.row(i)[1], x.row(i)[1])) + 1.0 for i in chosen.tolist()}
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
-        for i in rng.permutation(len(rows)):
-            if norms[i] == 0:
-                continue
-            gradient = y[i] * float(weights[rows[i]] @ values[i]) - 1
+        for i in rng.permutation(chosen).tolist():
+            column, value = x.row(i)
+            gradient = y[i] * (float(weights[column] @ value) + weights[-1]) - 1
             new = min(max(alpha[i] - gradient / norms[i], 0.0), cost[i])
             if new != alpha[i]:
-                weights[rows[i]] += (new - alpha[i]) * y[i] * values[i]
-                most = max(most, abs(new - alpha[i]) * norms[i])
+                step = (new - alpha[i]) * y[i]
+                weights[column] += step * value
+                weights[-1] += step
+                most = max(most, abs(step) * norms[i])
                 alpha[i] = new
         if most < 1e-3:
             break
@@ -165,36 +181,32 @@ def logistic_curve(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]
 
 def _fit_task(scales: np.ndarray, settings: Settings):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, labels = [], []
+        columns, sizes, labels = [], [], []
         for batch in batches:
             labels.append(np.asarray(batch.column("label")))
             for texts in words.slices(batch.column("text"), words.SPACED):
                 doc, bucket = features(texts, settings.buckets)
-                cuts = np.searchsorted(doc, np.arange(1, len(texts)))
-                rows += [part.astype(np.int32) for part in np.split(bucket, cuts)]
-        if not rows:
+                columns.append(bucket.astype(np.int32))
+                sizes.append(np.bincount(doc, minlength=len(texts)))
+        if not labels:
             return
-        label = np.concatenate(labels)
-        width = settings.buckets + 1  # the last weight is the intercept, on a constant feature
-        full = [np.append(r, width - 1) for r in rows]
-        values = []
-        for r in rows:
-            v = scales[r].astype(np.float64)
-            values.append(np.append(v / (np.linalg.norm(v) or 1.0), 1.0))
+        label, size = np.concatenate(labels), np.concatenate(sizes)
+        x = Sparse(np.concatenate(([0], np.cumsum(size))), np.concatenate(columns), np.zeros(0, np.float32))
+        columns.clear()
+        x.value = scales[x.column]
+        lengths = np.sqrt(np.add.reduceat(np.append(x.value, np.float32(0)) ** 2, x.bounds[:-1]) * (size > 0))
+        x.value /= np.repeat(np.where(lengths > 0, lengths, 1), size).astype(np.float32)
         y = np.where(label == 1, 1.0, -1.0)
         share = np.array([(label == c).mean() for c in (0, 1)])
         cost = settings.cost * 0.5 / np.maximum(share[label.astype(int)], 1e-9)  # both classes weigh the same
-
-        def fit(chosen: np.ndarray) -> np.ndarray:
-            return dual_coordinate_descent([full[i] for i in chosen], [values[i] for i in chosen], y[chosen],
-                                           cost[chosen], width, settings.epochs)
-        order = np.arange(len(rows))
+        order = np.arange(len(y))
         unseen = order % 4 == 0
         slope, offset = 4.0, 0.0
         if unseen.sum() >= 8 and len(set(label[~unseen])) == 2:
-            part = fit(order[~unseen])
-            slope, offset = logistic_curve(np.array([part[full[i]] @ values[i] for i in order[unseen]]), label[unseen])
-        weights = fit(order)
+            part = dual_coordinate_descent(x, y, cost, settings.buckets, settings.epochs, order[~unseen])
+            margins = [float(part[c] @ v) + part[-1] for c, v in map(x.row, order[unseen].tolist())]
+            slope, offset = logistic_curve(np.array(margins), label[unseen])
+        weights = dual_coordinate_descent(x, y, cost, settings.buckets, settings.epochs)
         used = np.flatnonzero(weights)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate((used, [-1, -2]))), pa.array(np.concatenate((weights[used], [slope, offset])))],

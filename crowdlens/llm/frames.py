@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-#: Rows that one Arrow batch holds: with texts of some kB, a few MB.
-BATCH_ROWS = 2000
+#: Rows that one Arrow batch holds: with texts of some kB, one or two MB.
+BATCH_ROWS = 500
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -35,12 +35,14 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(80, 5))
     y = np.where(x[:, 0] + 0.3 * rng.normal(size=80) > 0, 1.0, -1.0)
-    rows, cost = [np.arange(5)] * 80, np.full(80, 0.5)
-    w = classifier.dual_coordinate_descent(rows, list(x), y, cost, 5, 400)
+    cost = np.full(80, 0.5)
+    sparse = classifier.Sparse(np.arange(81) * 5, np.tile(np.arange(5), 80), x.ravel())
+    w = classifier.dual_coordinate_descent(sparse, y, cost, 5, 400)
+    x = np.column_stack((x, np.ones(80)))  # the constant feature
 
     def primal(v):
         return 0.5 * v @ v + cost @ np.maximum(0, 1 - y * (x @ v))
-    best = np.zeros(5)
+    best = np.zeros(6)
     for step in range(1, 20_000):  # plain subgradient descent
         wrong = y * (x @ best) < 1
         best -= 0.5 / step * (best - (cost[wrong] * y[wrong]) @ x[wrong])
