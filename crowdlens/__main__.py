@@ -94,7 +94,7 @@ def main(arguments: list[str] | None = None) -> None:
         try:
             running.awaitTermination()
         finally:  # also of a run that was interrupted
-            report = progress.stream_report(progress.progress_table(spark, running))
+            report = log.report(spark, running)
             report.write.mode("append").json(f"{args.out}/run_report")
             report.show(truncate=False)
 

@@ -130,8 +130,13 @@ def stream_predictions(spark, sf):
        0::BIGINT AS final_lag, TRUE AS has_times FROM events""")
 def stream_report(spark, sf):
     """Four files, two in each micro-batch. Times differ from run to run; that there are some does not."""
-    running, _, _ = run_stream(spark, event_messages(spark, sf), lambda batch: batch, EVENT)
-    found = progress.stream_report(progress.progress_table(spark, running))
+    log = progress.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        running, _, _ = run_stream(spark, event_messages(spark, sf), lambda batch: batch, EVENT)
+        found = log.report(spark, running)
+    finally:
+        spark.streams.removeListener(log)
     return found.select("events_scored", "batches", "batch_size_mean", "final_lag",
                         ((F.col("wall_seconds") > 0) & (F.col("throughput_per_sec") > 0)).alias("has_times"))
 

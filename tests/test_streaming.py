@@ -163,3 +163,38 @@ def test_a_stream_without_broken_messages_has_an_empty_quarantine(spark, tmp_pat
 
 def test_the_progress_log_has_a_bound():
     assert progress.ProgressLog(keep=3).rows.maxlen == 3
+
+
+def test_the_report_covers_more_batches_than_spark_and_the_log_keep(spark, folder):
+    log = progress.ProgressLog(keep=1)
+    spark.streams.addListener(log)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        running = start(spark, folder)
+        running.awaitTermination()
+        assert len(running.recentProgress) < 4        # what the report was made of before
+        report = log.report(spark, running).head()
+        assert (report.events_scored, report.batches, report.batch_size_mean, report.final_lag) == (44, 4, 11.0, 0)
+        assert report.run_id == str(running.runId) and report.wall_seconds > 0 and report.throughput_per_sec > 0
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+        spark.streams.removeListener(log)
+
+
+def test_a_job_reports_all_its_batches(spark, tmp_path, monkeypatch):
+    """`python -m crowdlens stream`: the report comes from the log, not from what Spark still holds."""
+    from crowdlens import __main__ as job
+
+    (tmp_path / "in").mkdir()
+    for part in range(4):
+        (tmp_path / "in" / f"{part}.json").write_text(json.dumps(event(part)) + "\n")
+    monkeypatch.setattr(job, "get_spark", lambda *a: spark)
+    monkeypatch.setattr(job.stream_scoring, "run", lambda session, *a: scorer.score_stream(
+        scorer.read_messages(session, str(tmp_path / "in"), max_per_batch=1), score, str(tmp_path / "out"), str(tmp_path / "ckpt")))
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        job.main(["stream", "--model", "m", "--out", str(tmp_path / "out"), "--checkpoint", "c", "--path", "p"])
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    report = spark.read.json(str(tmp_path / "out" / "run_report")).head()
+    assert (report.events_scored, report.batches) == (4, 4)
