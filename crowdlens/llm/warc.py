@@ -6,13 +6,16 @@ names that no other attempt uses; the table of written files is what the success
 repeated task leaves nothing that is read.
 
 Reading: files are cut into byte ranges. A task looks for the gzip magic in its range, accepts a place as a member only if it
-decodes, to the end, into a record with a valid header, and then goes on from member to member. It owns the records that
-start in its range and reads past its end to finish the last one; a range in which none starts is empty.
+decodes to a WARC header, and then goes on from member to member. It owns the records that start in its range
+and reads past its end to finish the last one; a range in which none starts is empty. The table of written files holds how
+many records start in each stretch of `range_bytes`; a range of the same size in which another number is found raises.
 
 Odd cases: a null html is an empty payload. Rows that share the smallest page_id of a group are all responses. A null page_id
 is larger than all others; a group without any other has only responses. Records of any size are read in pieces, one record
-at a time in memory. Bytes between members are skipped; a record that breaks off, or whose payload has another digest than its
-header says, raises ValueError. An empty table writes and reads nothing. Extra columns are ignored. (An archive stored
+at a time in memory. Bytes between members are skipped; a record that breaks off, lacks a field, or whose payload has another
+digest than its header says, raises ValueError wherever it stands, and so does a file shorter than its table says. (In files
+of others, a record after padding or at the start of a range of which less is left than decodes to `WARC/1.` looks like noise.)
+An empty table writes and reads nothing. Extra columns are ignored. (An archive stored
 unpacked inside another one's payload could pass for records where a range starts inside it; html in UTF-8 cannot hold one,
 as the magic isn't UTF-8.)
 """
@@ -23,6 +26,7 @@ import base64
 import hashlib
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +39,9 @@ from crowdlens.llm import frames
 from crowdlens.session import stage, stage_path
 
 MAGIC = b"\x1f\x8b\x08"
+MARK = b"WARC/1."
 READ = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+FILES = "path string, bytes long, records long, range_bytes long, starts array<long>"
 
 
 # ---------------------------------------------------------------- records
@@ -87,6 +93,8 @@ def parse(data: bytes) -> dict:
     if not mark or not head.startswith(b"WARC/1."):
         raise ValueError("no WARC header")
     fields = _fields(head)
+    if lacking := {"content-length", "warc-payload-digest", "warc-type"} - fields.keys():
+        raise ValueError(f"the record lacks {', '.join(sorted(lacking))}")
     size = int(fields["content-length"])
     if len(block) != size + 4:
         raise ValueError("the record breaks off")
@@ -120,7 +128,8 @@ def _opened(folder: str):
 
 def write(pages: DataFrame, folder: str, settings: Settings = Settings()) -> DataFrame:
     """Write `pages` (page_id, url, html) as archives under `folder`, a URI that all tasks can reach. Returns the staged
-    table of files: path, bytes, records."""
+    table of files: path, bytes, records, and range_bytes with the number of records that start in each stretch of so many
+    bytes (`starts`)."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         html.alias("html"), F.sha1(html).alias("of"))
@@ -133,25 +142,28 @@ def write(pages: DataFrame, folder: str, settings: Settings = Settings()) -> Dat
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _opened(folder)
         store.create_dir(root, recursive=True)
-        sink, path, size, count, done = None, "", 0, 0, []
+        sink, path, size, starts, done = None, "", 0, Counter(), []
         for batch in batches:
             for page, url, text, first, whole in zip(*[column.to_pylist() for column in batch.columns]):
                 if sink is None:
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    sink, size, count = store.open_output_stream(path, compression=None), 0, 0
+                    sink, size, starts = store.open_output_stream(path, compression=None), 0, Counter()
                 data = member(record(page, url, text.encode(), first, whole, settings.date), settings.level)
                 sink.write(data)
-                size, count = size + len(data), count + 1
+                starts[size // settings.range_bytes] += 1
+                size += len(data)
                 if size >= settings.file_bytes:
                     sink.close()
-                    done.append((path, size, count))
+                    done.append((path, size, starts))
                     sink = None
         if sink is not None:
             sink.close()
-            done.append((path, size, count))
-        for path, size, count in done:
-            yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "records": [count]})
-    return stage(frames.map_rows(judged, task, "path string, bytes long, records long"), "warc-files")
+            done.append((path, size, starts))
+        for path, size, starts in done:
+            yield pa.RecordBatch.from_pydict({
+                "path": [path], "bytes": [size], "records": [starts.total()], "range_bytes": [settings.range_bytes],
+                "starts": [[starts[i] for i in range(-(-size // settings.range_bytes))]]})
+    return stage(frames.map_rows(judged, task, FILES), "warc-files")
 
 
 # ---------------------------------------------------------------- reading
@@ -173,7 +185,7 @@ class Window:
 
 def decode(window: Window, position: int) -> tuple[bytes, int]:
     """The record of the member at `position`, and where the member ends; ValueError if none is there, or not whole."""
-    unpacker, out, at, mark = zlib.decompressobj(31), bytearray(), position, b"WARC/1."
+    unpacker, out, at = zlib.decompressobj(31), bytearray(), position
     while not unpacker.eof:
         piece = window.at(at, 1 << 16)
         if not len(piece):
@@ -182,14 +194,34 @@ def decode(window: Window, position: int) -> tuple[bytes, int]:
             out += unpacker.decompress(piece)
         except zlib.error as error:
             raise ValueError(f"no member: {error}") from error
-        if out[: len(mark)] != mark[: len(out)]:
+        if out[: len(MARK)] != MARK[: len(out)]:
             raise ValueError("no record")
         at += len(piece) - len(unpacker.unused_data)
     return bytes(out), at
 
 
+def starts_record(window: Window, position: int) -> bool:
+    """Whether the member at `position` decodes to a WARC header with type and length. Whatever else may be damaged: once its
+    first bytes are those of a header, so that a header which breaks off is a record, too."""
+    unpacker, out, at = zlib.decompressobj(31), b"", position
+    while b"\r\n\r\n" not in out and not unpacker.eof:
+        piece = window.at(at, 1 << 10)
+        begun = out.startswith(MARK)
+        if not len(piece):
+            return begun or position == 0  # nothing but a record can break off at the start of a file
+        try:
+            out += unpacker.decompress(piece, 1 << 10 if begun else len(MARK) - len(out))
+        except zlib.error:
+            return begun
+        if out[: len(MARK)] != MARK[: len(out)]:
+            return False
+        at += len(piece) - len(unpacker.unconsumed_tail) - len(unpacker.unused_data)
+    head, mark, _ = out.partition(b"\r\n\r\n")
+    return bool(mark) and {"warc-type", "content-length"} <= _fields(head).keys()
+
+
 def next_member(window: Window, position: int, end: int) -> int | None:
-    """First place from `position` and before `end` where a whole record starts."""
+    """First place from `position` and before `end` where a record starts, whole or damaged."""
     while position < end:
         piece = bytes(window.at(position, 1 << 16))
         found = piece.find(MAGIC)
@@ -199,18 +231,15 @@ def next_member(window: Window, position: int, end: int) -> int | None:
         position += found
         if position >= end:
             return None
-        try:
-            parse(decode(window, position)[0])
+        if starts_record(window, position):
             return position
-        except (ValueError, KeyError):
-            pass  # the magic stood inside packed data
-        position += 1
+        position += 1  # the magic stood inside packed data
     return None
 
 
-def read_range(source, size: int, start: int, end: int) -> Iterator[dict]:
-    """Rows of the records that start in [start, end)."""
-    window = Window(source, size)
+def read_range(source, size: int, start: int, end: int, expected: int | None = None) -> Iterator[dict]:
+    """Rows of the records that start in [start, end); ValueError if they aren't `expected` ones."""
+    window, found = Window(source, size), 0
     position = next_member(window, start, end)
     while position is not None and position < end:
         if bytes(window.at(position, len(MAGIC))) != MAGIC:
@@ -218,25 +247,33 @@ def read_range(source, size: int, start: int, end: int) -> Iterator[dict]:
             continue
         data, after = decode(window, position)
         yield parse(data)
-        position = after
+        position, found = after, found + 1
+    if expected is not None and found != expected:
+        raise ValueError(f"{found} records instead of {expected} start in bytes {start} to {end}")
 
 
 def read(spark: SparkSession, files: DataFrame, settings: Settings = Settings(), with_payload: bool = True) -> DataFrame:
-    """All records of the archives in `files` (path, bytes), one row of READ each; payload is null for revisits."""
+    """All records of the archives in `files` (path, bytes), one row of READ each; payload is null for revisits. With
+    `starts` and `range_bytes` as from `write`, the number of records is checked in every range of that size."""
     schema = READ if with_payload else READ.rpartition(",")[0]
     columns = [part.split()[0] for part in schema.split(", ")]
     kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
     step = settings.range_bytes
-    ranges = files.select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(
-        F.col("bytes") - 1, F.lit(0)), F.lit(step).cast("long"))).alias("start"))
+    known = F.lit(None).cast("long")
+    if {"starts", "range_bytes"} <= set(files.columns):
+        known = F.when(F.col("range_bytes") == step, F.get("starts", (F.col("start") / step).cast("int")))
+    ranges = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(
+        F.col("bytes") - 1, F.lit(0)), F.lit(step).cast("long")))).select("path", "bytes", "start", known.alias("known"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, size, start in zip(*[column.to_pylist() for column in batch.columns]):
+            for path, size, start, known in zip(*[column.to_pylist() for column in batch.columns]):
                 store, place = _opened(path)
                 rows, held = [], 0
                 with store.open_input_file(place) as source:
-                    for row in read_range(source, size, start, min(start + step, size)):
+                    if source.size() < size:
+                        raise ValueError(f"{path} has {source.size()} bytes instead of {size}")
+                    for row in read_range(source, size, start, min(start + step, size), known):
                         rows.append(row)
                         held += len(row["payload"] or b"") if with_payload else 100
                         if held >= 4 << 20:

@@ -71,3 +71,34 @@ def test_round_trip(spark):
     assert sorted(map(repr, want)) == sorted(repr((r.page_id, r.url, r.record_type, r.payload_digest, r.payload_bytes, r.refers_to,
                                                    None if r.payload is None else bytes(r.payload))) for r in got)
     assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+def _wrong(page=1):
+    return warc.member(warc.record(page, "u", b"abc" * 50, None, True, "d").replace(b"\r\n\r\nabc", b"\r\n\r\nabd"))
+
+
+@pytest.mark.parametrize("data", [
+    archive(7)[1][0][:-30], archive(7)[1][0][:25], _wrong(), b"\x00\x00" + _wrong(), archive(7)[1][1] + b"\x00" + _wrong(),
+    archive(7)[1][1] + b"\x00" + archive(7)[1][1][:-5], warc.member(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n"), archive(7)[1][0][:-5] + b"12345",
+], ids=["cut", "cut in the header", "digest", "after noise", "after padding", "cut after padding", "without a digest", "checksum"])
+@pytest.mark.parametrize("step", [60, 10**6])
+def test_damage_is_told_wherever_the_record_stands(data, step):
+    with pytest.raises(ValueError):
+        for s in range(0, len(data), step):
+            list(warc.read_range(io.BytesIO(data), len(data), s, min(s + step, len(data))))
+
+
+@pytest.mark.parametrize("how", ["cut", "overwritten"])
+def test_records_lost_from_written_archives_are_told(spark, tmp_path, how):
+    pages = spark.range(20).selectExpr("id AS page_id", "'u' AS url", "concat('html ', id) AS html").coalesce(1)
+    settings = warc.Settings(range_bytes=500)
+    files = warc.write(pages, (tmp_path / "warc").as_uri(), settings)
+    assert warc.read(spark, files, settings).count() == 20 and files.head().records == 20
+    assert warc.read(spark, files.select("path", "bytes"), settings).count() == 20
+    path = files.head().path
+    data = open(path, "rb").read()
+    second = data.index(warc.MAGIC, 1)
+    with open(path, "wb") as sink:
+        sink.write(data[:-40] if how == "cut" else bytes(second) + data[second:])
+    with pytest.raises(Exception, match="instead of"):
+        warc.read(spark, files, settings).collect()
