@@ -158,7 +158,7 @@ def _check(kind: str, value: str) -> int:
         d = digits_of(value)
         return 1 if d[0] > 1 and d[3] > 1 else -1
     if kind == "secret":
-        return 1 if _entropy(value[:64]) >= 3.0 else -1
+        return 1 if _entropy(value) >= 3.0 else -1
     return 0
 
 

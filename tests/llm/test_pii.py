@@ -1,3 +1,4 @@
+import random
 import collections
 import re
 
@@ -98,3 +99,9 @@ def test_masks_leave_no_base_span_and_clean_texts_alone(documents, odd_texts):
 def test_no_candidates_and_no_rows(documents):
     assert pii.find(documents([])).count() == 0
     assert [tuple(r) for r in pii.find(documents([None, "", "plain"])).select("base", "spans").collect()] == [([], [])] * 3
+
+
+def test_a_long_secret_is_judged_by_the_whole_of_it():
+    rng = random.Random(5)
+    mixed = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(200))
+    assert pii._check("secret", "A" * 64 + mixed) == 1 and pii._check("secret", mixed[:64] + "a" * 4000) == -1
