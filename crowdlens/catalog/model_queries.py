@@ -22,8 +22,9 @@ from crowdlens.params import TextParams
 from crowdlens.plans.baselines import Baselines
 from crowdlens.session import stage, stage_path
 
-# Reference sizes for terms, selection, dimensions and iterations. Boosting is the one exception: its 300 rounds of depth 6
-# are some 10,000 small Spark jobs for each label, so the registered query runs fewer; the default of the job is the full size.
+# Reference sizes for terms, selection, dimensions and iterations, with two exceptions. Boosting: its 300 rounds of depth 6 are
+# some 10,000 small Spark jobs for each label, so the registered query runs fewer; the default of the job is the full size.
+# vocab_sweep: three narrow widths instead of the reference's six, as in its SQL.
 PARAMS = TextParams()
 ROUNDS, DEPTH = 6, 4
 
