@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdlens.llm import (
-    classifier, decontaminate, jaccard_join, licenses, packing, pii, reply_trees, rules_forest, url_filter, warc,
+    centroids, classifier, decontaminate, jaccard_join, licenses, near_vectors, packing, pii, reply_trees, resampling, rules_forest,
+    url_filter, warc,
 )
 
 QUERIES = {}
@@ -203,3 +204,85 @@ def reply_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+def _clusters_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Every round as a table: all distances in whole numbers, then floored averages."""
+    def assigned(number: int) -> str:
+        return f"""a{number} AS MATERIALIZED (
+    SELECT row, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+        SELECT row, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+        FROM vec, c{number}) GROUP BY row)"""
+
+    def moved(number: int) -> str:
+        return f"""c{number + 1} AS MATERIALIZED (
+    SELECT old.c, coalesce(new.w, old.w) AS w FROM c{number} old LEFT JOIN (
+        SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS w FROM (
+            SELECT c, p, sum(x) AS s, count(*)::HUGEINT AS n
+            FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS p FROM vec JOIN a{number} USING (row)) GROUP BY c, p)
+        GROUP BY c) new USING (c))"""
+    steps = [f"{assigned(number)},\n{moved(number)}" for number in range(rounds)]
+    return f"""
+WITH vec AS MATERIALIZED (
+    SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1 AS c, v AS w FROM vec QUALIFY c < {clusters}),
+{", ".join(steps)},
+{assigned(rounds)}
+SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN vec USING (row) JOIN c{rounds} USING (c)"""
+
+
+@query("op11_equal_average_clustering", _clusters_sql())
+def equal_average_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), centroids.Settings(
+        clusters=8, dimensions=64, scale=1024, rounds=10, seed=3))
+
+
+def _crc_sql(word: str) -> str:
+    """CRC-32 of a string byte by byte; the table of single bytes follows from the polynomial."""
+    entries = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ resampling.POLYNOMIAL * (byte & 1)
+        entries.append(byte)
+    digits = f"hex(encode({word}))"
+    byte = f"(strpos('123456789ABCDEF', {digits}[2 * i + 1]) * 16 + strpos('123456789ABCDEF', {digits}[2 * i + 2]))"
+    return (f"xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen({word})), lambda i: {byte})), lambda r, b: "
+            f"xor(r >> 8, ({entries}::BIGINT[])[(xor(r, b) & 255) + 1])), 4294967295)")
+
+
+@query("op12_position_table_resampling", rf"""
+WITH doc AS (SELECT row_number() OVER () AS row, doc_id, {PLAIN_WORDS} AS w FROM documents),
+word AS (SELECT row, unnest(w) AS word FROM doc),
+goal AS (SELECT unnest({PLAIN_WORDS}) AS word FROM benchmark),
+bucket AS MATERIALIZED (
+    SELECT word, {_crc_sql("word")} % 10000 AS b FROM (SELECT word FROM word UNION SELECT word FROM goal)),
+s AS (SELECT b, count(*) AS s FROM word JOIN bucket USING (word) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM goal JOIN bucket USING (word) GROUP BY b),
+total AS (SELECT (SELECT count(*) FROM word) AS big_s, (SELECT count(*) FROM goal) AS big_t),
+gain AS (
+    SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (big_s + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (big_t + 10000))))::BIGINT AS gain
+    FROM (SELECT DISTINCT b FROM bucket) LEFT JOIN s USING (b) LEFT JOIN t USING (b) CROSS JOIN total),
+weighed AS (SELECT row, count(*) AS n, sum(gain) AS g FROM word JOIN bucket USING (word) JOIN gain USING (b) GROUP BY row),
+scored AS (
+    SELECT row, doc_id, len(w) AS n_features, coalesce(((g - ((g % n) + n) % n) // n)::BIGINT, 0) AS weight,
+           ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+    FROM doc LEFT JOIN weighed USING (row)),
+noisy AS (
+    SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+ranked AS (
+    SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS rank, count(*) OVER () AS n
+    FROM noisy WHERE n_features >= 20)
+SELECT doc_id, n_features AS n_words, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+FROM noisy LEFT JOIN ranked USING (row)""")
+def position_table_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), resampling.Settings(
+        longest_run=1, buckets=10_000, seed=2024, least_words=20, percent=10))
+
+
+@query("op13_multi_index_search")
+def multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, near_vectors.Settings(k=10))
