@@ -70,8 +70,9 @@ class Codes:
     directions: np.ndarray  # dimensions x bits
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
-        """Rows of bits / 16 substrings."""
-        signs = (vectors - self.mean) @ self.directions > 0
+        """Rows of substrings, the last one filled up with zeros."""
+        signs = np.zeros((len(vectors), -(-self.directions.shape[1] // SUBSTRING) * SUBSTRING), bool)
+        signs[:, : self.directions.shape[1]] = (vectors - self.mean) @ self.directions > 0
         return np.packbits(signs, axis=1).view(">u2").astype(np.uint16)
 
 

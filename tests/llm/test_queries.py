@@ -20,6 +20,9 @@ COLUMNS = {
     "op8": ("pages", "page_id payload_bytes payload_digest record_type refers_to"),
     "op9": ("documents", "doc_id n_shingles component_id"),
     "op10": (None, "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars"),
+    "op11": ("embeddings", "vec_id cluster distance cluster_inertia inertia centroid_sha256"),
+    "op12": ("documents", "doc_id n_features weight score rank"),
+    "op13": (None, "query_id rank vec_id score"),
 }
 
 
