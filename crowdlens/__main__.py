@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     land.add_argument("--dry-run", action="store_true", help="only write files and bytes per partition to target/_manifest")
     replay = job("replay", "features", "target")
     replay.add_argument("--split", choices=["train", "test"], default="test")
-    replay.add_argument("--limit", type=int, help="about so many events, spread over the whole table; all by default")
+    replay.add_argument("--limit", type=int, help="so many events, spread over the whole table; all by default")
     replay.add_argument("--broker", help="Kafka bootstrap servers; without it JSON lines are written to the target")
     stream = job("stream", "model", "out", "checkpoint")
     stream.add_argument("--path", help="folder of JSON lines")

@@ -14,6 +14,7 @@ from crowdlens.catalog import tables
 from crowdlens.catalog.label_queries import split_sql
 from crowdlens.catalog.registry import query
 from crowdlens.catalog.tables import CTE_DOCUMENT, CTE_SCORES
+from crowdlens.catalog.text_queries import tokens_sql
 from crowdlens.operators import split
 from crowdlens.operators.latency import sweep_pct_of_best
 from crowdlens.operators.metrics import gap_decomposition
@@ -22,11 +23,9 @@ from crowdlens.params import TextParams
 from crowdlens.plans.baselines import Baselines
 from crowdlens.session import stage, stage_path
 
-# Reference sizes for terms, selection, dimensions and iterations, with two exceptions. Boosting: its 300 rounds of depth 6 are
-# some 10,000 small Spark jobs for each label, so the registered query runs fewer; the default of the job is the full size.
-# vocab_sweep: three narrow widths instead of the reference's six, as in its SQL.
+# The full sizes of terms, selection, dimensions, iterations, boosting and widths.
 PARAMS = TextParams()
-ROUNDS, DEPTH = 6, 4
+WIDTHS = (256, 1_000, 5_000, 20_000, 100_000, 200_000)
 
 # Fits are iterative, so SQL checks what must hold of them: which rows and labels are scored, and that every score is a
 # probability, every arm better than chance.
@@ -45,7 +44,7 @@ def sides(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 def baselines(spark, sf) -> Baselines:
-    return Baselines(*sides(spark, sf), PARAMS, numeric=["n_chars"], rounds=ROUNDS, depth=DEPTH)
+    return Baselines(*sides(spark, sf), PARAMS, numeric=["n_chars"])
 
 
 def _arm(spark, sf, arm: str) -> DataFrame:
@@ -82,12 +81,16 @@ def baseline_report(spark, sf):
         "above_floor"), F.lit(adds_up).alias("gap_adds_up"))
 
 
-@query("vocab_sweep", "SELECT k, TRUE AS above_floor, TRUE AS is_share FROM (VALUES (64), (256), (1000)) AS p(k)")
+@query("vocab_sweep", f"""{SIDES}, train AS (
+  SELECT doc_id, text FROM documents JOIN (SELECT doc_id FROM side WHERE split = 'train') USING (doc_id)),
+{tokens_sql('train')},
+available AS (SELECT count(*) AS n FROM (SELECT term FROM tokens GROUP BY term HAVING count(*) >= {PARAMS.min_df}))
+SELECT least(k, n)::INT AS k, TRUE AS above_floor, TRUE AS is_share FROM available, (VALUES {', '.join(f'({k})' for k in WIDTHS)}) AS p(k)""")
 def vocab_sweep(spark, sf):
-    found = sweep_pct_of_best(baselines(spark, sf).sweep([64, 256, 1000]))
-    share = next(name for name in found.columns if name.startswith("pct"))
+    """One row for each width; those beyond the available terms stand for all of them."""
+    found = sweep_pct_of_best(stage(baselines(spark, sf).sweep(WIDTHS), "sweep"))
     return found.select("k", (F.col("macro_average_precision") > F.col("macro_prevalence_floor")).alias("above_floor"),
-                        F.col(share).between(0, 100).alias("is_share"))
+                        F.col("pct_of_best").between(0, 100).alias("is_share"))
 
 
 @query("score_reviews", "SELECT doc_id, TRUE AS has_at_most_three, TRUE AS in_order FROM documents")

@@ -11,10 +11,9 @@ from crowdlens.catalog.tables import CTE_DOCUMENT, LABEL_TERMS
 from crowdlens.operators import terms
 from crowdlens.params import TextParams
 
-# Reduced sizes of term_stats, tfidf and chi2_select. The queries `..._full` have those of the reference, 200,000 terms and 20,000
-# selected.
-MIN_DF, MAX_FEATURES, SELECT_K = 3, 5000, 500
-FULL = TextParams()
+# The sizes of the jobs: 200,000 terms, 20,000 selected. Each query has a second name, `..._full`, from when the first one was smaller.
+PARAMS = TextParams()
+MIN_DF, MAX_FEATURES, SELECT_K = PARAMS.min_df, PARAMS.max_features, PARAMS.select_k
 
 
 def tokens_sql(source: str) -> str:
@@ -53,32 +52,26 @@ def tokenise(spark, sf):
     return terms.tokenise(tables.read(spark, sf, "documents"))
 
 
-def term_stats_sql(max_features: int) -> str:
-    return f"""WITH {tokens_sql('documents')}
+TERM_STATS = f"""WITH {tokens_sql('documents')}
 SELECT term, CAST(sum(tf) AS BIGINT) AS term_count, count(*) AS df FROM tokens GROUP BY term
-HAVING count(*) >= {MIN_DF} ORDER BY term_count DESC, term LIMIT {max_features}"""
+HAVING count(*) >= {MIN_DF} ORDER BY term_count DESC, term LIMIT {MAX_FEATURES}"""
 
 
-@query("term_stats", term_stats_sql(MAX_FEATURES))
+@query("term_stats_full", TERM_STATS)
+@query("term_stats", TERM_STATS)
 def term_stats(spark, sf):
     return terms.term_stats(terms.tokenise(tables.read(spark, sf, "documents")), MIN_DF, MAX_FEATURES)
 
 
-@query("term_stats_full", term_stats_sql(FULL.max_features))
-def term_stats_full(spark, sf):
-    return terms.term_stats(terms.tokenise(tables.read(spark, sf, "documents")), FULL.min_df, FULL.max_features)
+TFIDF = f"WITH {tfidf_sql('documents')} SELECT doc_id, term, {six('w')} FROM weights"
 
 
-@query("tfidf", f"WITH {tfidf_sql('documents')} SELECT doc_id, term, {six('w')} FROM weights")
+@query("tfidf_full", TFIDF)
+@query("tfidf", TFIDF)
 def tfidf(spark, sf):
     return rounded(weighted(tables.read(spark, sf, "documents")))
 
 
-@query("tfidf_full", f"WITH {tfidf_sql('documents', FULL.max_features)} SELECT doc_id, term, {six('w')} FROM weights")
-def tfidf_full(spark, sf):
-    return rounded(weighted(tables.read(spark, sf, "documents"), FULL.max_features))
-
-
 @query("tfidf_unbounded", f"""WITH {tokens_sql('documents')},
 stats AS (SELECT term, count(*) AS df FROM tokens GROUP BY term HAVING count(*) >= {MIN_DF}),
 raw_weights AS (
@@ -104,26 +97,17 @@ _CHI2 = ", ".join(
 )
 
 
-def chi2_sql(max_features: int, k: int) -> str:
-    return f"""WITH {CTE_DOCUMENT}, {tfidf_sql('labelled', max_features)},
+CHI2 = f"""WITH {CTE_DOCUMENT}, {tfidf_sql('labelled')},
 targets AS (SELECT doc_id, {_LABEL_COLUMNS} FROM labelled), shares AS (SELECT {_SHARES} FROM targets),
 sums AS (SELECT term, sum(w) AS f, {_SUMS} FROM weights JOIN targets USING (doc_id) GROUP BY term),
 scored AS (SELECT term, greatest({_CHI2}) AS chi2 FROM sums CROSS JOIN shares)
 SELECT term, round(round(chi2, 9) + 1e-10, 6) AS chi2, CAST(row_number() OVER (ORDER BY round(chi2, 9) DESC, term) AS INT) AS rank
-FROM scored ORDER BY round(chi2, 9) DESC, term LIMIT {k}"""
-
-
-def selected(spark, sf, max_features: int, k: int) -> DataFrame:
-    docs = tables.labelled_documents(spark, sf)
-    scores = terms.chi2_scores(weighted(docs, max_features), docs)
-    return rounded(terms.chi2_select(scores.withColumn("chi2", F.round("chi2", 9)), k))
+FROM scored ORDER BY round(chi2, 9) DESC, term LIMIT {SELECT_K}"""
 
 
-@query("chi2_select", chi2_sql(MAX_FEATURES, SELECT_K))
+@query("chi2_select_full", CHI2)
+@query("chi2_select", CHI2)
 def chi2_select(spark, sf):
-    return selected(spark, sf, MAX_FEATURES, SELECT_K)
-
-
-@query("chi2_select_full", chi2_sql(FULL.max_features, FULL.select_k))
-def chi2_select_full(spark, sf):
-    return selected(spark, sf, FULL.max_features, FULL.select_k)
+    docs = tables.labelled_documents(spark, sf)
+    scores = terms.chi2_scores(weighted(docs), docs)
+    return rounded(terms.chi2_select(scores.withColumn("chi2", F.round("chi2", 9)), SELECT_K))

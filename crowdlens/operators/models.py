@@ -1,22 +1,17 @@
-"""Multi-label baselines on Spark ML: one binary model per label, fitted a few at a time."""
+"""Multi-label baselines: features of the training rows, the arms fitted on them, and scores of any number of test rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdlens.functions.numeric import finite_or_zero, logistic
-from crowdlens.operators.labels import label_prevalence
+from crowdlens.operators import blocks, boosting, linear, svd
+from crowdlens.operators.linear import LinearFit
 from crowdlens.operators.metrics import multilabel_report
 from crowdlens.session import stage
 
@@ -29,151 +24,74 @@ def indexed_terms(weights: DataFrame, index: DataFrame, index_rows: int | None =
     return weights.join(F.broadcast(index) if bounded else index, "term").drop("term")
 
 
-def sparse_rows(cells: DataFrame, width: int, id_col: str = "doc_id", out: str = "features") -> DataFrame:
-    """One sparse vector per id from (id, idx, w). The lists are as long as single documents are."""
-    @F.udf(VectorUDT())
-    def to_vector(pairs):
-        return SparseVector(width, {pair.idx: pair.w for pair in pairs if pair.idx is not None})
+def sparse_features(docs: DataFrame, weights: DataFrame, index: DataFrame, width: int, id_col: str = "doc_id") -> DataFrame:
+    """Packed blocks of the term weights and `labels` of `docs`; a document without any known term has no cells.
 
-    gathered = cells.groupBy(id_col).agg(F.collect_list(F.struct("idx", "w")).alias("_cells"))
-    return gathered.select(id_col, to_vector("_cells").alias(out))
+    For training rows, whose number is bounded. Other rows are scored by `linear_scores` or projected by `project`, which are joins.
+    """
+    return blocks.pack(blocks.sparse_cells(docs, indexed_terms(weights, index, width), id_col))
 
 
-def sparse_features(
-    docs: DataFrame, weights: DataFrame, index: DataFrame, width: int, id_col: str = "doc_id", out: str = "features"
-) -> DataFrame:
-    """`docs` with a sparse vector of their term weights; a document without any known term gets zeros.
+def n_labels(docs: DataFrame, labels_col: str = "labels") -> int:
+    return docs.select(F.max(F.array_size(labels_col))).head()[0] or 0
 
-    For training rows, whose number is bounded: vectors are packed by a Python function. Other rows are scored by
-    `linear_scores` or projected by `project`, which are joins.
-    """
-    cells = docs.select(id_col).join(indexed_terms(weights, index, width), id_col, "left")
-    return docs.join(sparse_rows(cells, width, id_col, out), id_col)
+
+def fit_sparse(
+    docs: DataFrame, weights: DataFrame, index: DataFrame, width: int, id_col: str = "doc_id", c: float = 4.0,
+    max_iter: int = 400,
+) -> LinearFit:
+    """One logistic regression per label with inverse penalty `c` on the terms of `index`, all labels in the same passes."""
+    return linear.fit(sparse_features(docs, weights, index, width, id_col), width, n_labels(docs), c, max_iter)
 
 
 def linear_scores(
-    docs: DataFrame, weights: DataFrame, index: DataFrame, models: list, id_col: str = "doc_id",
+    docs: DataFrame, weights: DataFrame, index: DataFrame, fitted: LinearFit, id_col: str = "doc_id",
     keep: Sequence[str] = ("doc_id", "labels"),
 ) -> DataFrame:
-    """`keep` and `scores` of fitted linear models for any number of documents, by one join and one aggregation.
+    """`keep` and `scores` of a linear fit for any number of documents, by one join and one aggregation.
 
     A document without any known term has the margin of the intercepts.
     """
-    table, intercepts = coefficient_table(docs.sparkSession, index, models)
-    known = weights.join(F.broadcast(table), "term")
-    sums = known.groupBy(id_col).agg(*[
-        F.sum(F.col("w") * F.col("coefs")[j]).alias(f"_m{j}") for j in range(len(models))])
-    margins = [F.coalesce(F.col(f"_m{j}"), F.lit(0.0)) + F.lit(intercepts[j]) for j in range(len(models))]
+    size = len(fitted.intercepts)
+    known = weights.join(bounded(coefficient_table(docs.sparkSession, index, fitted), len(fitted.coefficients) * size), "term")
+    sums = known.groupBy(id_col).agg(*[F.sum(F.col("w") * F.col("coefs")[j]).alias(f"_m{j}") for j in range(size)])
+    margins = [F.coalesce(F.col(f"_m{j}"), F.lit(0.0)) + F.lit(float(fitted.intercepts[j])) for j in range(size)]
     scored = docs.join(sums, id_col, "left")
     return scored.select(*keep, F.array(*[logistic(margin) for margin in margins]).alias("scores"))
 
 
-def coefficient_table(spark, index: DataFrame, models: list) -> tuple[DataFrame, list[float]]:
-    """(term, coefs) of the selected terms and the intercepts; a constant label has no terms and a large intercept.
-
-    At most as many rows as the index has selected terms: small enough to be broadcast.
-    """
-    intercepts = [(1.0 if m else -1.0) * 1e3 if isinstance(m, float) else float(m.intercept) for m in models]
-    fitted = {j: m.coefficients.toArray() for j, m in enumerate(models) if not isinstance(m, float)}
-    width = max((len(c) for c in fitted.values()), default=0)
-    rows = [(i, [float(fitted[j][i]) if j in fitted else 0.0 for j in range(len(models))]) for i in range(width)]
-    coefficients = spark.createDataFrame(rows, "idx int, coefs array<double>")
-    return index.join(coefficients, "idx").select("term", "coefs"), intercepts
+def bounded(table: DataFrame, numbers: int) -> DataFrame:
+    """`table` marked for broadcast if it has at most so many numbers, else as it is, to be shuffled."""
+    return F.broadcast(table) if numbers <= svd.BROADCAST_NUMBERS else table
 
 
-def fit_each_label(
-    train: DataFrame, labels_col: str, estimator: Callable, parallel: int = 4, rows_per_task: int = 10_000
-) -> list:
-    """Fit `estimator(positives, rows)` per label, `parallel` at a time over one cached training table.
+def coefficient_table(spark, index: DataFrame, fitted: LinearFit) -> DataFrame:
+    """(term, coefs) of the selected terms; a constant label has zeros."""
+    import pyarrow as pa
 
-    Entry j is a fitted model, or 0.0 / 1.0 for a label that never or always occurs. An iteration is one
-    job over all partitions, so a small table is read in few of them; a large one keeps what it has.
-    """
-    cached = train.persist()
-    try:
-        stats = {row.idx: row for row in label_prevalence(cached, labels_col).collect()}
-        rows = max((row.n_rows for row in stats.values()), default=0)
-        shared = cached.coalesce(max(1, -(-rows // rows_per_task)))
-
-        def fit(j: int):
-            row = stats[j]
-            if row.positives in (0, row.n_rows):
-                return 1.0 if row.positives else 0.0
-            target = shared.withColumn("_y", F.col(labels_col)[j].cast("double"))
-            return estimator(int(row.positives), int(row.n_rows)).fit(target)
-
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            return list(pool.map(fit, sorted(stats)))
-    finally:
-        cached.unpersist()
-
-
-def score_each_label(models: list, test: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """`keep` and `scores`: the probability of each label, in label order."""
-    scored, columns = test, []
-    for j, model in enumerate(models):
-        if isinstance(model, float):
-            columns.append(F.lit(model))
-            continue
-        model.setPredictionCol("").setRawPredictionCol(f"_r{j}").setProbabilityCol(f"_p{j}")
-        scored = model.transform(scored).drop(f"_r{j}")
-        columns.append(vector_to_array(F.col(f"_p{j}"))[1])
-    return scored.select(*keep, F.array(*columns).alias("scores"))
-
-
-def linear_estimator(
-    features_col: str, c: float = 4.0, max_iter: int = 400
-) -> Callable[[int, int], LogisticRegression]:
-    """Logistic regression whose penalty 1 / (c·rows) matches an inverse penalty `c` on the summed loss."""
-    def build(positives: int, rows: int) -> LogisticRegression:
-        return LogisticRegression(
-            featuresCol=features_col, labelCol="_y", regParam=1.0 / (c * rows), elasticNetParam=0.0,
-            maxIter=max_iter, standardization=False,
-        )
-    return build
-
-
-def fit_linear(
-    train: DataFrame, test: DataFrame, labels_col: str = "labels", features_col: str = "features",
-    keep: Sequence[str] = ("doc_id", "labels"), c: float = 4.0, max_iter: int = 400, parallel: int = 4,
-) -> DataFrame:
-    """One logistic regression per label with inverse penalty `c`; returns `keep` and `scores`."""
-    models = fit_each_label(train, labels_col, linear_estimator(features_col, c, max_iter), parallel)
-    return score_each_label(models, test, keep)
+    rows = pa.table({"idx": pa.array(range(len(fitted.coefficients)), pa.int32()),
+                     "coefs": pa.array(list(fitted.coefficients), pa.list_(pa.float64()))})
+    return index.join(spark.createDataFrame(rows), "idx").select("term", "coefs")
 
 
-def fit_linear_dense(train: DataFrame, test: DataFrame, features_col: str = "features", **options) -> DataFrame:
-    """`fit_linear` on standardised features; mean and deviation come from the training rows alone."""
+def fit_linear_dense(
+    train: DataFrame, test: DataFrame, features_col: str = "features", keep: Sequence[str] = ("doc_id", "labels"), c: float = 4.0,
+    max_iter: int = 400,
+) -> DataFrame:
+    """The same regression on standardised dense features; mean and deviation come from the training rows alone."""
     scaler = StandardScaler(inputCol=features_col, outputCol="_standard", withMean=True, withStd=True).fit(train)
-    return fit_linear(scaler.transform(train), scaler.transform(test), features_col="_standard", **options)
+    left, right = (scaler.transform(side).withColumn("value", vector_to_array("_standard")) for side in (train, test))
+    fitted = linear.fit(blocks.pack(left.select("labels", "value")), len(scaler.mean), n_labels(train), c, max_iter)
+    return linear.dense_scores(right, "value", fitted, list(keep))
 
 
 def fit_gbt(
-    train: DataFrame, test: DataFrame, labels_col: str = "labels", features_col: str = "features",
-    keep: Sequence[str] = ("doc_id", "labels"), rounds: int = 300, depth: int = 6, step: float = 0.08,
-    row_share: float = 0.85, column_share: float = 0.7, min_rows: int = 4, seed: int = 17, parallel: int = 4,
+    train: DataFrame, test: DataFrame, features_col: str = "features", keep: Sequence[str] = ("doc_id", "labels"),
+    params: boosting.BoostParams = boosting.BoostParams(),
 ) -> DataFrame:
     """Boosted trees per label, positives weighted by the negatives per positive; returns `keep` and `scores`."""
-    def build(positives: int, rows: int) -> _Weighted:
-        booster = GBTClassifier(
-            featuresCol=features_col, labelCol="_y", weightCol="_weight", maxIter=rounds, maxDepth=depth,
-            stepSize=step, subsamplingRate=row_share, featureSubsetStrategy=str(column_share),
-            minInstancesPerNode=min_rows, seed=seed,
-        )
-        return _Weighted(booster, max((rows - positives) / positives, 1.0))
-
-    return score_each_label(fit_each_label(train, labels_col, build, parallel), test, keep)
-
-
-class _Weighted:
-    """An estimator whose positives carry a weight."""
-
-    def __init__(self, estimator, weight: float):
-        self.estimator, self.weight = estimator, weight
-
-    def fit(self, rows: DataFrame):
-        weight = F.when(F.col("_y") == 1.0, F.lit(self.weight)).otherwise(F.lit(1.0))
-        return self.estimator.fit(rows.withColumn("_weight", weight))
+    left, right = (side.withColumn("value", vector_to_array(features_col)) for side in (train, test))
+    return boosting.scores(right, boosting.fit(left, n_labels(train), "value", params), "value", list(keep))
 
 
 def text_svd(
@@ -181,26 +99,20 @@ def text_svd(
 ) -> tuple[DataFrame, DataFrame, float]:
     """Project (id, idx, w) rows onto the leading right singular vectors of the training rows.
 
-    Uncentred, as for sparse text. Ids are whole numbers. Returns (id, svd) of all documents with a known term on both
-    sides, and the share of the training variance explained. Only the basis (width x dims) passes through the driver;
-    training rows are written once as vectors, because the decomposition reads them in every iteration.
+    Uncentred, as for sparse text. Returns (id, svd) of all documents with a known term on both sides, and the share of the
+    training variance explained. The basis (width x dims) is a table; only matrices of dims x dims reach the driver.
     """
-    rows = stage(sparse_rows(train, width, id_col), "svd-rows")
-    vectors = rows.select(F.col(id_col).cast("long").alias("index"), F.col("features").alias("vector"))
-    matrix, documents = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), numCols=width), rows.count()
+    documents = train.select(id_col).distinct().count()
     rank = max(1, min(dims, min(documents, width) - 1))
-    values = matrix.computeSVD(rank).V.toArray()
-    basis = stage(train.sparkSession.createDataFrame(
-        [(i, row.tolist()) for i, row in enumerate(values)], "idx int, v array<double>"), "svd-basis")
-    left = stage(project(train, basis, width, id_col), "svd-train")
-    return left, project(test, basis, width, id_col), _explained(left, train, documents)
+    basis, rank = svd.right_vectors(train, rank, id_col)
+    left = stage(project(train, basis, width * rank, id_col), "svd-train")
+    return left, project(test, basis, width * rank, id_col), _explained(left, train, documents)
 
 
-def project(cells: DataFrame, basis: DataFrame, width: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, svd): for every id the sum of its weights times the basis rows of its terms."""
-    bounded = F.broadcast(basis) if width <= 20_000 else basis
-    rows = cells.join(bounded, "idx").select(id_col, "w", array_to_vector("v").alias("_v"))
-    return rows.groupBy(id_col).agg(Summarizer.sum(F.col("_v"), F.col("w")).alias("svd"))
+def project(cells: DataFrame, basis: DataFrame, numbers: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, svd): for every id the sum of its weights times the basis rows of its terms. `numbers`: of the basis."""
+    return svd.weighted_sums(cells, basis, "idx", id_col, numbers <= svd.BROADCAST_NUMBERS).select(
+        id_col, array_to_vector("v").alias("svd"))
 
 
 def with_projection(docs: DataFrame, projected: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -237,11 +149,11 @@ def vocab_sweep(
 ) -> DataFrame:
     """Report per vocabulary width: `fit_and_score(k)` returns long scores (label, y, score).
 
-    Widths beyond the available terms stand for all of them. A handful of points, each fitted in turn.
+    Widths beyond the available terms stand for all of them and are fitted once. A handful of points, each fitted in turn.
     """
-    points = None
-    for k in sizes:
-        effective = min(k, available)
-        row = multilabel_report(fit_and_score(effective)).withColumn("k", F.lit(effective))
-        points = row if points is None else points.unionByName(row)
+    widths = [min(k, available) for k in sizes]
+    reports = {k: multilabel_report(fit_and_score(k)).withColumn("k", F.lit(k)) for k in dict.fromkeys(widths)}
+    points = reports[widths[0]]
+    for k in widths[1:]:
+        points = points.unionByName(reports[k])
     return points

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdlens.operators.joins import null_safe_join
+from crowdlens.operators.ordering import running_totals
 
+#: Rows of a sample that one task may sort.
+SMALL_SAMPLE = 10_000
 
 # Salt, hash and number of buckets decide the side of every group and must not change.
 def _bucket(key: Column, salt: str, method: str, buckets: int) -> Column:
@@ -87,8 +90,28 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed: int = 17, method
 
 
 def bounded_sample(df: DataFrame, key: str, limit: int | None, seed: int = 17, method: str = "xxhash64") -> DataFrame:
-    """About `limit` rows spread over the whole table; all rows where there are no more than that."""
+    """Exactly `limit` rows spread over the whole table, those of the smallest hashes of the key; all rows where there are no more.
+
+    Equal hashes are ordered by key. Each task keeps its smallest, so the table is read once and never counted, and only
+    `limit` rows of each task are moved. As a sort of more than `SMALL_SAMPLE` rows in one task would be long, a larger sample
+    first looks for the hash of its last row among hashes alone; of equal keys it has as many as there is room for.
+    """
     if limit is None:
         return df
-    total = df.count()
-    return df if total <= limit else hash_sample(df, key, limit / total, seed, method)
+    if method == "md5":
+        mark = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    elif method == "xxhash64":
+        mark = F.xxhash64(F.lit(seed), F.col(key))
+    else:
+        raise ValueError(f"unknown hash: {method!r}")
+    marked = df.withColumn("_mark", mark)
+    if limit <= SMALL_SAMPLE:
+        return marked.orderBy("_mark", key).limit(limit).drop("_mark")
+    counts = marked.groupBy("_mark").agg(F.count("*").alias("_n"))
+    curve = running_totals(counts, [], [F.col("_mark")], ["_n"])
+    last = curve.where(F.col("cum__n") >= limit).orderBy("_mark").select("_mark", F.col("cum__n") - F.col("_n")).head()
+    if last is None:
+        return df
+    before = marked.where(F.col("_mark") < F.lit(last[0]))
+    edge = marked.where(F.col("_mark") == F.lit(last[0])).orderBy(key).limit(limit - last[1])
+    return before.unionByName(edge).drop("_mark")

@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crowdlens.functions.numeric import logistic
-from crowdlens.operators.models import (
-    BROADCAST_TERMS, coefficient_table, fit_each_label, linear_estimator, sparse_features,
-)
+from crowdlens.operators.linear import LinearFit
+from crowdlens.operators.models import BROADCAST_TERMS, bounded, coefficient_table, fit_sparse
 from crowdlens.operators.predictions import topk_categories
 from crowdlens.operators.terms import assert_some_term_scores, chi2_scores, chi2_select, term_stats, tfidf, tokenise
 from crowdlens.params import TextParams
@@ -106,27 +105,26 @@ def training_terms(
 
 def fit_text_model(
     train: DataFrame, categories: Sequence[str], params: TextParams = TextParams(), id_col: str = "doc_id",
-    text_col: str = "text", labels_col: str = "labels", c: float = 4.0, max_iter: int = 400, parallel: int = 4,
-    prepared: TrainingTerms | None = None, fitted: tuple | None = None,
+    text_col: str = "text", c: float = 4.0, max_iter: int = 400, prepared: TrainingTerms | None = None,
+    fitted: tuple[DataFrame, LinearFit] | None = None,
 ) -> TextModel:
     """TF-IDF, chi-squared selection of `select_k` terms and one logistic regression per label.
 
     The coefficients of the selected terms pass through the driver: select_k × labels numbers. `fitted` takes the term
-    index and models of an earlier fit on the same terms instead of fitting again.
+    index and the result of an earlier fit on the same terms instead of fitting again.
     """
     spark = train.sparkSession
-    found = prepared or training_terms(train, params, id_col, text_col, labels_col)
+    found = prepared or training_terms(train, params, id_col, text_col)
     if fitted is None:
         index = stage(term_index(chi2_select(found.ranking, params.select_k)), "terms")
-        features = sparse_features(train.select(id_col, labels_col), found.weights, index, index.count(), id_col)
-        models = fit_each_label(features, labels_col, linear_estimator("features", c, max_iter), parallel)
+        result = fit_sparse(train.select(id_col, "labels"), found.weights, index, index.count(), id_col, c, max_iter)
     else:
-        index, models = fitted
-    coefficients, intercepts = coefficient_table(spark, index, models)
+        index, result = fitted
+    coefficients = coefficient_table(spark, index, result)
     idf = F.log((1.0 + found.n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
     terms = (
         found.vocabulary.select("term", idf.alias("idf"))
-        .join(F.broadcast(coefficients), "term", "left")
+        .join(bounded(coefficients, result.coefficients.size), "term", "left")
         .select("term", "idf", "coefs")
     )
-    return TextModel(stage(terms, "text-model"), tuple(intercepts), tuple(categories), params.ngrams)
+    return TextModel(stage(terms, "text-model"), tuple(float(x) for x in result.intercepts), tuple(categories), params.ngrams)

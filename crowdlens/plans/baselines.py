@@ -8,11 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crowdlens.operators.boosting import BoostParams
 from crowdlens.operators.latency import sweep_pct_of_best
 from crowdlens.operators.metrics import label_metrics, multilabel_report, scores_long
 from crowdlens.operators.models import (
-    dense_features, fit_each_label, fit_gbt, fit_linear_dense, indexed_terms, linear_estimator, linear_scores,
-    sparse_features, text_svd, vocab_sweep, with_projection,
+    dense_features, fit_gbt, fit_linear_dense, fit_sparse, indexed_terms, linear_scores, text_svd, vocab_sweep, with_projection,
 )
 from crowdlens.operators.split import bounded_sample, split_slice
 from crowdlens.operators.terms import chi2_select, tfidf, tokenise
@@ -30,11 +30,11 @@ class Baselines:
 
     def __init__(
         self, train: DataFrame, test: DataFrame, params: TextParams = TextParams(), id_col: str = "doc_id",
-        numeric: Sequence[str] = (), max_iter: int = 400, rounds: int = 300, depth: int = 6,
+        numeric: Sequence[str] = (), max_iter: int = 400, boost: BoostParams = BoostParams(),
         sample_by: str | None = None,
     ):
         self.params, self.id_col, self.numeric = params, id_col, tuple(numeric)
-        self.max_iter, self.rounds, self.depth = max_iter, rounds, depth
+        self.max_iter, self.boost = max_iter, boost
         self.train = bounded_sample(train, sample_by or id_col, params.train_rows, params.seed)
         self.test = test
         self.terms: TrainingTerms = training_terms(self.train, params, id_col)
@@ -44,18 +44,17 @@ class Baselines:
             "test-weights",
         )
         self._dense = None
-        self.linear_models = None  # term index and models of the whole linear arm, once fitted
+        self.linear_models = None  # term index and result of the whole linear arm, once fitted
 
     def linear(self, k: int | None = None) -> DataFrame:
         """Logistic regression on the `k` best terms."""
         index = stage(term_index(chi2_select(self.terms.ranking, k or self.params.select_k)), "terms")
         width = index.count()
         keep = [self.id_col, "labels"]
-        left = sparse_features(self.train.select(*keep), self.terms.weights, index, width, self.id_col)
-        models = fit_each_label(left, "labels", linear_estimator("features", max_iter=self.max_iter))
+        fitted = fit_sparse(self.train.select(*keep), self.terms.weights, index, width, self.id_col, max_iter=self.max_iter)
         if k is None:
-            self.linear_models = (index, models)
-        return self._long(linear_scores(self.test, self.test_weights, index, models, self.id_col, keep))
+            self.linear_models = (index, fitted)
+        return self._long(linear_scores(self.test, self.test_weights, index, fitted, self.id_col, keep))
 
     def projected(self) -> tuple[DataFrame, DataFrame, float]:
         """SVD of the whole vocabulary; both sides with labels and numeric columns."""
@@ -78,7 +77,7 @@ class Baselines:
         sides = [dense_features(side, self.numeric, drop_metadata=drop) for side in (left, right)]
         keep = [self.id_col, "labels"]
         if arm == "xgb_svd_meta":
-            return self._long(fit_gbt(*sides, keep=keep, rounds=self.rounds, depth=self.depth))
+            return self._long(fit_gbt(*sides, keep=keep, params=self.boost))
         return self._long(fit_linear_dense(*sides, keep=keep, max_iter=self.max_iter))
 
     def scores(self, arm: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +51,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="crowdlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    if not getattr(context, "_crowdlens_folder", None):  # the setting itself can't be changed in a running session
+        context._crowdlens_folder = tempfile.mkdtemp(prefix="crowdlens-")
+    return context._crowdlens_folder
 
 
 def stage_path(spark: SparkSession, label: str) -> str:
@@ -66,3 +71,18 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = stage_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark send the package to all workers, once per context: they may have no other way to import it."""
+    context = spark.sparkContext
+    if getattr(context, "_crowdlens_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="crowdlens-code-")  # the driver's; addPyFile copies the file to every executor
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(f"{folder}/{root.name}.zip")
+    context._crowdlens_shipped = True

@@ -59,7 +59,9 @@ def test_hash_sample_does_not_depend_on_partitions(spark):
     second = {r.id for r in split.hash_sample(df.repartition(11), "id", 0.1).collect()}
     assert first == second and abs(len(first) - 2000) < 200
     assert split.bounded_sample(df, "id", 50_000).count() == 20_000
-    assert abs(split.bounded_sample(df, "id", 5_000).count() - 5_000) < 400
+    for method in ("xxhash64", "md5"):
+        found = sorted(r.id for r in split.bounded_sample(df, "id", 5_000, method=method).collect())
+        assert len(set(found)) == 5_000 and found == sorted(r.id for r in split.bounded_sample(df.repartition(7), "id", 5_000, method=method).collect())
     assert split.bounded_sample(df, "id", None) is df
 
 
@@ -103,3 +105,13 @@ def test_no_fraction_is_too_small_to_sample(spark):
     for method in ("xxhash64", "md5"):
         assert 0 < split.hash_sample(rows, "id", 4 / 2**20, method=method).count() < 40
         assert split.hash_sample(rows.limit(50), "id", 1.0, method=method).count() == 50
+
+
+def test_bounded_sample_is_exact_when_it_is_large_and_keys_repeat(spark, monkeypatch):
+    df = spark.range(100).selectExpr("id % 40 AS id", "id AS n").repartition(5)
+    for limit in (0, 1, 33, 99, 100, 101):
+        small = split.bounded_sample(df, "id", limit).select("id").collect()
+        monkeypatch.setattr(split, "SMALL_SAMPLE", -1)
+        large = split.bounded_sample(df, "id", limit).select("id").collect()
+        monkeypatch.undo()
+        assert len(small) == len(large) == min(limit, 100) and sorted(small) == sorted(large)

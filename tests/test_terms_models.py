@@ -3,10 +3,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crowdlens.operators import metrics, models, terms, text_model
+from crowdlens.operators import blocks, boosting, linear, metrics, models, svd, terms, text_model
 from crowdlens.operators.text_model import TextModel, fit_text_model
 from crowdlens.params import TextParams
 from crowdlens.plans.baselines import Baselines
@@ -101,7 +102,8 @@ def test_tokenise_shuffles_only_the_texts(corpus):
 def baselines(corpus):
     docs, _ = corpus
     params = TextParams(max_features=500, select_k=60, svd_dims=5, train_rows=10_000)
-    return Baselines(docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0"), params, numeric=["size"], max_iter=25, rounds=3, depth=2)
+    return Baselines(docs.where("doc_id % 4 <> 0"), docs.where("doc_id % 4 = 0"), params, numeric=["size"], max_iter=25,
+                     boost=boosting.BoostParams(rounds=3, depth=2))
 
 
 def test_arms_beat_the_floor_on_one_test_set(baselines):
@@ -119,8 +121,8 @@ def test_svd_projects_both_sides(baselines):
 
 
 def test_sweep_uses_all_terms_beyond_their_number(baselines):
-    points = {r.k: r.macro_average_precision for r in baselines.sweep([10, 10**6]).collect()}
-    assert set(points) == {10, baselines.terms.vocabulary.count()}
+    points = [r.k for r in baselines.sweep([10, 10**5, 10**6]).collect()]
+    assert sorted(points) == [10] + [baselines.terms.vocabulary.count()] * 2
 
 
 def test_saved_model_scores_like_the_fitted_one(spark, corpus, tmp_path):
@@ -182,10 +184,10 @@ def test_no_python_on_the_test_side(baselines):
     index = text_model.term_index(baselines.terms.vocabulary)
     cells = models.indexed_terms(baselines.test_weights, index)
     basis = cells.sparkSession.createDataFrame([(0, [1.0, 0.0])], "idx int, v array<double>")
-    rows = models.sparse_features(baselines.train.select("doc_id", "labels"), baselines.terms.weights, index, index.count())
-    fitted = models.fit_each_label(rows, "labels", models.linear_estimator("features", max_iter=2))
+    fitted = models.fit_sparse(
+        baselines.train.select("doc_id", "labels"), baselines.terms.weights, index, index.count(), max_iter=2)
     scored = models.linear_scores(baselines.test, baselines.test_weights, index, fitted)
-    for frame in (models.project(cells, basis, 1), scored):
+    for frame in (models.project(cells, basis, 2), scored):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not any(node in plan for node in ("Python", "Pandas", "Arrow"))
 
@@ -193,3 +195,135 @@ def test_no_python_on_the_test_side(baselines):
 def test_a_ranking_without_positive_scores_is_refused(spark):
     with pytest.raises(terms.DegenerateTarget):
         terms.assert_some_term_scores(spark.createDataFrame([("a", 0.0)], "term string, chi2 double"))
+
+
+# ---------------------------------------------------------------- fits against plain solvers
+
+def sparse_problem(n=400, width=30, labels=4, seed=1):
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, width)) * (rng.random((n, width)) < 0.25)
+    x[5] = 0
+    y = (x @ rng.normal(size=(width, labels)) * 2 + rng.normal(size=(n, labels)) > 0.2).astype(int)
+    y[:, labels - 1] = 0
+    return x, y
+
+
+def packed(spark, x, y, sparse):
+    if sparse:
+        rows = [(y[i].tolist(), np.flatnonzero(x[i]).tolist(), x[i][x[i] != 0].tolist()) for i in range(len(x))]
+        return blocks.pack(spark.createDataFrame(rows, "labels array<int>, index array<int>, value array<double>"))
+    return blocks.pack(spark.createDataFrame([(y[i].tolist(), x[i].tolist()) for i in range(len(x))], "labels array<int>, value array<double>"))
+
+
+@pytest.mark.parametrize("sparse", [True, False])
+def test_joint_fit_equals_one_fit_for_each_label(spark, sparse):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    x, y = sparse_problem()
+    fitted = linear.fit(packed(spark, x, y, sparse), x.shape[1], y.shape[1], c=4.0, tolerance=1e-8)
+    for j in range(3):
+        rows = spark.createDataFrame([(Vectors.dense(x[i].tolist()), float(y[i, j])) for i in range(len(x))], ["features", "label"])
+        plain = LogisticRegression(regParam=1 / (4.0 * len(x)), standardization=False, maxIter=2000, tol=1e-12).fit(rows)
+        assert fitted.coefficients[:, j] == pytest.approx(plain.coefficients.toArray(), abs=1e-4)
+        assert fitted.intercepts[j] == pytest.approx(plain.intercept, abs=1e-4)
+    assert not fitted.coefficients[:, 3].any() and fitted.intercepts[3] == -linear.CERTAIN
+    assert fitted.passes < 80  # for all labels together
+
+
+def test_joint_fit_is_stationary_and_groups_of_labels_change_nothing(spark, monkeypatch):
+    x, y = sparse_problem(seed=2)
+    data = packed(spark, x, y, True)
+    fitted = linear.fit(data, x.shape[1], y.shape[1], tolerance=1e-8)
+    p = 1 / (1 + np.exp(-(x @ fitted.coefficients + fitted.intercepts)))
+    gradient = x.T @ (p - y) / len(x) + fitted.coefficients / (4.0 * len(x))
+    assert np.abs(gradient[:, :3]).max() < 1e-6 and np.abs((p - y).mean(axis=0)[:3]).max() < 1e-6
+    monkeypatch.setattr(linear, "NUMBERS", 1)
+    assert linear.fit(data, x.shape[1], y.shape[1], tolerance=1e-8).coefficients == pytest.approx(fitted.coefficients, abs=1e-6)
+
+
+def test_sums_over_many_tasks_go_through_parts(spark, monkeypatch):
+    x, y = sparse_problem(seed=3)
+    data = packed(spark, x, y, True).repartition(6)
+    monkeypatch.setattr(blocks, "PART", 7)
+    direct = blocks.total(data, linear._moments(30, 4), 35)
+    assert blocks.total(data, linear._moments(30, 4), 35, direct=1) == pytest.approx(direct)
+    assert direct == pytest.approx(np.concatenate(((x ** 2).sum(axis=0), y.sum(axis=0), [len(x)])))
+
+
+def plain_booster(x, y, p):
+    """Every cut of every feature tried on every node, row by row, without histograms."""
+    weight = np.where(y == 1, max((len(y) - y.sum()) / y.sum(), 1.0), 1.0)
+    margin = np.zeros(len(y))
+
+    def worth(g, h):
+        return g.sum() ** 2 / (h.sum() + p.penalty)
+
+    def tree(rows, depth, g, h):
+        best = (1e-12, None, None)
+        for f in range(x.shape[1]) if depth else ():
+            values = np.unique(x[:, f])
+            for cut in (values[1:] + values[:-1]) / 2:
+                left, right = rows[x[rows, f] < cut], rows[x[rows, f] >= cut]
+                if min(h[left].sum(), h[right].sum()) < p.min_weight:
+                    continue
+                gain = worth(g[left], h[left]) + worth(g[right], h[right]) - worth(g[rows], h[rows])
+                if gain > best[0] + 1e-9:
+                    best = (gain, left, right)
+        if best[1] is None:
+            margin[rows] += -p.step * g[rows].sum() / (h[rows].sum() + p.penalty)
+        else:
+            for part in best[1:]:
+                tree(part, depth - 1, g, h)
+    for _ in range(p.rounds):
+        q = 1 / (1 + np.exp(-margin))
+        tree(np.arange(len(y)), p.depth, weight * (q - y), weight * q * (1 - q))
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_boosting_equals_a_plain_booster(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(150, 4)), 1)
+    y = np.column_stack(((x[:, 0] * x[:, 1] > 0), (x[:, 2] > 0.4), np.zeros(150), np.ones(150))).astype(int)
+    p = boosting.BoostParams(rounds=12, depth=3, step=0.3, row_share=1.0, column_share=1.0, min_weight=1.0)
+    frame = spark.createDataFrame([(i, y[i].tolist(), x[i].tolist()) for i in range(150)], "doc_id long, labels array<int>, value array<double>")
+    trees = boosting.fit(frame.repartition(3), 4, "value", p)
+    got = {r.doc_id: r.scores for r in boosting.scores(frame, trees, "value", ["doc_id"]).collect()}
+    for j in range(2):
+        assert [got[i][j] for i in range(150)] == pytest.approx(plain_booster(x, y[:, j], p).tolist(), abs=1e-9)
+    assert all(got[i][2] == 0.0 and got[i][3] == 1.0 for i in range(150))
+
+
+def test_boosting_of_full_size_learns_what_a_line_cannot():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1200, 6))
+    y = (x[:, 0] * x[:, 1] > 0).astype(float)
+    p = boosting.BoostParams()
+    assert (p.rounds, p.depth, p.step, p.row_share, p.column_share, p.min_weight, p.penalty) == (300, 6, 0.08, 0.85, 0.7, 4.0, 1.5)
+    cuts = boosting.cut_points(x[:800], p.bins)
+    trees = boosting.Trees(cuts, {0: boosting.grow(boosting.binned(x[:800], cuts), y[:800], p)}, p.depth)
+    assert ((trees.probabilities(x[800:])[:, 0] > 0.5) == y[800:]).mean() > 0.9
+
+
+@pytest.mark.parametrize("n, width, rank", [(60, 40, 5), (30, 50, 29), (50, 12, 11)])
+def test_svd_finds_the_subspace_of_a_dense_one(spark, n, width, rank):
+    rng = np.random.default_rng(n)
+    x = (rng.normal(size=(n, 12)) * 0.6 ** np.arange(12)) @ rng.normal(size=(12, width)) + 0.001 * rng.normal(size=(n, width))
+    x[np.abs(x) < 0.05] = 0
+    cells = [(i, int(j), float(x[i, j])) for i in range(n) for j in np.flatnonzero(x[i])]
+    basis, found = svd.right_vectors(spark.createDataFrame(cells, "doc_id long, idx int, w double"), rank)
+    _, values, right = np.linalg.svd(x)
+    assert found == min(rank, (values > 1e-10 * values[0]).sum())
+    got = np.zeros((width, found))
+    for row in basis.collect():
+        got[row.idx] = row.v
+    assert got.T @ got == pytest.approx(np.eye(found), abs=1e-9)
+    same = np.linalg.svd(got[:, :5].T @ right[:5].T)[1]
+    assert same == pytest.approx(np.ones(5), abs=1e-3)
+    assert np.linalg.norm(x @ got, axis=0) == pytest.approx(values[:found], rel=1e-2, abs=1e-3 * values[0])
+
+
+def test_svd_of_a_table_of_small_rank_drops_the_rest(spark):
+    cells = [(i, j, float((i + 1) * (j + 1))) for i in range(9) for j in range(7)]
+    basis, found = svd.right_vectors(spark.createDataFrame(cells, "doc_id long, idx int, w double"), 4)
+    assert found == 1 and all(len(r.v) == 1 for r in basis.collect())
