@@ -97,7 +97,10 @@ def right_vectors(cells: DataFrame, rank: int, id_col: str = "doc_id", seed: int
     `rank` must be at most the number of rows and of columns; fewer vectors come back where the table has a smaller rank.
     """
     columns = cells.select("idx").distinct()
-    width = rank + oversampling
+    rows = cells.select(id_col).distinct().count()
+    width = min(rank + oversampling, rows)
+    if width == rows:
+        powers = 0  # the range is the whole table
     # +1 or -1 by a hash, so that a repeated task draws the same numbers.
     signs = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.lit(1.0) - 2 * F.pmod(F.xxhash64(F.lit(seed), "idx", j), F.lit(2)))
     basis, n = stage(columns.select("idx", signs.alias("v")), "svd-random"), width
