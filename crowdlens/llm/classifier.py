@@ -8,8 +8,9 @@ documents that the model has not seen.
 
 * Counts cover ALL labelled learning rows (`counts`): each task adds up dense vectors of `buckets` numbers, so that
   what is shuffled has a bound per task, and what reaches the driver has a bound altogether (2 x `buckets`).
-* The linear model is fitted in one task on about `train_rows` learning rows (the documented bound), those whose hash
-  of id and text lies in the share of all hashes that holds so many.
+* The linear model is fitted in one task on at most `train_rows` different learning rows of at most `train_bytes` together (the
+  documented bounds), those of the smallest hashes of text and label in each class. A row that is repeated counts in the ratios
+  as often as it occurs, but once in this fit. Each class has its share of the rows, and a twentieth at least.
 * Every whole text is scored; the weights (`buckets` floats) travel with the task.
 
 Odd cases: null and empty texts have no features and get the probability of margin 0 plus the intercept. Null labels
@@ -36,6 +37,7 @@ from crowdlens.llm import frames, words
 class Settings:
     buckets: int = 1 << 18
     train_rows: int = 16_000
+    train_bytes: int = 128 << 20
     smoothing: float = 1.0
     cost: float = 1.0
     epochs: int = 12
@@ -222,6 +224,16 @@ def learning_rows(docs: DataFrame, labels: DataFrame, learn: str = "true") -> Da
     return chosen.join(frames.small_side(marks.where(learn)), "doc_id")
 
 
+def _sample(rows: DataFrame, bad: int, good: int, settings: Settings) -> DataFrame:
+    parts = []
+    for label, n in ((0, bad), (1, good)):
+        share = max(n / (bad + good), 0.05)
+        parts.append(frames.bottom_rows(
+            rows.where(F.col("label") == label).select("text", "label"), ["text", "label"], math.ceil(share * settings.train_rows),
+            F.octet_length("text"), int(share * settings.train_bytes)))
+    return parts[0].unionByName(parts[1])
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: str = "true", settings: Settings = Settings()) -> Model:
     learn_rows = learning_rows(docs, labels, learn)
     scales, bad, good = log_ratios(learn_rows, settings)
@@ -230,12 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: str = "true", settings: Setti
         share = good / (good + bad) if good + bad else 0.5
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model(scales, blank, 0.0, 0.0, math.log(share / (1 - share)))
-    sample = frames.hashed_share(learn_rows, ["doc_id", "text"], settings.train_rows, bad + good).select("text", "label")
+    sample = _sample(learn_rows, bad, good, settings)
     found = frames.map_rows(sample.repartition(1), _fit_task(scales, settings), "at long, value double").toArrow()
     at, value = found["at"].to_numpy(), found["value"].to_numpy()
     weights = np.zeros(settings.buckets + 1)
-    if not len(at):  # no row fell into the share: so few that the counts decide alone
-        return Model(scales, blank, 0.0, 0.0, math.log(good / bad))
     weights[at[at >= 0]] = value[at >= 0]
     return Model(scales, weights[:-1].astype(np.float32), float(weights[-1]),
                  float(value[at == -1][0]), float(value[at == -2][0]))

@@ -11,8 +11,8 @@ block is one pass over the documents, without any shuffle of texts; further bloc
 was found. No key gathers rows, so frequent passages cost only their own comparisons.
 
 Odd cases: null and empty documents and items have no words and no hits. An item without an id hits words, but isn't
-counted or listed. Items repeated under one id count once. Repeated documents are judged alike. Words are compared by
-64-bit hashes, each of a window's on its own. An empty benchmark hits nothing. Extra columns pass through.
+counted or listed. Items repeated under one id count once. Repeated documents are judged alike. Words meet by 64-bit hashes,
+and what meets is compared byte by byte. An empty benchmark hits nothing. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -38,45 +38,55 @@ class Settings:
     one_in: int = 20  # contaminated if at least one word in so many is hit
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
 def window_rows(benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(item, words): the item id as text and the word hashes of each distinct window of each item."""
+    """(item, window): the item id as text and each distinct window of each item, its words in lower case with one space between."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = batch.column("item")
             for texts in words.slices(batch.column("text"), words.PLAIN):
-                hashed = texts.hashes(words.LOWERED).astype(np.int64)
-                owner, lists = [], []
+                data = _LOWER[texts.data]
+                owner, found = [], []
                 for d, (first, n) in enumerate(zip(texts.first_word, texts.counts)):
+                    own = [data[a:b].tobytes() for a, b in zip(texts.starts[first: first + n], texts.ends[first: first + n])]
                     size = min(n, settings.width)
-                    if size:
-                        runs = np.unique(np.lib.stride_tricks.sliding_window_view(hashed[first: first + n], size), axis=0)
-                        owner += [texts.first + d] * len(runs)
-                        lists += runs.tolist()
+                    runs = {b" ".join(own[i: i + size]) for i in range(n - size + 1)} if size else ()
+                    owner += [texts.first + d] * len(runs)
+                    found += sorted(runs)
                 yield pa.RecordBatch.from_arrays(
-                    [items.take(pa.array(owner, pa.int64())), pa.array(lists, pa.list_(pa.int64()))], names=["item", "words"])
+                    [items.take(pa.array(owner, pa.int64())), pa.array(found, pa.binary()).cast(pa.string())], names=["item", "window"])
     chosen = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    return frames.map_rows(chosen, task, "item string, words array<long>").distinct()
+    return frames.map_rows(chosen, task, "item string, window string").distinct()
 
 
 @dataclass
 class Block:
-    """Some windows, by length, with their shingles; `prefix` maps each chosen shingle to windows and offsets."""
+    """Some windows with the bytes and hashes of their words, and their shingles."""
 
     items: list[str | None]
     size: np.ndarray  # words in each window
-    runs: np.ndarray  # [window, width], padded with 0
+    runs: np.ndarray  # hash of each word [window, width], padded with 0
+    data: np.ndarray  # bytes of all windows
+    starts: np.ndarray  # of each word in data [window, width]
+    lengths: np.ndarray
     shingle_size: np.ndarray
     shingle: list[np.ndarray]  # of each window, by offset
 
     @staticmethod
-    def of(items: list[str | None], lists: list[list[int]], settings: Settings) -> Block:
-        size = np.array([len(x) for x in lists], np.int64)
-        runs = np.zeros((len(lists), settings.width), np.uint64)
-        for n in np.unique(size):
-            rows = np.flatnonzero(size == n)
-            runs[rows, :n] = np.array([lists[i] for i in rows], np.int64).astype(np.uint64)
+    def of(items: list[str | None], windows: pa.Array, settings: Settings) -> Block:
+        parts = list(words.slices(windows, words.PLAIN, 1 << 62))
+        texts = parts[0] if parts else words.split(np.zeros(0, np.uint8), np.zeros(1, np.int64), words.PLAIN)
+        size = texts.counts
+        place = np.arange(len(texts.starts)) - texts.first_word[texts.doc]
+        runs = np.zeros((len(size), settings.width), np.uint64)
+        starts, lengths = np.zeros(runs.shape, np.int64), np.zeros(runs.shape, np.int32)
+        runs[texts.doc, place] = texts.hashes(words.LOWERED)
+        starts[texts.doc, place], lengths[texts.doc, place] = texts.starts, texts.ends - texts.starts
         shingle_size = np.minimum(size, settings.shingle)
-        shingle: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(lists)
+        shingle: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(size)
         for n in np.unique(size):
             rows, k = np.flatnonzero(size == n), min(int(n), settings.shingle)
             by_offset = []
@@ -87,7 +97,23 @@ class Block:
                 by_offset.append(words.mix(total))
             for i, row in zip(rows, np.stack(by_offset, axis=1)):
                 shingle[i] = row
-        return Block(items, size, runs, shingle_size, shingle)
+        return Block(items, size, runs, texts.data, starts, lengths, shingle_size, shingle)
+
+    def equal(self, texts: words.Texts, start: np.ndarray, window: np.ndarray, size: int) -> np.ndarray:
+        """Whether the `size` words from `start` on are those of each window, byte by byte."""
+        word = start[:, None] + np.arange(size)
+        at, length = texts.starts[word], (texts.ends - texts.starts)[word]
+        same = (length == self.lengths[window, :size]).all(axis=1)
+        chosen = np.flatnonzero(same)
+        for low in range(0, len(chosen), 4096):
+            rows = chosen[low: low + 4096]
+            n = length[rows].ravel()
+            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            ours = _LOWER[texts.data[np.repeat(at[rows].ravel(), n) + within]]
+            theirs = self.data[np.repeat(self.starts[window[rows], :size].ravel(), n) + within]
+            wrong = np.add.reduceat((ours != theirs).astype(np.int64), np.cumsum(length[rows].sum(axis=1)) - length[rows].sum(axis=1))
+            same[rows[wrong > 0]] = False
+        return same
 
     def keys(self) -> list[tuple[int, np.ndarray]]:
         """For each shingle size its distinct hashes, sorted."""
@@ -185,7 +211,9 @@ class Index:
                 for size in np.unique(self.block.size[w]):
                     own = self.block.size[w] == size
                     same = np.all(hashed[start[own][:, None] + np.arange(size)] == self.block.runs[w[own], :size], axis=1)
-                    yield start[own][same], w[own][same]
+                    own_start, own_window = start[own][same], w[own][same]
+                    same = self.block.equal(texts, own_start, own_window, int(size))
+                    yield own_start[same], own_window[same]
                 i = j
 
 
@@ -242,7 +270,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     last) hit word numbers), items (ids of items with occurring windows), n_hit and contaminated."""
     found = stage(window_rows(benchmark, settings), "benchmark-windows")
     blocks = max(1, -(-found.count() // settings.block))
-    found = found.withColumn("block", F.pmod(F.xxhash64("item", "words"), F.lit(blocks)))
+    found = found.withColumn("block", F.pmod(F.xxhash64("item", "window"), F.lit(blocks)))
     state = frames.packed(docs, keep)
     passed = state.schema.fields
     state = state.withColumns({
@@ -250,8 +278,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
     done = [StructField("n_words", LongType()), StructField("spans", ArrayType(IntegerType())),
             StructField("items", ArrayType(StringType()))]
     for number in range(blocks):
-        rows = found.where(F.col("block") == number).select("item", "words").toArrow()
-        block = Block.of(rows["item"].to_pylist(), rows["words"].to_pylist(), settings)
+        rows = found.where(F.col("block") == number).select("item", "window").toArrow()
+        block = Block.of(rows["item"].to_pylist(), rows["window"].combine_chunks(), settings)
         index = Index.of(block, document_frequencies(docs, block) if block.items else {})
         last = number + 1 == blocks
         state = frames.map_rows(state, _scan(index, last), StructType((passed[:1] if last else passed) + done))

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from crowdlens.session import ship_package
+
 #: Rows that one Arrow batch holds: with texts of some kB, one or two MB.
 BATCH_ROWS = 500
 
@@ -23,21 +21,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Let Spark send the package to all workers, once per context: they may have no other way to import it."""
-    context = spark.sparkContext
-    if getattr(context, "_crowdlens_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="crowdlens-code-")  # the driver's; addPyFile copies the file to every executor
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as archive:
-        for path in sorted(root.rglob("*.py")):
-            archive.write(path, path.relative_to(root.parent))
-    context.addPyFile(f"{folder}/{root.name}.zip")
-    context._crowdlens_shipped = True
-
-
 def map_rows(
     rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | StructType,
@@ -74,12 +57,25 @@ def small_side(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def hashed_share(rows: DataFrame, by: list[str], wanted: int, total: int) -> DataFrame:
-    """About `wanted` of the `total` rows: those whose 64-bit hash is below a threshold (all rows if there are fewer)."""
-    if total <= wanted:
-        return rows
-    threshold = int(wanted / total * 2**64) - 2**63
-    return rows.where(F.xxhash64(*by) < F.lit(threshold))
+def bottom_rows(rows: DataFrame, by: list[str], wanted: int, size: Column | None = None, most: int | None = None) -> DataFrame:
+    """At most `wanted` different rows (in the columns `by`), those of the smallest hashes; with `size` and `most` only as many
+    as have that size together, but one at least.
+
+    Equal rows meet as one key whose parts combine before the shuffle, so a row that is repeated any number of times counts as
+    one and the bound holds. Only hashes and sizes are shuffled until the chosen ones are known. Of different rows with one hash
+    one is taken.
+    """
+    marked = rows.withColumn("_mark", F.xxhash64(*by))
+    size = F.lit(0) if size is None else size
+    chosen = marked.groupBy("_mark").agg(F.max(size).cast("long").alias("_size")).orderBy("_mark").limit(wanted)
+    # At most `wanted` rows in this window.
+    before = F.coalesce(F.sum("_size").over(W.orderBy("_mark").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
+    first = F.row_number().over(W.orderBy("_mark")) == 1
+    kept = chosen.select("_mark", before.alias("_sum"), first.alias("_first"))
+    last = (kept if most is None else kept.where((F.col("_sum") <= most) | F.col("_first"))).agg(F.max("_mark")).head()[0]
+    if last is None:
+        return rows.limit(0)
+    return marked.where(F.col("_mark") <= F.lit(last)).dropDuplicates(["_mark"]).drop("_mark")
 
 
 def _quoted(name: str) -> str:

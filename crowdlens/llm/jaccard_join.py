@@ -25,8 +25,8 @@ What is left is verified on the whole sets. Steps:
 
 Odd cases: texts without words (null, empty, blank) have the empty set and no links. A text of fewer than k words has its
 whole sequence as its one shingle. Repeated rows and repeated ids are linked by their texts alone; a null doc_id takes
-part but is never the smallest id, unless a component has no other. No rows give no rows. Sets are compared by 64-bit
-hashes of shingles.
+part but is never the smallest id, unless a component has no other. No rows give no rows. Candidates are found by 64-bit
+hashes of shingles and verified by others that are independent of them.
 """
 
 from __future__ import annotations
@@ -76,12 +76,16 @@ def parts_of(band: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return np.where(different > 0, different + 1 + spare, 0), spare
 
 
-def node_of(doc: np.ndarray, hashed: np.ndarray, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit fingerprints of each set."""
-    node, check = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    np.add.at(node, doc, words.mix(hashed + np.uint64(2 * seed + 1)))
-    np.bitwise_xor.at(check, doc, words.mix(hashed ^ np.uint64(0x5851F42D4C957F2D)))
-    return words.mix(node).astype(np.int64), check.astype(np.int64)
+def set_elements(texts: words.Texts, s: Settings, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the shingles of each text; the `second` hashes are independent of the first."""
+    return words.shingles(texts, texts.hashes(words.LOWERED, 2 * s.seed + second), s.k)
+
+
+def node_of(doc: np.ndarray, hashed: np.ndarray, n: int) -> np.ndarray:
+    """64-bit fingerprint of each set."""
+    node = np.zeros(n, np.uint64)
+    np.add.at(node, doc, words.mix(hashed + np.uint64(1)))
+    return words.mix(node).astype(np.int64)
 
 
 # ---------------------------------------------------------------- signatures and parts
@@ -93,18 +97,20 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, mark, n, node (null for an empty set) and check of every document."""
+    """doc_id, mark, n, node (null for an empty set), check (a second fingerprint) and clash (the two kinds of hashes tell
+    different numbers of shingles apart) of every document."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in words.slices(batch.column("text"), words.SPACED):
-                doc, hashed = words.shingles(texts, texts.hashes(words.LOWERED), s.k)
-                n = np.bincount(doc, minlength=len(texts))
-                node, check = node_of(doc, hashed, len(texts), s.seed)
+                (doc, hashed), (doc2, hashed2) = set_elements(texts, s), set_elements(texts, s, second=True)
+                n, n2 = (np.bincount(x, minlength=len(texts)) for x in (doc, doc2))
+                node, check = node_of(doc, hashed, len(texts)), node_of(doc2, hashed2, len(texts))
                 own = slice(texts.first, texts.first + len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id")[own], batch.column("mark")[own], pa.array(n, pa.int64()),
-                     pa.array(node, mask=n == 0), pa.array(check)], names=["doc_id", "mark", "n", "node", "check"])
-    return frames.map_rows(keyed(docs), task, "doc_id long, mark long, n long, node long, check long")
+                     pa.array(node, mask=n == 0), pa.array(check), pa.array(n != n2)],
+                    names=["doc_id", "mark", "n", "node", "check", "clash"])
+    return frames.map_rows(keyed(docs), task, "doc_id long, mark long, n long, node long, check long, clash boolean")
 
 
 def part_keys(doc: np.ndarray, hashed: np.ndarray, sizes: np.ndarray, s: Settings) -> Iterator[tuple]:
@@ -144,9 +150,9 @@ def shared_parts(docs: DataFrame, s: Settings) -> DataFrame:
         seen: set[int] = set()  # nodes of this task: at most its number of documents
         for batch in batches:
             for texts in words.slices(batch.column("text"), words.SPACED):
-                doc, hashed = words.shingles(texts, texts.hashes(words.LOWERED), s.k)
+                doc, hashed = set_elements(texts, s)
                 sizes = np.bincount(doc, minlength=len(texts))
-                node, _ = node_of(doc, hashed, len(texts), s.seed)
+                node = node_of(doc, hashed, len(texts))
                 new = np.zeros(len(texts), bool)
                 for i, x in enumerate(node.tolist()):
                     if sizes[i] and x not in seen:
@@ -236,15 +242,15 @@ def spanning_forest(group: np.ndarray, i: np.ndarray, j: np.ndarray, far: np.nda
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, needed: DataFrame, s: Settings, whole: bool) -> DataFrame:
-    """(node, n, sketch) of the needed nodes, or with `whole` (node, elements), each from the text of `one`: the node's
-    smallest (doc_id, mark)."""
+    """(node, n, sketch) of the needed nodes, or with `whole` (node, elements: the second hashes), each from the text of `one`:
+    the node's smallest (doc_id, mark)."""
     chosen = nodes.join(needed, "node").select("node", F.col("one.doc_id").alias("_id"), F.col("one.mark").alias("_mark"))
     chosen = stage(chosen, "jaccard-representatives")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in words.slices(batch.column("text"), words.SPACED):
-                doc, hashed = words.shingles(texts, texts.hashes(words.LOWERED), s.k)
+                doc, hashed = set_elements(texts, s, second=whole)
                 sets = np.split(hashed, np.searchsorted(doc, np.arange(1, len(texts))))
                 node = batch.column("node")[texts.first: texts.first + len(texts)]
                 if whole:
@@ -374,7 +380,7 @@ def join(docs: DataFrame, s: Settings = Settings()) -> Joined:
     signed = stage(signatures(docs, s), "jaccard-signatures")
     nodes = stage(signed.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "mark")).alias("one"),
-        (F.min("check") != F.max("check")).alias("clash")), "jaccard-nodes")
+        ((F.min("check") != F.max("check")) | F.bool_or("clash")).alias("clash")), "jaccard-nodes")
     if nodes.where("clash").limit(1).count():
         return join(docs, Settings(s.k, s.percent, s.spare, s.block, s.seed + 1))
     shared = stage(shared_parts(docs, s), "jaccard-shared")

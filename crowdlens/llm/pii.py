@@ -10,16 +10,18 @@
    if the model gives it at least `threshold`, it overlaps no base span and no earlier one.
 
 Odd cases: a null text is empty and has no spans. Repeated rows are searched alike, but count each in training. Without any
-candidate the prior decides, and nothing is there to decide on. Patterns take linear time on any text. Extra columns pass through.
+candidate the prior decides, and nothing is there to decide on. Patterns and the choice of spans take linear time
+on any text. Extra columns pass through.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -268,10 +270,14 @@ def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float
 class Model:
     weights: np.ndarray
     threshold: float = 0.5
+    known: dict = field(default_factory=dict, compare=False, repr=False)  # patterns are few: each is decided once
 
     def accepts(self, text: str, span: Span) -> bool:
-        row = np.array([list(map(int, pattern(text, span).split(",")))])
-        return float((design(row) @ self.weights)[0]) >= math.log(self.threshold / (1 - self.threshold))
+        of = pattern(text, span)
+        if of not in self.known:
+            row = np.array([list(map(int, of.split(",")))])
+            self.known[of] = float((design(row) @ self.weights)[0]) >= math.log(self.threshold / (1 - self.threshold))
+        return self.known[of]
 
 
 def fit(docs: DataFrame, threshold: float = 0.5) -> Model:
@@ -301,11 +307,20 @@ def fit(docs: DataFrame, threshold: float = 0.5) -> Model:
 def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     """Base spans, and base and accepted wider spans."""
     base = base_spans(text)
-    taken = [(s, e) for _, s, e in base]
+    # Base spans of different kinds may overlap, so their covered stretches are joined first: sorted, none touching another.
+    starts, ends = [], []
+    for _, s, e in sorted(base, key=lambda x: x[1:]):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     more = []
-    for span in wider_spans(text):
-        if all(span[2] <= s or e <= span[1] for s, e in taken) and model.accepts(text, span):
-            taken.append(span[1:])
+    last = 0  # end of the last accepted wider span
+    for span in wider_spans(text):  # by their start, so an accepted one can only be met by the next ones
+        at = bisect_right(ends, span[1])  # the first stretch that ends after the span's start
+        if span[1] >= last and (at == len(starts) or span[2] <= starts[at]) and model.accepts(text, span):
+            last = span[2]
             more.append(span)
     return base, sorted(base + more, key=_order)
 

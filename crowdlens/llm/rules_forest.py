@@ -178,12 +178,11 @@ def anomaly(rows: np.ndarray, forest: Forest) -> np.ndarray:
 
 
 def fit(stats: DataFrame, settings: Settings = Settings()) -> Forest | None:
-    """A forest over `trees` x `sample` documents that pass the fixed rules, chosen by hash; None without any."""
-    passed = stats.where("NOT base_failed")
-    total, wanted = passed.count(), settings.trees * settings.sample
-    key = ["doc_id", "measures"]
-    chosen = frames.hashed_share(passed.select(*key), key, wanted, total).orderBy(F.xxhash64(*key), *key)
-    rows = chosen.select("measures").toArrow()["measures"].combine_chunks()
+    """A forest over at most `trees` x `sample` different measures of documents that pass the fixed rules, those of the smallest
+    hashes; None without any. Repeated documents count once, so that copies can't fill the sample."""
+    passed = stats.where("NOT base_failed").select("measures")
+    chosen = frames.bottom_rows(passed, ["measures"], settings.trees * settings.sample).orderBy(F.xxhash64("measures"), "measures")
+    rows = chosen.toArrow()["measures"].combine_chunks()
     if not len(rows):
         return None
     return grow(rows.flatten().to_numpy().reshape(len(rows), -1), settings)

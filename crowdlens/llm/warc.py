@@ -15,7 +15,9 @@ is larger than all others; a group without any other has only responses. Records
 at a time in memory. Bytes between members are skipped; a record that breaks off, lacks a field, or whose payload has another
 digest than its header says, raises ValueError wherever it stands, and so does a file shorter than its table says. (In files
 of others, a record after padding or at the start of a range of which less is left than decodes to `WARC/1.` looks like noise.)
-An empty table writes and reads nothing. Extra columns are ignored. (An archive stored
+An empty table writes and reads nothing. Archives lie on a disk that
+all tasks share (a path or file://), or in a store that pyarrow opens by its URI: s3:// (s3a:// and s3n:// are taken for it),
+gs://, hdfs:// or viewfs://, abfs:// and abfss://. Another scheme is refused before anything is written. Extra columns are ignored. (An archive stored
 unpacked inside another one's payload could pass for records where a range starts inside it; html in UTF-8 cannot hold one,
 as the magic isn't UTF-8.)
 """
@@ -33,6 +35,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crowdlens.llm import frames
@@ -40,6 +43,8 @@ from crowdlens.session import stage, stage_path
 
 MAGIC = b"\x1f\x8b\x08"
 MARK = b"WARC/1."
+#: Most tasks that read, unless the cluster runs more at once.
+RANGE_TASKS = 20_000
 READ = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 FILES = "path string, bytes long, records long, range_bytes long, starts array<long>"
 
@@ -121,8 +126,28 @@ class Settings:
     date: str = "1970-01-01T00:00:00Z"
 
 
-def _opened(folder: str):
-    store, path = fs.FileSystem.from_uri(folder)
+#: Schemes of Spark's folders and those under which pyarrow knows the same stores.
+SCHEMES = {"": "file", "file": "file", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "hdfs": "hdfs", "viewfs": "viewfs",
+           "abfs": "abfs", "abfss": "abfss"}
+
+
+def store_uri(folder: str) -> str:
+    """`folder` as pyarrow names it; ValueError for a store that it can't open."""
+    scheme, mark, rest = folder.partition("://")
+    if not mark:
+        scheme, mark, rest = folder.partition(":/") if folder.startswith("file:/") else ("", "", folder)
+        rest = "/" + rest.lstrip("/") if mark else rest
+    if scheme not in SCHEMES or not (mark or rest.startswith("/")):
+        raise ValueError(f"archives can't be kept in {folder}: use an absolute path or one of {', '.join(x for x in SCHEMES if x)}")
+    return f"{SCHEMES[scheme]}://{rest}"
+
+
+def _opened(uri: str):
+    """(store, path in it) of a URI as `store_uri` gives it. Paths are taken as they are, not as parts of an URI with escapes."""
+    scheme, _, rest = uri.partition("://")
+    if scheme == "file":
+        return fs.LocalFileSystem(), rest
+    store, path = fs.FileSystem.from_uri(uri)
     return store, path
 
 
@@ -130,6 +155,7 @@ def write(pages: DataFrame, folder: str, settings: Settings = Settings()) -> Dat
     """Write `pages` (page_id, url, html) as archives under `folder`, a URI that all tasks can reach. Returns the staged
     table of files: path, bytes, records, and range_bytes with the number of records that start in each stretch of so many
     bytes (`starts`)."""
+    folder = store_uri(folder)
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         html.alias("html"), F.sha1(html).alias("of"))
@@ -146,8 +172,9 @@ def write(pages: DataFrame, folder: str, settings: Settings = Settings()) -> Dat
         for batch in batches:
             for page, url, text, first, whole in zip(*[column.to_pylist() for column in batch.columns]):
                 if sink is None:
-                    path = f"{root}/{uuid.uuid4().hex}.warc.gz"
-                    sink, size, starts = store.open_output_stream(path, compression=None), 0, Counter()
+                    name = f"{uuid.uuid4().hex}.warc.gz"
+                    path = f"{folder}/{name}"  # the whole URI, so that a reader opens the same store
+                    sink, size, starts = store.open_output_stream(f"{root}/{name}", compression=None), 0, Counter()
                 data = member(record(page, url, text.encode(), first, whole, settings.date), settings.level)
                 sink.write(data)
                 starts[size // settings.range_bytes] += 1
@@ -268,7 +295,7 @@ def read(spark: SparkSession, files: DataFrame, settings: Settings = Settings(),
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, size, start, known in zip(*[column.to_pylist() for column in batch.columns]):
-                store, place = _opened(path)
+                store, place = _opened(store_uri(path))
                 rows, held = [], 0
                 with store.open_input_file(place) as source:
                     if source.size() < size:
@@ -280,7 +307,11 @@ def read(spark: SparkSession, files: DataFrame, settings: Settings = Settings(),
                             yield _rows(rows, columns, kinds)
                             rows, held = [], 0
                 yield _rows(rows, columns, kinds)
-    return frames.map_rows(ranges.repartition("path", "start"), task, schema)
+    # A range is a small row but much work: left to itself, Spark would give them all to one task.
+    parts = max(1, min(ranges.count(), max(spark.sparkContext.defaultParallelism, RANGE_TASKS)))
+    number = F.row_number().over(W.partitionBy("path").orderBy("start")) + F.pmod(F.xxhash64("path"), F.lit(parts))
+    dealt = ranges.withColumn("part", F.pmod(number, F.lit(parts)).cast("int")).repartitionById(parts, "part").drop("part")
+    return frames.map_rows(dealt, task, schema)
 
 
 def _rows(rows: list[dict], columns: list[str], kinds: dict) -> pa.RecordBatch:

@@ -1,12 +1,15 @@
 """Words of whole texts as 64-bit hashes, computed for many texts at once on their UTF-8 bytes.
 
 Both word patterns used here split at ASCII characters only, so bytes suffice: a byte of 0x80 or more always
-belongs to a word. The hash of a word is a polynomial over per-byte random values, mixed at the end; two words
-share a hash with a chance of about 2**-64. Memory is bounded by `SLICE` bytes of text or by the longest text.
+belongs to a word. The hash of a word of up to `SHORT` bytes is a polynomial over per-byte random values modulo 2**64, mixed at
+the end. Of longer words such polynomials can agree by their structure (a sequence and its complement), so those get a
+cryptographic digest. Hashes of another `seed` are independent: callers that must not err on equal hashes compare those, or the
+bytes. Memory is bounded by `SLICE` bytes of text or by the longest text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+#: Bytes of the longest word that is hashed by a polynomial.
+SHORT = 64
 _BASE = 0x9E3779B97F4A7C15
 _FULL = 1 << 64
 
@@ -43,17 +48,19 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 #: with A-Z lower-cased.
 SPACED, PLAIN, CASED, LOWERED = _tables()
 
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_steps: dict[int, list[np.ndarray]] = {}
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        for name, base in (("_powers", _BASE), ("_inverses", pow(_BASE, -1, _FULL))):
-            steps = np.full(n, base, np.uint64)
+def _powers(n: int, seed: int) -> list[np.ndarray]:
+    """Powers of the seed's base and of its inverse, at least `n` each."""
+    found = _steps.setdefault(seed, [np.ones(1, np.uint64)] * 2)
+    if len(found[0]) < n:
+        base = (_BASE + 0x632BE59BD9B4E01A * seed) % _FULL | 1
+        for k, step in enumerate((base, pow(base, -1, _FULL))):
+            steps = np.full(n, step, np.uint64)
             steps[0] = 1
-            globals()[name] = np.cumprod(steps, dtype=np.uint64)
+            found[k] = np.cumprod(steps, dtype=np.uint64)
+    return found
 
 
 @dataclass
@@ -75,9 +82,9 @@ class Texts:
     def first_word(self) -> np.ndarray:
         return np.cumsum(self.counts) - self.counts
 
-    def hashes(self, values: np.ndarray) -> np.ndarray:
+    def hashes(self, values: np.ndarray, seed: int = 0) -> np.ndarray:
         """Of every word; `values` is CASED or LOWERED."""
-        return span_hashes(self.data, self.starts, self.ends, values)
+        return span_hashes(self.data, self.starts, self.ends, values, seed)
 
     def characters(self) -> np.ndarray:
         """Code points in the words of each text."""
@@ -85,20 +92,27 @@ class Texts:
         return np.bincount(self.doc, head[self.ends] - head[self.starts], len(self)).astype(np.int64)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Hash of each non-overlapping, ascending span of `data`."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each non-overlapping, ascending span of `data`; `values` is CASED or LOWERED."""
     out = np.empty(len(starts), np.uint64)
+    of_byte = mix(values + np.uint64(seed)) if seed else values
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
-        low, high = int(starts[i]), int(ends[j - 1])
-        _grow(high - low + 1)
+        low = int(starts[i])
+        high = min(int(ends[j - 1]), low + 2 * SLICE)  # only a long span, digested below, can reach beyond
+        powers, inverses = _powers(high - low + 1, seed)
         sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(values[data[low:high]] * _powers[: high - low], dtype=np.uint64, out=sums[1:])
-        s, e = starts[i:j] - low, ends[i:j] - low
-        out[i:j] = (sums[e] - sums[s]) * _inverses[s] + (e - s).astype(np.uint64)
+        np.cumsum(of_byte[data[low:high]] * powers[: high - low], dtype=np.uint64, out=sums[1:])
+        s, e = starts[i:j] - low, np.minimum(ends[i:j] - low, high - low)
+        out[i:j] = (sums[e] - sums[s]) * inverses[s] + (e - s).astype(np.uint64)
         i = j
-    return mix(out)
+    out = mix(out)
+    lower = values[0x41] == values[0x61]
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():
+        span = data[starts[i]: ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(span.lower() if lower else span, digest_size=8, salt=seed.to_bytes(8, "little")).digest())
+    return out
 
 
 def slices(column: pa.Array, table: np.ndarray, limit: int = SLICE) -> Iterator[Texts]:

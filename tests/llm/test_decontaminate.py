@@ -3,10 +3,12 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from crowdlens.llm import decontaminate
+from crowdlens.llm import decontaminate, words
 from tests.llm.conftest import prose
 
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -68,3 +70,19 @@ def test_empty_tables(documents, spark):
     assert decontaminate.judge(documents([]), some).count() == 0
     rows = decontaminate.judge(documents(["one two", None]), none).select("n_hit", "contaminated").collect()
     assert {tuple(r) for r in rows} == {(0, False)}
+
+
+def test_windows_whose_words_hash_alike_are_compared_by_bytes(documents, spark):
+    from tests.llm.test_words import thue_morse
+    a = thue_morse(10)
+    items = spark.createDataFrame([(1, a), (2, "red big fox")], "item_id long, text string")
+    docs = documents([a, thue_morse(10, "b", "a"), "RED-big fox", "fox red big", "red big fo x"])
+
+    def hits():
+        return [r.n_hit for r in decontaminate.judge(docs, items).orderBy("row.doc_id").select("n_hit").collect()]
+    assert hits() == [1, 0, 3, 0, 0]
+    block = decontaminate.Block.of([None, None], pa.array(["red big fox", "a b"]), decontaminate.Settings())
+    texts = next(words.slices(pa.array(["x RED big fox bed big fox", "a c a b"]), words.PLAIN))
+    same = block.equal(texts, np.array([1, 4, 3, 0]), np.zeros(4, int), 3)
+    assert same.tolist() == [True, False, False, False]
+    assert block.equal(texts, np.array([7, 9]), np.ones(2, int), 2).tolist() == [False, True]

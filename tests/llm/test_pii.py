@@ -1,3 +1,4 @@
+import time
 import random
 import collections
 import re
@@ -105,3 +106,36 @@ def test_a_long_secret_is_judged_by_the_whole_of_it():
     rng = random.Random(5)
     mixed = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(200))
     assert pii._check("secret", "A" * 64 + mixed) == 1 and pii._check("secret", mixed[:64] + "a" * 4000) == -1
+
+
+def test_choosing_spans_takes_linear_time():
+    """Twice the base and wider spans take at most 2.5 times as long."""
+    model = pii.Model(np.zeros(pii.design(np.zeros((1, 1 + pii.LABELERS + 3), int)).shape[1]))
+
+    def seconds(n):
+        text = " ".join(f"a{i}@b.org ssn {100 + i % 500}-22-{1000 + i % 9000}" for i in range(n))
+        best = 1e9
+        for _ in range(3):
+            start = time.process_time()
+            base, spans = pii.all_spans(text, model)
+            best = min(best, time.process_time() - start)
+        assert len(base) == n and len(spans) == 2 * n
+        return best
+    assert seconds(16_000) < 2.5 * seconds(8_000)
+
+
+def test_wider_spans_give_way_to_all_they_meet():
+    """The sweep takes the spans that comparing with every earlier one takes."""
+    model = pii.Model(np.zeros(pii.design(np.zeros((1, 1 + pii.LABELERS + 3), int)).shape[1]))
+    rng = random.Random(8)
+    parts = ["a.b@c.org", "123-45-6789", "4111 1111 1111 1111", "(212) 555-0100", "+1 212 555 0100", "Mr. Anna Karl", "DE89 3704 0044 0532 0130 00",
+             "sk_live1234567890abcdef", "10.0.0.1", "key=", "x"]
+    for _ in range(200):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", ",", "\n"]) for _ in range(12))
+        base, spans = pii.all_spans(text, model)
+        taken, more = [s[1:] for s in base], []
+        for span in pii.wider_spans(text):
+            if all(span[2] <= s or e <= span[1] for s, e in taken) and model.accepts(text, span):
+                taken.append(span[1:])
+                more.append(span)
+        assert spans == sorted(base + more, key=pii._order)

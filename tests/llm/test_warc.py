@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+import random
 import base64
 import gzip
 import hashlib
@@ -95,10 +97,42 @@ def test_records_lost_from_written_archives_are_told(spark, tmp_path, how):
     files = warc.write(pages, (tmp_path / "warc").as_uri(), settings)
     assert warc.read(spark, files, settings).count() == 20 and files.head().records == 20
     assert warc.read(spark, files.select("path", "bytes"), settings).count() == 20
-    path = files.head().path
+    path = files.head().path.removeprefix("file://")
     data = open(path, "rb").read()
     second = data.index(warc.MAGIC, 1)
     with open(path, "wb") as sink:
         sink.write(data[:-40] if how == "cut" else bytes(second) + data[second:])
     with pytest.raises(Exception, match="instead of"):
         warc.read(spark, files, settings).collect()
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path):
+    """19 or more ranges of two files: each is a task of its own, with re-planning on."""
+    pages = spark.createDataFrame([(i, f"http://a/{i}", random.Random(i).randbytes(3000).hex()) for i in range(200)],
+                                  "page_id long, url string, html string").coalesce(2)
+    s = warc.Settings(range_bytes=20_000)
+    files = warc.write(pages, str(tmp_path / "split"), s)
+    ranges = sum(-(-r.bytes // s.range_bytes) for r in files.collect())
+    rows = warc.read(spark, files, s).withColumn("task", F.spark_partition_id())
+    assert ranges >= 19 and rows.select("task").distinct().count() >= min(ranges, 8) and rows.count() == 200
+    assert rows.rdd.getNumPartitions() == ranges
+    assert all(r.path.startswith("file:///") for r in files.collect())
+
+
+@pytest.mark.parametrize("folder, uri", [
+    ("/a b/c%20d", "file:///a b/c%20d"), ("file:/x/y", "file:///x/y"), ("file:///x/y", "file:///x/y"), ("s3a://bucket/x", "s3://bucket/x"),
+    ("s3n://b/x", "s3://b/x"), ("hdfs://host:8020/x", "hdfs://host:8020/x"), ("abfss://c@a.dfs.core.windows.net/x", "abfss://c@a.dfs.core.windows.net/x"),
+    ("dbfs:/x", None), ("http://x/y", None), ("relative/path", None)])
+def test_stores(folder, uri):
+    if uri is None:
+        with pytest.raises(ValueError, match="can't be kept"):
+            warc.store_uri(folder)
+    else:
+        assert warc.store_uri(folder) == uri == warc.store_uri(uri)
+
+
+def test_folders_with_signs_of_uris(spark, tmp_path):
+    pages = spark.createDataFrame([(1, None, "x"), (2, None, None)], "page_id long, url string, html string")
+    folder = tmp_path / "a b%20c#d"
+    files = warc.write(pages, str(folder))
+    assert sorted(r.page_id for r in warc.read(spark, files).collect()) == [1, 2]

@@ -54,3 +54,38 @@ def test_long_words_and_long_texts_hash_alike_in_any_slice():
     tail = next(words.slices(pa.array(["z w " * 1000]), words.SPACED)).hashes(words.CASED)
     assert np.array_equal(whole[2:], tail)
     assert len(set(whole.tolist())) == 4
+
+
+def thue_morse(order, first="a", second="b"):
+    word = first
+    for _ in range(order):
+        word += word.translate(str.maketrans(first + second, second + first))
+    return word
+
+
+def test_words_built_alike_have_different_hashes():
+    """A Thue-Morse word and its complement agree under every polynomial hash modulo a power of two, once they are long enough."""
+    for order in range(1, 14):
+        a = thue_morse(order)
+        b = a.translate(str.maketrans("ab", "ba"))
+        for values in (words.CASED, words.LOWERED):
+            for seed in (0, 1):
+                part = next(words.slices(pa.array([f"{a} {b} {a}"]), words.SPACED))
+                x, y, z = part.hashes(values, seed).tolist()
+                assert x == z != y
+
+
+def test_long_words_are_lower_cased_like_short_ones():
+    text = "É" + "aBc" * 50
+    first, second = next(words.slices(pa.array([f"{text} {text.replace('B', 'b')}"]), words.SPACED)).hashes(words.LOWERED).tolist()
+    assert first == second
+    first, second = next(words.slices(pa.array([f"{text} {text.replace('B', 'b')}"]), words.SPACED)).hashes(words.CASED).tolist()
+    assert first != second
+
+
+def test_seeds_are_independent():
+    part = next(words.slices(pa.array([" ".join(map(str, range(5000)))]), words.SPACED))
+    a, b = part.hashes(words.CASED, 0), part.hashes(words.CASED, 1)
+    assert len(set(a.tolist())) == len(set(b.tolist())) == 5000 and not set(a.tolist()) & set(b.tolist())
+    same = np.array([bin(x).count("1") for x in (a ^ b).tolist()])
+    assert abs(same.mean() - 32) < 1
