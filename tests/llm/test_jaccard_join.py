@@ -181,20 +181,20 @@ def test_spanning_forest_is_minimal_and_connects():
 def test_words_built_alike_are_not_linked(documents):
     from tests.llm.test_words import thue_morse
     texts = [thue_morse(10), thue_morse(10, "b", "a"), thue_morse(10).upper(), f"x {thue_morse(11)} y", f"x {thue_morse(11, 'b', 'a')} y"]
-    found = jaccard_join.components(jaccard_join.join(documents(texts), jaccard_join.Settings(k=3, percent=90))).collect()
+    found = jj.components(jj.join(documents(texts), jj.Settings(k=3, percent=90))).collect()
     assert {r.doc_id: r.component_id for r in found} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
 
 
 def test_equal_hashes_of_one_kind_make_no_links(documents, monkeypatch):
     """First hashes that agree for all words of one length: their clash with the second ones is noticed, another seed is taken."""
-    original = jaccard_join.set_elements
+    original = jj.set_elements
 
     def weak(texts, s, second=False):
         if second or s.seed:
             return original(texts, s, second)
         lengths = (texts.ends - texts.starts).astype(np.uint64)
-        return jaccard_join.words.shingles(texts, jaccard_join.words.mix(lengths), s.k)
-    monkeypatch.setattr(jaccard_join, "set_elements", weak)
+        return jj.words.shingles(texts, jj.words.mix(lengths), s.k)
+    monkeypatch.setattr(jj, "set_elements", weak)
     texts = ["one two six", "ten one big", "one two six", "one two six ten"]
-    found = jaccard_join.components(jaccard_join.join(documents(texts), jaccard_join.Settings(k=3, percent=90))).collect()
+    found = jj.components(jj.join(documents(texts), jj.Settings(k=3, percent=90))).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {0: (1, 0), 1: (1, 1), 2: (1, 0), 3: (2, 3)}
