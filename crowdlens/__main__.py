@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import signal
+from functools import partial
 
 from crowdlens.operators.labels import vocabulary_list
 from crowdlens.operators.split import bounded_sample
@@ -11,7 +13,7 @@ from crowdlens.plans import baselines, labelled_table, review_queue, scoring_par
 from crowdlens.session import get_spark
 from crowdlens.sources import events, lake, raw
 from crowdlens.sources.schemas import SCHEMAS
-from crowdlens.streaming import progress
+from crowdlens.streaming import drain, offset_log, progress
 
 
 def parser() -> argparse.ArgumentParser:
@@ -40,13 +42,18 @@ def parser() -> argparse.ArgumentParser:
     replay = job("replay", "features", "target")
     replay.add_argument("--split", choices=["train", "test"], default="test")
     replay.add_argument("--limit", type=int, help="so many events, spread over the whole table; all by default")
+    replay.add_argument("--log", action="store_true", help="append to the message log `target`, partitioned by business")
     replay.add_argument("--broker", help="Kafka bootstrap servers; without it JSON lines are written to the target")
     stream = job("stream", "model", "out", "checkpoint")
     stream.add_argument("--path", help="folder of JSON lines")
     stream.add_argument("--broker")
     stream.add_argument("--topic")
     stream.add_argument("--from-beginning", action="store_true")
+    stream.add_argument("--log", help="folder of a message log")
     stream.add_argument("--max-per-batch", type=int)
+    stream.add_argument("--min-per-batch", type=int, help="wait for so many messages, or --max-delay-ms")
+    stream.add_argument("--max-delay-ms", type=int)
+    stream.add_argument("--max-events", type=int, help="stop after the micro-batch that reaches so many; the default is no bound")
     stream.add_argument("--wait", help="trigger interval; without it the job stops when it has caught up")
     stream.add_argument("--top-k", type=int, default=3)
     stream.add_argument("--publish-to", help="topic or folder for scored events as keyed messages")
@@ -82,18 +89,25 @@ def main(arguments: list[str] | None = None) -> None:
         labelled = spark.read.parquet(f"{args.features}/review_labeled").where(f"split = '{args.split}'")
         labelled = bounded_sample(labelled, "review_id", args.limit)
         kafka = {"kafka.bootstrap.servers": args.broker} if args.broker else None
-        events.write_messages(events.as_messages(events.review_events(labelled), "business_id"), args.target, kafka)
+        messages = events.as_messages(events.review_events(labelled), "business_id")
+        if args.log:
+            offset_log.append(messages, args.target)
+        else:
+            events.write_messages(messages, args.target, kafka)
     elif args.job == "stream":
         kafka = {"kafka.bootstrap.servers": args.broker, "subscribe": args.topic} if args.broker else None
-        log = progress.ProgressLog(echo=True)
+        log = progress.ProgressLog(echo=True, head=partial(offset_log.head, args.log) if args.log else None)
+        stop = drain.Drain(args.max_events)
         spark.streams.addListener(log)
         running = stream_scoring.run(
             spark, args.model, args.out, args.checkpoint, args.path, kafka, args.from_beginning, args.max_per_batch,
-            args.wait, args.top_k, args.publish_to,
+            args.wait, args.top_k, args.publish_to, args.min_per_batch, args.max_delay_ms, args.log, stop,
         )
+        restore = stop.on_signals(signal.SIGINT, signal.SIGTERM)
         try:
-            running.awaitTermination()
+            stop.wait(running)
         finally:  # also of a run that was interrupted
+            restore()
             report = log.report(spark, running)
             report.write.mode("append").json(f"{args.out}/run_report")
             report.show(truncate=False)

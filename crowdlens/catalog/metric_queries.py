@@ -94,10 +94,23 @@ deltas AS (
   SELECT b.prevalence, log10(b.prevalence) AS x, a.average_precision - b.average_precision AS delta
   FROM b_per_label b JOIN a_per_label a USING (label)
   WHERE a.average_precision IS NOT NULL AND b.average_precision IS NOT NULL
-)
-SELECT count(*) AS n_labels, round(regr_slope(delta, x) + 1e-10, 6) AS slope, round(corr(delta, x) + 1e-10, 6) AS r,
-       round(avg(delta) + 1e-10, 6) AS mean_delta, round(avg(delta) FILTER (prevalence < 0.01) + 1e-10, 6) AS mean_delta_rare,
-       round(avg(delta) FILTER (prevalence >= 0.10) + 1e-10, 6) AS mean_delta_common FROM deltas""")
+),
+fit AS (
+  SELECT count(*) AS n_labels, regr_slope(delta, x) AS slope, corr(delta, x) AS r, avg(delta) AS mean_delta,
+         avg(delta) FILTER (prevalence < 0.01) AS mean_delta_rare, avg(delta) FILTER (prevalence >= 0.10) AS mean_delta_common FROM deltas
+),
+-- Student's t as a finite series in the angle, by the parity of the degrees of freedom v.
+angle AS (SELECT n_labels - 2 AS v, asin(least(abs(r), 1)) AS a FROM fit),
+term AS (
+  SELECT v, a, k, CASE WHEN v % 2 = 1 THEN cos(a) ** (2 * k - 1) * coalesce(list_product(list_transform(range(1, k), lambda i: 2.0e0 * i / (2 * i + 1))), 1)
+                       ELSE cos(a) ** (2 * k - 2) * coalesce(list_product(list_transform(range(1, k), lambda i: (2.0e0 * i - 1) / (2 * i))), 1) END AS t
+  FROM angle, unnest(range(1, 1 + v // 2)) AS n(k)
+),
+series AS (SELECT any_value(angle.v) AS v, any_value(angle.a) AS a, coalesce(sum(t), 0) AS s FROM angle LEFT JOIN term ON true),
+tail AS (SELECT CASE WHEN v % 2 = 1 THEN 1 - 2 / pi() * (a + sin(a) * s) ELSE 1 - sin(a) * s END AS p_value FROM series)
+SELECT n_labels, round(slope + 1e-10, 6) AS slope, round(r + 1e-10, 6) AS r, round(mean_delta + 1e-10, 6) AS mean_delta,
+       round(mean_delta_rare + 1e-10, 6) AS mean_delta_rare, round(mean_delta_common + 1e-10, 6) AS mean_delta_common,
+       round(p_value + 1e-10, 6) AS p_value FROM fit, tail""")
 def label_delta_regression(spark, sf):
     scores = document_scores(spark, sf)
     return rounded(metrics.label_delta_regression(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from crowdlens.catalog import tables
+from crowdlens.catalog.metric_queries import ROLLING_N
 from crowdlens.catalog.registry import ORACLES, query, rounded
 from crowdlens.catalog.signal_queries import PARAMS, account_signals
 from crowdlens.catalog.tables import LABEL_NAMES
@@ -14,7 +15,7 @@ from crowdlens.operators import latency, scaler, scoring, validation
 from crowdlens.params import SIGNALS
 from crowdlens.session import stage_path
 from crowdlens.sources import events as messages
-from crowdlens.streaming import progress, scorer
+from crowdlens.streaming import drain, last_values, offset_log, progress, scorer
 
 EVENT = StructType([
     StructField("event_id", LongType()), StructField("user_id", LongType()), StructField("event_type", StringType()),
@@ -165,6 +166,54 @@ def stream_rolling_latency(spark, sf):
     ), dp=3)
 
 
+@query("stream_last_n_latency", ORACLES["rolling_latency"])
+def stream_last_n_latency(spark, sf):
+    """The last values of each key as a stream: events in order through a message log, some thousand in each micro-batch, state per key."""
+    rows = tables.read(spark, sf, "events").select("event_type", "ts", "event_id", "value")
+    folder, out = stage_path(spark, "log"), stage_path(spark, "latency")
+    lines = messages.as_messages(rows.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))), "event_type",
+                                 ["event_type", "micros", "event_id", "value"])
+    in_order = lines.withColumns({name: F.get_json_object("value", f"$.{name}").cast("long") for name in ("micros", "event_id")})
+    total = sum(offset_log.append(in_order, folder, 4, ("micros", "event_id")).values())
+    schema = "event_type string, micros bigint, event_id bigint, value double"
+    stop = drain.Drain()
+    stream = offset_log.read_log(spark, folder, True, max(1, -(-total // 3)), position=stage_path(spark, "position") + ".json")
+    parsed = stream.select(F.from_json("value", schema).alias("e")).select("e.*")
+    found = last_values.last_n_latency(parsed, "event_type", ["micros", "event_id"], "value", ROLLING_N, dp=9)
+    running = (
+        found.writeStream.outputMode("append")
+        .foreachBatch(stop.around(lambda batch, batch_id: scorer.write_batch(batch, batch_id, out)))
+        .option("checkpointLocation", stage_path(spark, "stream")).trigger(processingTime="100 milliseconds").start()
+    )
+    running.processAllAvailable()
+    stop.request()
+    stop.wait(running)
+    return rounded(scorer.landed(spark, out).drop("micros"), dp=4)
+
+
+@query("stream_log_lag", """WITH t AS (SELECT count(*) AS n, ceil(count(*) / 4)::BIGINT AS size FROM events)
+SELECT i AS batch, least(size, n - i * size) AS rows, greatest(n - (i + 1) * size, 0) AS lag FROM t, range(4) AS r(i)""")
+def stream_log_lag(spark, sf):
+    """Events through a message log, a quarter in each micro-batch: what is left falls to nothing."""
+    folder = stage_path(spark, "log")
+    total = sum(offset_log.append(event_messages(spark, sf), folder, 4).values())
+    log, stop = progress.ProgressLog(head=lambda: offset_log.head(folder)), drain.Drain()
+    spark.streams.addListener(log)
+    try:
+        stream = scorer.read_messages(spark, log=folder, from_beginning=True, max_per_batch=max(1, -(-total // 4)),
+                                      position=stage_path(spark, "position") + ".json")
+        running = scorer.score_stream(stream, lambda batch: batch, stage_path(spark, "landed"), stage_path(spark, "stream"), EVENT,
+                                      wait="100 milliseconds", drain=stop)
+        running.processAllAvailable()
+        stop.request()
+        stop.wait(running)
+        log.report(spark, running)  # after all progress has arrived
+    finally:
+        spark.streams.removeListener(log)
+    rows = log.table(spark).where("rows > 0")
+    return rows.select("batch_id", "rows", "lag").select(F.col("batch_id").alias("batch"), "rows", "lag")
+
+
 @query("event_latency_by_day", """SELECT CAST(ts AS DATE) AS day, count(value) AS n, round(avg(value) + 1e-10, 2) AS mean_ms,
        round(quantile_cont(value, 0.5) + 1e-10, 2) AS p50_ms, round(quantile_cont(value, 0.95) + 1e-10, 2) AS p95_ms,
        round(quantile_cont(value, 0.99) + 1e-10, 2) AS p99_ms, round(max(value) + 1e-10, 2) AS max_ms

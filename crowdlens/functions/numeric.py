@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,3 +70,46 @@ def norm_ppf(p: Column) -> Column:
             centred * _ratio(AS241_CENTRE, F.lit(0.180625) - centred * centred),
         ).otherwise(F.signum(centred) * distance),
     )
+
+
+def _fraction(x: Column, a: Column, b: Column, steps: int = 300) -> Column:
+    """Continued fraction of the incomplete beta function (modified Lentz): converges fast for x below (a + 1) / (a + b + 2)."""
+    tiny = F.lit(1e-300)
+
+    def safe(value: Column) -> Column:
+        return F.when(F.abs(value) < tiny, tiny).otherwise(value)
+
+    def half(state: Column, factor: Column) -> Column:
+        d = F.lit(1.0) / safe(F.lit(1.0) + factor * state["d"])
+        c = safe(F.lit(1.0) + factor / state["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (state["h"] * c * d).alias("h"))
+
+    def step(state: Column, m: Column) -> Column:
+        even = half(state, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+        return half(even, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+    first = F.lit(1.0) / safe(F.lit(1.0) - (a + b) * x / (a + 1))
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda state: state["h"])
+
+
+def _log_beta_half(freedom: Column) -> Column:
+    """ln B(freedom / 2, 1 / 2) for whole degrees of freedom, from B(1/2, 1/2) = pi, B(1, 1/2) = 2 and B(a + 1, 1/2) = B(a, 1/2) a / (a + 1/2)."""
+    odd = F.pmod(freedom, F.lit(2)) == 1
+    base = F.when(odd, F.log(F.lit(math.pi))).otherwise(F.log(F.lit(2.0)))
+    first = F.when(odd, F.lit(0.5)).otherwise(F.lit(1.0))
+    times = F.ceil(freedom / 2.0).cast("int") - 1
+    terms = F.when(times > 0, F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(terms, base, lambda total, k: total + F.log((first + k) / (first + k + 0.5)))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation `r` of `n` pairs under none: Student's t with n - 2 degrees of freedom, by the regularised
+    incomplete beta function. Null for fewer than three pairs."""
+    freedom = n.cast("long") - 2
+    a, b = freedom / 2.0, F.lit(0.5)
+    x = F.greatest(F.lit(0.0), F.lit(1.0) - r * r)  # = freedom / (freedom + t * t)
+    front = F.exp(a * F.log(x) + b * F.log(F.lit(1.0) - x) - _log_beta_half(freedom))
+    near = front * _fraction(x, a, b) / a
+    far = F.lit(1.0) - front * _fraction(F.lit(1.0) - x, b, a) / b
+    value = F.when(x <= 0.0, F.lit(0.0)).when(x >= 1.0, F.lit(1.0)).when(x < (a + 1) / (a + b + 2), near).otherwise(far)
+    return F.when((freedom > 0) & r.isNotNull() & ~F.isnan(r), value)

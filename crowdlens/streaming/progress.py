@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import threading
 from collections import deque
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ TOTALS_DDL = "run_id string, events_scored bigint, duration_ms bigint, batches b
 
 
 def _offset_total(offset) -> int:
-    """Sum over the partitions of a Kafka offset {topic: {partition: n}}; 0 for sources without one."""
+    """Sum over the partitions of a Kafka offset {topic: {partition: n}} or a log's {partition: n}; 0 for sources without one."""
     if isinstance(offset, str):
         try:
             offset = json.loads(offset)
@@ -23,14 +24,17 @@ def _offset_total(offset) -> int:
             return 0
     if not isinstance(offset, dict):
         return 0
-    return sum(n for topic in offset.values() if isinstance(topic, dict) for n in topic.values() if isinstance(n, int))
+    if not all(str(name).isdigit() for name in offset):
+        offset = {(topic, p): n for topic, parts in offset.items() if isinstance(parts, dict) for p, n in parts.items()}
+    return sum(n for n in offset.values() if isinstance(n, int))
 
 
-def progress_row(progress) -> tuple:
-    """One micro-batch: rows, duration and messages still behind the head of the source."""
+def progress_row(progress, head: dict | None = None) -> tuple:
+    """One micro-batch: rows, duration and messages still behind the head of the source. Sources that plan less than there is
+    call that their latest offset; the `head` of a log {partition: n} tells how much there is."""
     record = json.loads(progress.json) if hasattr(progress, "json") else dict(progress)
     lag = sum(
-        max(_offset_total(source.get("latestOffset")) - _offset_total(source.get("endOffset")), 0)
+        max((_offset_total(source.get("latestOffset")) if head is None else sum(head.values())) - _offset_total(source.get("endOffset")), 0)
         for source in record.get("sources", ())
     )
     return (
@@ -43,7 +47,8 @@ class ProgressLog(StreamingQueryListener):
     """Exact totals of each run of the session's queries, however many micro-batches it has; a small row for each of the last
     `keep` micro-batches, printed if asked. Memory grows with the number of runs, not of batches."""
 
-    def __init__(self, echo: bool = False, keep: int = 100_000):
+    def __init__(self, echo: bool = False, keep: int = 100_000, head: Callable[[], dict] | None = None):
+        self.head = head  # of the log that is read, if it is one
         self.rows: deque = deque(maxlen=keep)
         self.echo = echo
         self._totals: dict[str, list] = {}  # run_id -> rows, milliseconds, batches, last batch, its lag
@@ -54,7 +59,7 @@ class ProgressLog(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event):
-        row = progress_row(event.progress)
+        row = progress_row(event.progress, self.head() if self.head else None)
         run_id, batch_id, rows, duration, lag = row
         with self._changed:
             self.rows.append(row)

@@ -13,7 +13,7 @@ QUICK = (
     "review_queue_top", "hash_repeats", "score_accounts", "scoring_parity_mismatch", "review_labeled", "split_leakage",
     "multilabel_report", "rolling_latency", "term_stats", "tfidf", "chi2_select", "vocab_sweep", "fit_gbt", "text_svd", "transform_review", "stream_events", "norm_ppf",
     "hash_sample", "bounded_sample", "grouped_split_xxhash64", "latency_summary_nulls", "rolling_latency_nulls",
-    "latency_summary_sketch", "landing_manifest", "stream_report", "split_summary", "cdf_breakpoints_sketch",
+    "latency_summary_sketch", "stream_last_n_latency", "stream_log_lag", "label_delta_regression", "landing_manifest", "stream_report", "split_summary", "cdf_breakpoints_sketch",
     "rating_deviation", "reviewer_signals", "burstiness", "duplication", "label_vocabulary", "attach_labels",
 )
 

@@ -1,8 +1,11 @@
 import random
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from crowdlens.functions.numeric import correlation_p
 from crowdlens.operators import latency, metrics, predictions, upsert
 
 
@@ -57,6 +60,7 @@ def test_delta_regression_and_buckets(spark):
     after = spark.createDataFrame([(0, .4), (1, .4), (2, .4), (3, .9)], "label int, average_precision double")
     got = metrics.label_delta_regression(before, after).head()
     assert got.n_labels == 3 and got.slope == pytest.approx(-0.1) and got.r == pytest.approx(-1.0)
+    assert got.p_value == pytest.approx(0.0, abs=1e-7)
     assert got.mean_delta_rare == pytest.approx(0.3) and got.mean_delta_common == pytest.approx(0.1)
 
 
@@ -125,3 +129,28 @@ def test_knee_stops_at_the_first_miss(spark):
     assert latency.throughput_knee(curve).head().knee == 2
     best = {r.batch_size: r.pct_of_best for r in latency.sweep_pct_of_best(curve, "throughput_per_sec").collect()}
     assert best[8] == 100.0 and best[1] == 50.0
+
+
+def exact_p(r, n):
+    """Student's t with n - 2 degrees of freedom by numerical integration of its density."""
+    v = n - 2
+    t = abs(r) * math.sqrt(v / (1 - r * r))
+    scale = math.gamma((v + 1) / 2) / math.gamma(v / 2) / math.sqrt(v * math.pi)
+    # Substituting u = 1 / x makes the tail finite: the integral over 0 < x < 1 / t.
+    steps, total = 20_000, 0.0
+    for i in range(steps):
+        x = (i + 0.5) / steps / t
+        total += scale * (1 + 1 / (v * x * x)) ** (-(v + 1) / 2) / (x * x) / steps / t
+    return 2 * total
+
+
+@pytest.mark.parametrize("r, n", [(-0.405, 50), (-0.0253, 50), (0.5, 3), (0.9, 4), (0.3, 5), (0.99, 12), (0.05, 300), (-0.6, 41)])
+def test_p_value_of_a_correlation(one, r, n):
+    assert one(correlation_p(F.lit(r), F.lit(n))) == pytest.approx(exact_p(r, n), rel=2e-4, abs=1e-9)
+
+
+def test_published_and_extreme_p_values(one):
+    got = one(correlation_p(F.lit(-0.405), F.lit(50)), correlation_p(F.lit(-0.0253), F.lit(50)), correlation_p(F.lit(0.0), F.lit(9)),
+              correlation_p(F.lit(1.0), F.lit(9)), correlation_p(F.lit(0.5), F.lit(2)), correlation_p(F.lit(None).cast("double"), F.lit(9)))
+    assert round(got[0], 4) == 0.0035 and got[1] == pytest.approx(0.8616, abs=2e-4)
+    assert got[2:] == (1.0, 0.0, None, None)

@@ -1,11 +1,16 @@
 import json
+import os
+import random
+import signal
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from crowdlens.operators import latency
 from crowdlens.operators.predictions import topk_categories
 from crowdlens.sources import events
-from crowdlens.streaming import progress, scorer
+from crowdlens.streaming import drain, last_values, manifest, offset_log, progress, scorer
 
 
 def event(i):
@@ -198,3 +203,220 @@ def test_a_job_reports_all_its_batches(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
     report = spark.read.json(str(tmp_path / "out" / "run_report")).head()
     assert (report.events_scored, report.batches) == (4, 4)
+
+
+# ---------------------------------------------------------------- manifest
+
+def one_file(folder, name, lines):
+    (folder / "in").mkdir(exist_ok=True)
+    (folder / "in" / name).write_text("\n".join(lines) + "\n")
+
+
+def test_a_batch_without_good_rows_is_entered_and_not_published(spark, tmp_path):
+    sent = []
+
+    def run():
+        stream = scorer.read_messages(spark, str(tmp_path / "in"), max_per_batch=1)
+        scorer.score_stream(stream, score, str(tmp_path / "out"), str(tmp_path / "ckpt"), quarantine=str(tmp_path / "bad"),
+                            publish=lambda rows, batch: sent.append((batch, rows.count()))).awaitTermination()
+    one_file(tmp_path, "a.json", ["{broken"])
+    run()
+    one_file(tmp_path, "b.json", [json.dumps(event(1)), json.dumps(event(2))])
+    run()
+    found = {r.batch_id: (r.rows, len(r.files)) for r in manifest.entries(spark, str(tmp_path / "out")).collect()}
+    assert found[0] == (0, 0) and found[1][0] == 2 and found[1][1] >= 1 and sent == [(1, 2)]
+    assert scorer.landed(spark, str(tmp_path / "out")).count() == 2 and scorer.landed(spark, str(tmp_path / "bad")).count() == 1
+
+
+def test_readers_see_committed_batches_only(spark, folder, monkeypatch):
+    """A crash between the write and the manifest: the rows are there, but not seen; the batch is run again and published."""
+    original, sent = manifest.commit, []
+
+    def crash(session, out, batch_id):
+        if batch_id == 1 and not sent.count("crashed"):
+            sent.append("crashed")
+            raise RuntimeError("lost before the manifest")
+        return original(session, out, batch_id)
+    monkeypatch.setattr(manifest, "commit", crash)
+    publish = {"publish": lambda rows, batch: sent.append(batch)}
+    with pytest.raises(Exception, match="lost before the manifest"):
+        start(spark, folder, **publish).awaitTermination()
+    out = str(folder / "out")
+    assert spark.read.parquet(out).count() == 20 and scorer.landed(spark, out).count() == 10 and sent == [0, "crashed"]
+    start(spark, folder, **publish).awaitTermination()
+    assert scorer.landed(spark, out).count() == 40 and sent == [0, "crashed", 1, 2, 3]
+    assert {(r.batch_id, r.rows) for r in manifest.entries(spark, out).collect()} == {(i, 10) for i in range(4)}
+
+
+def test_a_crash_between_manifest_and_commit_repeats_the_batch_in_place(spark, folder):
+    sent, out = [], str(folder / "out")
+
+    def publish(rows, batch):
+        sent.append(batch)
+        if sent == [0, 1]:
+            raise RuntimeError("lost while publishing")
+    with pytest.raises(Exception, match="lost while publishing"):
+        start(spark, folder, publish=publish).awaitTermination()
+    assert scorer.landed(spark, out).count() == 20
+    start(spark, folder, publish=publish).awaitTermination()
+    assert sent == [0, 1, 1, 2, 3] and scorer.landed(spark, out).count() == 40
+
+
+# ---------------------------------------------------------------- message log
+
+def messages_of(spark, ids):
+    return events.as_messages(spark.createDataFrame([event(i) for i in ids]).selectExpr(
+        "review_id", "business_id", "user_id", "text", "stars", "produced_at_ms"), "business_id").withColumn(
+        "n", F.get_json_object("value", "$.produced_at_ms").cast("double"))
+
+
+def test_log_keeps_keys_together_and_offsets_in_order(spark, tmp_path):
+    path = str(tmp_path / "log")
+    assert offset_log.head(path) == {}
+    first = offset_log.append(messages_of(spark, range(30)), path, 3, ("n",))
+    second = offset_log.append(messages_of(spark, range(30, 50)), path, 3, ("n",))
+    assert sum(first.values()) == 30 and sum(second.values()) == 50 == sum(offset_log.head(path).values())
+    rows = [r for files in offset_log.segments(path).values() for _, _, f in files for r in pq.ParquetFile(f).read().to_pylist()]
+    by_key, by_partition = {}, {}
+    for r in rows:
+        by_key.setdefault(r["key"], set()).add(r["partition"])
+        by_partition.setdefault(r["partition"], []).append(r)
+    assert all(len(p) == 1 for p in by_key.values())
+    for own in by_partition.values():
+        own.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in own] == list(range(len(own)))
+        stamps = [json.loads(r["value"])["produced_at_ms"] for r in own]
+        assert stamps == sorted(stamps)
+
+
+def log_stream(spark, tmp_path, **options):
+    read = {k: options.pop(k) for k in ("from_beginning", "max_per_batch", "min_per_batch", "max_delay_ms") if k in options}
+    stream = scorer.read_messages(spark, log=str(tmp_path / "log"), position=str(tmp_path / "position.json"), **read)
+    return scorer.score_stream(stream, score, str(tmp_path / "out"), str(tmp_path / "ckpt"), **options)
+
+
+def test_earliest_and_latest(spark, tmp_path):
+    offset_log.append(messages_of(spark, range(20)), str(tmp_path / "log"))
+    running = log_stream(spark, tmp_path, wait="50 milliseconds")       # latest: only what comes after the start
+    try:
+        running.processAllAvailable()
+        offset_log.append(messages_of(spark, range(20, 25)), str(tmp_path / "log"))
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert {r.review_id for r in scorer.landed(spark, str(tmp_path / "out")).collect()} == {f"r{i}" for i in range(20, 25)}
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "log").symlink_to(tmp_path / "log")
+    log_stream(spark, other, from_beginning=True).awaitTermination()
+    assert scorer.landed(spark, str(other / "out")).count() == 25
+    with pytest.raises(ValueError, match="earliest or latest"):
+        offset_log.LogReader({"path": "x", "startingOffsets": "middle"})
+
+
+def test_lag_falls_to_zero_and_a_restart_goes_on(spark, tmp_path):
+    path = str(tmp_path / "log")
+    offset_log.append(messages_of(spark, range(40)), path, 3)
+    log = progress.ProgressLog(head=lambda: offset_log.head(path))
+    spark.streams.addListener(log)
+    try:
+        for bound in (20, None):
+            stop = drain.Drain(bound)
+            running = log_stream(spark, tmp_path, from_beginning=True, max_per_batch=10, wait="20 milliseconds", drain=stop)
+            if bound is None:
+                running.processAllAvailable()
+                stop.request()
+            stop.wait(running)
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(log)
+    lags = [(rows, lag) for _, _, rows, _, lag in log.rows if rows]
+    assert lags == [(10, 30), (10, 20), (10, 10), (10, 0)]
+    rows = scorer.landed(spark, str(tmp_path / "out"))
+    assert rows.count() == 40 and rows.select("review_id").distinct().count() == 40
+
+
+def test_size_or_wait(tmp_path, spark):
+    """The two sides: enough messages, or enough time."""
+    path = str(tmp_path / "log")
+    offset_log.append(messages_of(spark, range(4)), path, 1)
+    reader = offset_log.LogReader({"path": path, "startingOffsets": "earliest", "minPerBatch": "5", "maxDelay": "3600", "maxPerBatch": "6"})
+    assert reader.initialOffset() == {} and reader.latestOffset() == {}
+    offset_log.append(messages_of(spark, range(4, 9)), path, 1)
+    assert reader.latestOffset() == {"0": 6} == reader.latestOffset()       # three are left: too few
+    reader.delay = 0.0
+    assert reader.latestOffset() == {"0": 9}
+    assert scorer.kafka_options({"subscribe": "t"}, True, 10, 5, 50) == {
+        "subscribe": "t", "startingOffsets": "earliest", "maxOffsetsPerTrigger": "10", "minOffsetsPerTrigger": "5", "maxTriggerDelay": "50ms"}
+    with pytest.raises(ValueError, match="no offsets"):
+        scorer.read_messages(spark, "folder", min_per_batch=3)
+
+
+def test_shares_of_a_batch_are_even():
+    assert offset_log.shares({0: 5, 1: 100, 2: 1}, 0) == {0: 5, 1: 100, 2: 1}
+    assert offset_log.shares({0: 5, 1: 100, 2: 1}, 20) == {2: 1, 0: 5, 1: 14}
+    assert sum(offset_log.shares({p: 10 for p in range(7)}, 3).values()) == 3
+
+
+# ---------------------------------------------------------------- bounded runs
+
+def test_a_bounded_run_finishes_its_batch_and_loses_nothing(spark, folder):
+    stop = drain.Drain(max_events=15)
+    stop.wait(start(spark, folder, drain=stop))
+    assert stop.events == 22 and scorer.landed(spark, str(folder / "out")).count() == 20
+    rest = drain.Drain()
+    rest.wait(start(spark, folder, drain=rest))
+    assert rest.events == 22 and scorer.landed(spark, str(folder / "out")).select("review_id").distinct().count() == 40
+
+
+def test_a_signal_drains_the_running_batch(spark, folder):
+    stop = drain.Drain()
+    restore = stop.on_signals(signal.SIGTERM)
+    try:
+        running = start(spark, folder, drain=stop, before_commit=lambda i: os.kill(os.getpid(), signal.SIGTERM) if i == 1 else None)
+        stop.wait(running)
+    finally:
+        restore()
+    assert not running.isActive and scorer.landed(spark, str(folder / "out")).count() == 20
+    start(spark, folder).awaitTermination()
+    assert scorer.landed(spark, str(folder / "out")).count() == 40
+
+
+def test_other_failures_are_not_taken_for_a_stop(spark, folder):
+    def fail(batch_id):
+        raise RuntimeError("disk full")
+    with pytest.raises(Exception, match="disk full"):
+        drain.Drain().wait(start(spark, folder, before_commit=fail))
+
+
+# ---------------------------------------------------------------- last N values
+
+def test_last_n_on_a_stream_equals_the_batch_also_after_a_restart(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f"k{rng.randrange(3)}" if rng.random() < 0.9 else None, i, rng.choice([None, rng.random() * 100])) for i in range(300)]
+    df = spark.createDataFrame(rows, "kind string, at long, ms double")
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    offset_log.append(events.as_messages(df, "kind", ["kind", "at", "ms"]).withColumn("at", F.get_json_object("value", "$.at").cast("long")), path, 2, ("at",))
+    schema = "kind string, at long, ms double"
+
+    def run(bound):
+        stop = drain.Drain(bound)
+        stream = offset_log.read_log(spark, path, True, 40, position=str(tmp_path / "position.json")).select(F.from_json("value", schema).alias("e")).select("e.*")
+        windows = last_values.last_n_latency(stream, "kind", ["at"], "ms", 7)
+
+        def keep(batch, batch_id):
+            scorer.write_batch(batch, batch_id, out)
+            manifest.commit(spark, out, batch_id)
+            return 40
+        query = windows.writeStream.foreachBatch(stop.around(keep)).outputMode("append").option(
+            "checkpointLocation", str(tmp_path / "ckpt")).trigger(processingTime="20 milliseconds").start()
+        if bound is None:
+            query.processAllAvailable()
+            stop.request()
+        stop.wait(query)
+    run(120)
+    assert 0 < scorer.landed(spark, out).count() < 130
+    run(None)
+    got = sorted(map(str, scorer.landed(spark, out).collect()))
+    want = latency.rolling_latency(df, "kind", ["at"], "ms", 7)
+    assert got == sorted(map(str, want.select("kind", "at", "n", *last_values.STATS).collect()))
