@@ -3,9 +3,11 @@
 Everything is a DataFrame expression on one row: no join, no shuffle of texts, and a file is never spread over rows.
 
 1. `word_frequencies`: in how many files each word of the templates occurs, over the whole corpus (one small table).
-2. Each template is indexed by its rarest key-phrase word (highest IDF) and that word's offset.
-3. In each file the rare words it has are looked up; a posting fixes where the template would start (relative position).
-   All mandatory key phrases must stand at their offsets from there; since the indexed word belongs to one of them, no
+2. Each template is indexed by its `POSTINGS` rarest key-phrase words (highest IDF first), each with its offset.
+3. In each file the rarest words it has are looked up; each occurrence is a posting that says where the template would start. The
+   starts that the second and third words' postings give are intersected with them, as (template, start) numbers; a file
+   without any of the rarest words is done after the first lookup.
+4. All mandatory key phrases must stand at their offsets from a start that is left; since the indexed words belong to them, no
    place is missed. The score of a place is the share of the template's words that stand where the template has them.
 
 Odd cases: a null text is empty; without words there are no places, labels are empty and the score is 0. Repeated rows are
@@ -53,8 +55,39 @@ NOTICES = (
     ("unlicense", "this is |free and unencumbered software released into the public domain|"),
     ("mit", "|spdx license identifier mit|"),
     ("apache-2.0", "|spdx license identifier apache 2 0|"),
+    ("mit", "|permission is hereby granted free of charge to any person obtaining a copy of this software| and associated documentation "
+            "files the software to deal in the software without restriction including without limitation the rights to use copy "
+            "modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software "
+            "is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be "
+            "included in all copies or substantial portions of the software the software is provided as is without warranty of any "
+            "kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose "
+            "and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability "
+            "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or "
+            "other dealings in the software"),
+    ("isc", "|permission to use copy modify and or distribute this software for any purpose| with or without fee is hereby granted "
+            "provided that the above copyright notice and this permission notice appear in all copies the software is provided as is "
+            "and the author disclaims all warranties with regard to this software including all implied warranties of merchantability "
+            "and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any "
+            "damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other "
+            "tortious action arising out of or in connection with the use or performance of this software"),
+    ("bsd", "|redistribution and use in source and binary forms with or without modification are permitted| provided that the following "
+            "conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and "
+            "the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of "
+            "conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("apache-2.0", "|licensed under the apache license version 2 0| the license you may not use this file except in compliance with the "
+                   "license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by "
+                   "applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+                   "without warranties or conditions of any kind either express or implied see the license for the specific language "
+                   "governing permissions and limitations under the license"),
+    ("gpl", "|this program is free software you can redistribute it and or modify it under the terms of the gnu general public license| "
+            "as published by the free software foundation either version 3 of the license or at your option any later version this "
+            "program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of "
+            "merchantability or fitness for a particular purpose see the gnu general public license for more details"),
 )
 
+#: Words by which a template is indexed.
+POSTINGS = 3
+
 
 @dataclass(frozen=True)
 class Template:
@@ -103,10 +136,28 @@ def word_frequencies(files: DataFrame, known: list[Template]) -> dict[str, int]:
     return {word: counted.get(word, 0) for word in vocabulary}
 
 
-def anchor(t: Template, frequency: dict[str, int]) -> int:
-    """Offset of the rarest word of the template's phrases (the first of equally rare ones)."""
-    offsets = [start + j for start, n in t.phrases for j in range(n)]
-    return min(offsets, key=lambda o: (frequency[t.words[o]], o))
+def anchors(t: Template, frequency: dict[str, int], postings: int = POSTINGS) -> list[int]:
+    """Offsets of the rarest words of the template's phrases, the rarest first (of equally rare ones, and of repeated ones, the
+    first). Where there are fewer different words the rarest stands for the rest."""
+    offsets = sorted((start + j for start, n in t.phrases for j in range(n)), key=lambda o: (frequency[t.words[o]], o))
+    found = list({t.words[o]: o for o in reversed(offsets)}.values())[::-1][:postings]
+    return found + found[:1] * (postings - len(found))
+
+
+# A template and a start as one number: (template << 40) + start + 2 ** 30.
+_SHIFT, _BIAS = 1 << 40, 1 << 30
+
+
+def _starts(postings: list[tuple[str, int]]) -> Column:
+    """Starts of all templates that the postings of one rank give: (word, offset) of each template, on the column `words`."""
+    index = F.array(*[F.struct(F.lit(word).alias("word"), F.lit(number * _SHIFT + _BIAS - offset).alias("code"))
+                      for number, (word, offset) in enumerate(postings)])
+    known = _texts(sorted({word for word, _ in postings}))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
+                    lambda x: F.array_contains(known, x["word"]))
+    codes = F.flatten(F.transform(hits, lambda x: F.transform(
+        F.filter(index, lambda p: p["word"] == x["word"]), lambda p: p["code"] + x["at"])))
+    return F.when(F.arrays_overlap("words", known), codes).otherwise(F.array().cast("array<bigint>"))
 
 
 def scan(docs: DataFrame, known: list[Template] | None = None) -> DataFrame:
@@ -115,21 +166,21 @@ def scan(docs: DataFrame, known: list[Template] | None = None) -> DataFrame:
     known = templates() if known is None else known
     files = docs.select("doc_id", file_words(F.col("text")).alias("words"))
     frequency = word_frequencies(files, known)
-    anchors = [anchor(t, frequency) for t in known]
-    index = F.array(*[F.struct(
-        F.lit(number).alias("t"), F.lit(t.words[offset]).alias("word"), F.lit(offset).alias("offset"))
-        for number, (t, offset) in enumerate(zip(known, anchors))])
+    offsets = [anchors(t, frequency) for t in known]
     table = F.array(*[F.struct(
         F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), _texts(t.words).alias("words"),
         F.array(*[F.struct(F.lit(o).alias("offset"), _texts(t.words[o: o + n]).alias("words")) for o, n in t.phrases])
         .alias("phrases")) for t in known])
 
-    rare = F.array_intersect("words", _texts(sorted({t.words[o] for t, o in zip(known, anchors)})))
-    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))),
-                    lambda x: F.array_contains(F.col("rare"), x["word"]))
-    starts = F.flatten(F.transform(F.col("hits"), lambda x: F.transform(
-        F.filter(index, lambda p: p["word"] == x["word"]),
-        lambda p: F.struct(F.get(table, p["t"]).alias("template"), (x["at"] - p["offset"]).alias("start")))))
+    # One posting list after the other: what the rarest words give, cut down by the next ones.
+    left = _starts([(t.words[own[0]], own[0]) for t, own in zip(known, offsets)])
+    files = files.withColumn("starts", left)
+    for rank in range(1, POSTINGS):
+        more = _starts([(t.words[own[rank]], own[rank]) for t, own in zip(known, offsets)])
+        files = files.withColumn("starts", F.when(F.size("starts") > 0, F.array_intersect("starts", more)).otherwise(F.col("starts")))
+    starts = F.transform("starts", lambda code: F.struct(
+        F.get(table, F.floor(code / _SHIFT).cast("int")).alias("template"),
+        (F.pmod(code, F.lit(_SHIFT)) - _BIAS).cast("int").alias("start")))
 
     def verified(c: Column) -> Column:
         return F.forall(c["template"]["phrases"], lambda p: (c["start"] + p["offset"] >= 0) & (
@@ -142,11 +193,9 @@ def scan(docs: DataFrame, known: list[Template] | None = None) -> DataFrame:
         return F.struct(c["template"]["label"].alias("label"), c["template"]["base"].alias("base"),
                         c["start"].cast("long").alias("start"), (same / F.size(own)).alias("share"))
     none = F.array().cast("array<struct<label:string,base:boolean,start:bigint,share:double>>")
-    return (files.withColumn("rare", rare)
-            .withColumn("hits", F.when(F.size("rare") > 0, hits))
-            .withColumn("places", F.when(F.col("hits").isNotNull(), F.transform(F.filter(starts, verified), place))
-                        .otherwise(none))
-            .select("doc_id", F.size("words").cast("long").alias("n_words"), "places"))
+    return files.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"),
+        F.when(F.size("starts") > 0, F.transform(F.filter(starts, verified), place)).otherwise(none).alias("places"))
 
 
 def summary(scanned: DataFrame) -> DataFrame:

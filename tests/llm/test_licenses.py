@@ -44,10 +44,32 @@ def test_scan_equals_trying_every_place(documents, odd_texts):
     assert licenses.summary(licenses.scan(documents([]))).count() == 0
 
 
-def test_the_rarest_word_is_the_anchor():
-    t = licenses.template("x", "under the |mit license| of |1998|")
-    assert t.phrases == ((2, 2), (5, 1))
-    assert licenses.anchor(t, {"under": 0, "the": 9, "mit": 5, "license": 3, "of": 0, "1998": 3}) == 3
+def test_the_rarest_words_are_the_index():
+    t = licenses.template("x", "under the |mit license| of |1998 mit|")
+    assert t.phrases == ((2, 2), (5, 2))
+    frequency = {"under": 0, "the": 9, "mit": 5, "license": 3, "of": 0, "1998": 3}
+    assert licenses.anchors(t, frequency) == [3, 5, 2]
+    assert licenses.anchors(licenses.template("y", "|mit mit|"), frequency) == [0, 0, 0]
+
+
+def test_templates_that_share_the_rarest_word_are_told_apart_by_the_others(documents):
+    """Both have `zyx` as rarest word; where only one of them stands, the intersected starts are its own. (Of `c` only the two
+    words between the bars are mandatory, at their distance.)"""
+    known = [licenses.template("a", "|zyx red blue|"), licenses.template("b", "|green zyx red|"), licenses.template("c", "red |zyx| x |red|")]
+    texts = ["zyx red blue", "green zyx red", "green zyx red blue", "blue red zyx", "red zyx x red", "zyx blue red", "zyx " * 50 + "red blue"]
+    rows = {r.doc_id: sorted((p.label, p.start) for p in r.places) for r in licenses.scan(documents(texts), known).collect()}
+    assert rows == {0: [("a", 0)], 1: [("b", 0)], 2: [("a", 1), ("b", 0)], 3: [], 4: [("c", 0)], 5: [("c", -1)],
+                    6: [("a", 49), ("c", 47)]}
+    frequency = {"zyx": 1, "red": 5, "blue": 3, "green": 2, "x": 9}
+    assert [licenses.anchors(t, frequency)[0] for t in known] == [0, 1, 1]
+
+
+def test_full_notices_are_found_whole(documents):
+    full = {t.label: " ".join(t.words) for t in licenses.templates() if len(t.words) > 40}
+    assert {"mit", "isc", "bsd", "apache-2.0", "gpl"} <= set(full)
+    rows = {r.doc_id: r for r in licenses.summary(licenses.scan(documents(list(full.values())))).collect()}
+    for i, label in enumerate(full):
+        assert label in rows[i].labels.split(",") and rows[i].score == 1.0
 
 
 def test_no_python_in_the_plan(documents):
