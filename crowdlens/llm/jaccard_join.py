@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from crowdlens.llm import frames, words
 from crowdlens.llm.components import stars
+from crowdlens.operators.joins import lookup_join
 from crowdlens.session import stage
 
 
@@ -402,10 +403,11 @@ def join(docs: DataFrame, s: Settings = Settings()) -> Joined:
 
 def components(joined: Joined) -> DataFrame:
     """doc_id, mark, n_shingles, node, root (null: no words), component_id (smallest doc_id) of every document."""
-    sizes = joined.sizes.join(joined.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = sizes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = stage(sizes.join(least, "root").select("node", "root", "component_id"), "jaccard-components")
-    full = joined.signed.where("node IS NOT NULL").join(of_node, "node")
+    # A root may have a third of all nodes, and a node a third of all documents: frequent keys are joined apart from the others.
+    sizes = stage(joined.sizes.join(joined.roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-sizes")
+    least = stage(sizes.groupBy("root").agg(F.min("least").alias("component_id")), "jaccard-least")
+    of_node = stage(lookup_join(sizes, least, "root", ["node"], "inner").select("node", "root", "component_id"), "jaccard-components")
+    full = lookup_join(joined.signed.where("node IS NOT NULL"), of_node, "node", ["doc_id", "mark"], "inner")
     none = joined.signed.where("node IS NULL").withColumns(
         {"root": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
     columns = ["doc_id", "mark", F.col("n").alias("n_shingles"), "node", "root", "component_id"]
@@ -417,9 +419,9 @@ def one_of_each(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     mark. Texts without words are linked with nothing and all stay."""
     found = components(join(docs, s)).where("root IS NOT NULL")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("mark"))
-    rows = found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("times"))
-    best = found.groupBy("root").agg(F.min(rank).alias("best"))
-    judged = stage(rows.join(best, "root").select(
+    rows = stage(found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("times")), "jaccard-rows")
+    best = stage(rows.groupBy("root").agg(F.min(rank).alias("best")), "jaccard-best")
+    judged = stage(lookup_join(rows, best, "root", ["doc_id", "mark"], "inner").select(
         F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "times", (rank == F.col("best")).alias("wins"))
         .where("NOT wins OR times > 1"), "jaccard-judged")
     text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
