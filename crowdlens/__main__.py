@@ -83,6 +83,7 @@ def main(arguments: list[str] | None = None) -> None:
     elif args.job == "land":
         if args.dry_run:
             lake.landing_manifest(spark, args.source).write.mode("overwrite").json(f"{args.target}/_manifest")
+            spark.read.json(f"{args.target}/_manifest").show(200, truncate=False)  # what it wrote, as far as a screen holds it
         else:
             lake.land(spark, args.source, args.target)
     elif args.job == "replay":
