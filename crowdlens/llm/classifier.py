@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from crowdlens.llm import frames, words
+from crowdlens.session import stage
 
 
 @dataclass(frozen=True)
@@ -225,13 +226,16 @@ def learning_rows(docs: DataFrame, labels: DataFrame, learn: str = "true") -> Da
 
 
 def _sample(rows: DataFrame, bad: int, good: int, settings: Settings) -> DataFrame:
-    parts = []
+    """Two passes: hashes and sizes of the different rows, of which each class has its smallest; then the chosen rows."""
+    marked = rows.select("text", "label", F.xxhash64("text", "label").alias("_mark"))
+    sizes = stage(marked.groupBy("label", "_mark").agg(F.max(F.octet_length("text")).cast("long").alias("_size")), "learning-rows")
+    chosen = F.lit(False)
     for label, n in ((0, bad), (1, good)):
         share = max(n / (bad + good), 0.05)
-        parts.append(frames.bottom_rows(
-            rows.where(F.col("label") == label).select("text", "label"), ["text", "label"], math.ceil(share * settings.train_rows),
-            F.octet_length("text"), int(share * settings.train_bytes)))
-    return parts[0].unionByName(parts[1])
+        last = frames.last_mark(sizes.where(F.col("label") == label), math.ceil(share * settings.train_rows), int(share * settings.train_bytes))
+        if last is not None:
+            chosen = chosen | ((F.col("label") == label) & (F.col("_mark") <= F.lit(last)))
+    return marked.where(chosen).dropDuplicates(["label", "_mark"]).select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: str = "true", settings: Settings = Settings()) -> Model:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -25,10 +26,24 @@ def map_rows(
     rows: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: str | StructType,
 ) -> DataFrame:
-    """`mapInArrow` with small batches, by workers that know this package."""
+    """`mapInArrow` with small batches, by workers that know this package and give memory back after each task."""
     bounded_batches(rows.sparkSession)
     ship_package(rows.sparkSession)
-    return rows.mapInArrow(function, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+    return rows.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and an executor's limit counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library; others have none
+    if trim is not None:
+        trim(0)
 
 
 def packed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -57,25 +72,26 @@ def small_side(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def bottom_rows(rows: DataFrame, by: list[str], wanted: int, size: Column | None = None, most: int | None = None) -> DataFrame:
-    """At most `wanted` different rows (in the columns `by`), those of the smallest hashes; with `size` and `most` only as many
-    as have that size together, but one at least.
+def last_mark(marks: DataFrame, wanted: int, most: int | None = None) -> int | None:
+    """Of different (_mark, _size) the `wanted` smallest marks, and with `most` only as many as have that size together, but one at
+    least: the largest mark of them, or None without any."""
+    # At most `wanted` rows in these windows.
+    chosen = marks.orderBy("_mark").limit(wanted)
+    before = F.sum("_size").over(W.orderBy("_mark").rowsBetween(W.unboundedPreceding, 0))
+    first = F.row_number().over(W.orderBy("_mark")) == 1
+    kept = chosen.select("_mark", F.coalesce(before, F.lit(0)).alias("_sum"), first.alias("_first"))
+    return (kept if most is None else kept.where((F.col("_sum") <= most) | F.col("_first"))).agg(F.max("_mark")).head()[0]
+
+
+def bottom_rows(rows: DataFrame, by: list[str], wanted: int) -> DataFrame:
+    """At most `wanted` different rows (in the columns `by`), those of the smallest hashes.
 
     Equal rows meet as one key whose parts combine before the shuffle, so a row that is repeated any number of times counts as
-    one and the bound holds. Only hashes and sizes are shuffled until the chosen ones are known. Of different rows with one hash
-    one is taken.
+    one and the bound holds. Only hashes are shuffled until the chosen ones are known. Of different rows with one hash one is taken.
     """
     marked = rows.withColumn("_mark", F.xxhash64(*by))
-    size = F.lit(0) if size is None else size
-    chosen = marked.groupBy("_mark").agg(F.max(size).cast("long").alias("_size")).orderBy("_mark").limit(wanted)
-    # At most `wanted` rows in this window.
-    before = F.coalesce(F.sum("_size").over(W.orderBy("_mark").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-    first = F.row_number().over(W.orderBy("_mark")) == 1
-    kept = chosen.select("_mark", before.alias("_sum"), first.alias("_first"))
-    last = (kept if most is None else kept.where((F.col("_sum") <= most) | F.col("_first"))).agg(F.max("_mark")).head()[0]
-    if last is None:
-        return rows.limit(0)
-    return marked.where(F.col("_mark") <= F.lit(last)).dropDuplicates(["_mark"]).drop("_mark")
+    last = last_mark(marked.select("_mark", F.lit(0).cast("long").alias("_size")).distinct(), wanted)
+    return rows.limit(0) if last is None else marked.where(F.col("_mark") <= F.lit(last)).dropDuplicates(["_mark"]).drop("_mark")
 
 
 def _quoted(name: str) -> str:
