@@ -38,6 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each text with its place in a batch; nothing is dropped, and null or empty texts are packed as `packing` says."""
     return packing.pack(docs)
 
 
