@@ -19,9 +19,9 @@ What is left is verified on the whole sets. Steps:
 3. First round: in each key every node is paired with one of them, the hub, so a group of n nodes makes n - 1 pairs.
 4. Second round, exact: in keys whose other nodes are not yet all connected, every pair of nodes of different components is
    compared by bit sketches inside tasks, in blocks of at most `block` nodes each way. First only a nearest spanning forest
-   of the pairs that pass leaves the task and is verified, which connects nearly all that is connected; then, for the
-   components that are left, every pair that passes. Skipped are only pairs whose nodes are connected by verified links, and
-   keys that hold the same nodes as another.
+   of the pairs that pass leaves the task and is verified, which connects nearly all that is connected; then, in keys with a
+   pair that proved not similar, every pair that passes between components that are left. Skipped are only pairs whose nodes
+   are connected by verified links, and keys that hold the same nodes as another.
 
 Odd cases: texts without words (null, empty, blank) have the empty set and no links. A text of fewer than k words has its
 whole sequence as its one shingle. Repeated rows and repeated ids are linked by their texts alone; a null doc_id takes
@@ -308,7 +308,7 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, s: Settings) ->
 
 
 def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Settings, forest: bool) -> DataFrame:
-    """(a, b): pairs of nodes that share a key, lie in different components, and pass the bit sketches.
+    """(key, a, b): pairs of nodes that share a key, lie in different components, and pass the bit sketches.
 
     With `forest`, of each block only the pairs of a spanning forest of its components, the nearest ones.
     Pairs with a key's hub have been compared in the first round. Of keys with the same other nodes one will do;
@@ -327,6 +327,7 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Setting
                        "n", "sketch")
 
     def compare(group: pa.Table, x: int, y: int) -> pa.RecordBatch:
+        key = group["key"][0].as_py()
         node, root, n, own = (group[c].to_numpy() for c in ("node", "root", "n", "own"))
         raw = [np.frombuffer(v, np.uint64) for v in group["sketch"].to_pylist()]
         length = min(map(len, raw))
@@ -345,8 +346,9 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Setting
         if forest and len(i):
             chosen = spanning_forest(np.unique(root, return_inverse=True)[1], i, j, far)
             i, j = i[chosen], j[chosen]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))],
-                                          names=["a", "b"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(i), key)), pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))],
+            names=["key", "a", "b"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key, x, y: at most 2 blocks of nodes for each."""
@@ -364,7 +366,7 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, sets: DataFrame, s: Setting
             yield compare(rest, rest["x"][0].as_py(), rest["y"][0].as_py())
     frames.bounded_batches(rows.sparkSession)
     dealt = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
-    return dealt.mapInArrow(task, "a long, b long").distinct()
+    return dealt.mapInArrow(task, "key long, a long, b long")
 
 
 # ---------------------------------------------------------------- the join
@@ -392,12 +394,19 @@ def join(docs: DataFrame, s: Settings = Settings()) -> Joined:
     roots = stars(links)
     checked = first
     for forest in (True, False):
-        pairs = stage(cross_pairs(shared, roots, sketches, s, forest).join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+        found = stage(cross_pairs(shared, roots, sketches, s, forest), "jaccard-cross")
+        pairs = stage(found.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
         more = similar(pairs, docs, nodes, s)
-        checked = checked.union(pairs)
         if more.limit(1).count():
             links = links.union(more)
-            roots = stars(links)
+            roots = stars(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more.select("a", "b")))
+        if forest:
+            # Where all pairs of a forest are links, whatever passes in that key is connected by them.
+            checked = checked.union(pairs)
+            failed = stage(found.join(more, ["a", "b"], "left_anti").select("key").distinct(), "jaccard-keys")
+            if not failed.limit(1).count():
+                break
+            shared = shared.join(frames.small_side(failed), "key", "left_semi")
     return Joined(signed, links, roots, nodes.select("node", "least"))
 
 
