@@ -3,10 +3,11 @@
 The histogram of lengths covers all texts; dynamic programming over it chooses the bucket boundaries that minimise padding.
 Inside a bucket texts form batches of at most `token_budget` tokens, every text padded to the bucket's boundary.
 
-Every length has a bin of its own as long as the table has at most `distinct` different lengths. Beyond that only lengths up to
-`exact` have one; longer ones share bins whose width is 1/64 of their size or less, so that the histogram has a bound (some 64
-bins for each doubling) and is the only thing that reaches the driver. A bin's boundary is its longest text, so every text fits
-its bucket whole and padding is exact; with shared bins, texts and padding together are at most 1/64 more than the least possible.
+Every length has a bin of its own, whatever the table's size, and the histogram is the only thing that reaches the driver. k
+different lengths take at least k (k - 1) / 2 tokens, so a table of 10^12 tokens has at most 1.5 million of them. Who sets `distinct`
+bounds the histogram: beyond so many different lengths only those up to `exact` have a bin of their own; longer ones share bins whose
+width is 1/64 of their size or less. A bin's boundary is its longest text, so every text fits its bucket whole and padding is exact;
+with shared bins, texts and padding together are at most 1/64 more than the least possible.
 
 Texts are numbered inside a bucket without gathering it: they are dealt over `parts` by a hash, numbered inside each
 (bucket, part), and the sizes of the parts before add up. Parts grow with the number of texts, so none holds much more than
@@ -34,7 +35,7 @@ class Settings:
     buckets: int = 16
     token_budget: int = 16_384
     exact: int = 2_048
-    distinct: int = 200_000  # up to so many different lengths, boundaries are optimal for all of them
+    distinct: int | None = None  # None: boundaries are optimal for all lengths, else up to so many different ones
     part_rows: int = 50_000
 
 
@@ -110,8 +111,9 @@ def _one_more(cost: np.ndarray, before: np.ndarray, lengths: np.ndarray) -> tupl
 def plan(lengths: DataFrame, settings: Settings = Settings()) -> list[int]:
     """Ascending bucket boundaries for a table with a column `n_tokens`; empty for an empty table."""
     exact = lengths.groupBy("n_tokens").agg(F.count("*").alias("n"))
-    bins = exact.select(F.col("n_tokens").alias("top"), "n").limit(settings.distinct + 1).toArrow()
-    if bins.num_rows > settings.distinct:
+    bins = exact.select(F.col("n_tokens").alias("top"), "n")
+    bins = (bins if settings.distinct is None else bins.limit(settings.distinct + 1)).toArrow()
+    if settings.distinct is not None and bins.num_rows > settings.distinct:
         bins = exact.groupBy(bin_of(F.col("n_tokens"), settings.exact).alias("bin")).agg(
             F.max("n_tokens").alias("top"), F.sum("n").alias("n")).toArrow()
     bins = bins.sort_by("top")

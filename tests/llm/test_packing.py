@@ -88,3 +88,10 @@ def test_lengths_beyond_exact_are_planned_one_by_one(spark):
     assert _padding(got, lengths, counts) == min(_padding(o, lengths, counts) for o in options) == 2
     few = packing.plan(rows, packing.Settings(buckets=4, distinct=3))  # with shared bins, as before
     assert few == [3005, 3062, 19_000] and _padding(few, lengths, counts) == 1002
+
+
+def test_the_number_of_lengths_switches_nothing(spark):
+    lengths = spark.range(1, 200_003).withColumnRenamed("id", "n_tokens")  # more than the 200,000 that once were the end
+    edges = packing.plan(lengths, packing.Settings(buckets=2))
+    best = min(range(1, 200_003), key=lambda cut: cut * cut + (200_002 - cut) * 200_002)
+    assert edges == [best, 200_002]
