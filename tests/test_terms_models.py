@@ -156,6 +156,14 @@ def test_table_scoring_equals_the_fitted_estimators(corpus):
             assert probabilities[j] == pytest.approx(fitted[doc][j], abs=1e-4)
 
 
+def test_partitions_of_tokens_follow_the_characters(spark, monkeypatch):
+    docs = spark.range(64).select(F.col("id").alias("doc_id"), F.lit("some words " * 10).alias("text"))
+    monkeypatch.setattr(terms, "TASK_CHARS", 110)
+    tokens = terms.tokenise(docs)
+    assert tokens.rdd.getNumPartitions() == 64  # merged by the bytes of the texts it was one
+    assert {(r.term, r.tf) for r in tokens.collect()} == {("some", 10), ("words", 10), ("some words", 10), ("words some", 9)}
+
+
 def test_dense_features_clean_numbers(spark):
     from pyspark.ml.linalg import Vectors
 
