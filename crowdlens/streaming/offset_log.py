@@ -2,7 +2,7 @@
 
 A log has a fixed number of partitions. Messages of one key go to one partition and keep their order; each has the next offset of
 its partition. A file holds a run of offsets and is named by the first and the one after the last, so the head of the log is
-known from the names alone. Files appear whole or not at all (they are renamed when complete), and an offset is never reused.
+known from the names alone. Files appear whole, in order, or not at all (they are renamed when complete), and an offset is never reused.
 
 The reader starts at the beginning or at the head, hands over at most `maxPerBatch` messages at a time, and, where `minPerBatch` is set,
 waits until so many are there or the oldest has waited `maxDelay` seconds. What it has planned is kept in `position`, so that a
@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import time
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,8 @@ SCHEMA = "key string, value string, partition int, offset bigint"
 ARROW = pa.schema([("key", pa.string()), ("value", pa.string()), ("partition", pa.int32()), ("offset", pa.int64())])
 _NAME = re.compile(r"partition=(\d+)/(\d{20})-(\d{20})\.parquet$")
 _BATCH = 4_096
+#: Messages that a task sorts and writes as one file.
+SLICE = 500_000
 
 
 def opened(folder: str) -> tuple[fs.FileSystem, str]:
@@ -55,40 +58,68 @@ def head(folder: str) -> dict[int, int]:
 
 
 def append(messages: DataFrame, folder: str, partitions: int = 4, order: tuple = ()) -> dict[int, int]:
-    """Append (key, value) messages, within a partition in `order` (columns of `messages`), and return the new head.
+    """Append (key, value) messages, within a partition in `order` (columns of `messages`, else as they come), and return the new head.
 
-    One writer at a time. Each partition is written by one task that keeps one batch in memory.
+    One writer at a time. A partition is cut into slices by its order; each is sorted and written by a task of its own, which holds about
+    `SLICE` messages however many there are. The files are renamed here, in the order of the slices, when all are complete.
     """
     ship_package(messages.sparkSession)
     before = head(folder)
     dealt = messages.withColumn("partition", F.pmod(F.xxhash64("key"), F.lit(partitions)).cast("int"))
-    rows = dealt.repartition(partitions, "partition").sortWithinPartitions("partition", *order).select("key", "value", "partition")
+    if not order:
+        dealt, order = dealt.withColumn("_arrival", F.monotonically_increasing_id()), ("_arrival",)
+    slices = max(partitions, -(-messages.count() // SLICE))
+    rows = dealt.repartitionByRange(slices, "partition", *order).sortWithinPartitions("partition", *order).select("key", "value", "partition")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
         store, root = opened(folder)
-        current, sink, offset, path = None, None, 0, ""
+        current, sink, n, path, place = None, None, 0, "", TaskContext.get().partitionId()
 
         def close():
             sink.close()
-            store.move(path, f"{root}/partition={current}/{before.get(current, 0):020d}-{offset:020d}.parquet")
-            return pa.RecordBatch.from_pydict({"partition": pa.array([current], pa.int32()), "head": [offset]})
+            return pa.RecordBatch.from_pydict({
+                "partition": pa.array([current], pa.int32()), "slice": pa.array([place], pa.int32()), "n": [n], "path": [path]})
         for batch in batches:
             for own in _by_partition(batch):
                 number = own.column("partition")[0].as_py()
                 if number != current:
                     if sink is not None:
                         yield close()
-                    current, offset = number, before.get(number, 0)
+                    current, n = number, 0
                     store.create_dir(f"{root}/partition={current}", recursive=True)
-                    path = f"{root}/partition={current}/.{offset:020d}-{time.time_ns()}.tmp"
+                    path = f"{root}/partition={current}/.{place:06d}-{uuid.uuid4().hex}.tmp"
                     sink = pq.ParquetWriter(path, ARROW, filesystem=store)
-                numbers = pa.array(range(offset, offset + own.num_rows), pa.int64())
+                # Counted from the file's first message: how many are in the slices before is known when all are written.
+                numbers = pa.array(range(n, n + own.num_rows), pa.int64())
                 sink.write_batch(pa.RecordBatch.from_arrays([*own.columns, numbers], schema=ARROW))
-                offset += own.num_rows
+                n += own.num_rows
         if sink is not None:
             yield close()
-    done = stage(rows.mapInArrow(write, "partition int, head bigint"), "message-log")
-    return before | {row["partition"]: row["head"] for row in done.collect()}
+    done = stage(rows.mapInArrow(write, "partition int, slice int, n bigint, path string"), "message-log")
+    store, root = opened(folder)
+    now, ready = dict(before), []
+    for row in done.orderBy("partition", "slice").collect():
+        p, low = row["partition"], now.get(row["partition"], 0)
+        now[p] = low + row["n"]
+        ready.append((row["path"], low, f"{root}/partition={p}/{low:020d}-{now[p]:020d}.parquet"))
+    later = [(path, low) for path, low, _ in ready if low]
+
+    def renumber(part: tuple[str, int]) -> None:
+        path, offset = part
+        store, _ = opened(folder)
+        with store.open_input_file(path) as source, pq.ParquetWriter(f"{path}.{offset}", ARROW, filesystem=store) as sink:
+            for batch in pq.ParquetFile(source).iter_batches(_BATCH):
+                numbers = pa.array(range(offset, offset + batch.num_rows), pa.int64())
+                sink.write_batch(pa.RecordBatch.from_arrays([*batch.columns[:3], numbers], schema=ARROW))
+                offset += batch.num_rows
+    if later:
+        messages.sparkSession.sparkContext.parallelize(later, len(later)).foreach(renumber)
+    for path, low, name in ready:
+        store.move(f"{path}.{low}" if low else path, name)
+        if low:
+            store.delete_file(path)
+    return now
 
 
 def _by_partition(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -289,6 +289,20 @@ def test_log_keeps_keys_together_and_offsets_in_order(spark, tmp_path):
         assert stamps == sorted(stamps)
 
 
+def test_slices_of_a_partition_have_offsets_in_its_order(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    monkeypatch.setattr(offset_log, "SLICE", 10)
+    rows = spark.range(60).selectExpr("'one' AS key", "CAST(id AS STRING) AS value", "60 - id AS n").repartition(3)
+    assert list(offset_log.append(rows, path, 2, ("n",)).values()) == [60]
+    assert list(offset_log.append(rows, path, 2, ("n",)).values()) == [120]
+    (files,) = offset_log.segments(path).values()
+    assert len(files) > 6 and [a for a, _, _ in files] == [0, *[b for _, b, _ in files[:-1]]]  # one task wrote all as one file
+    found = [r for _, _, f in files for r in pq.ParquetFile(f).read().to_pylist()]
+    assert [r["offset"] for r in found] == list(range(120))
+    assert [int(r["value"]) for r in found] == [*range(59, -1, -1)] * 2
+    assert not [f for f in (tmp_path / "log").rglob("*") if "tmp" in f.name]
+
+
 def log_stream(spark, tmp_path, **options):
     read = {k: options.pop(k) for k in ("from_beginning", "max_per_batch", "min_per_batch", "max_delay_ms") if k in options}
     stream = scorer.read_messages(spark, log=str(tmp_path / "log"), position=str(tmp_path / "position.json"), **read)
