@@ -335,3 +335,32 @@ def test_svd_of_a_table_of_small_rank_drops_the_rest(spark):
     cells = [(i, j, float((i + 1) * (j + 1))) for i in range(9) for j in range(7)]
     basis, found = svd.right_vectors(spark.createDataFrame(cells, "doc_id long, idx int, w double"), 4)
     assert found == 1 and all(len(r.v) == 1 for r in basis.collect())
+
+
+def test_no_cell_is_sorted_with_a_vector(spark):
+    cells = spark.createDataFrame([(1, 0, 0.5), (1, 1, -2.0), (2, 1, 1.0)], "doc_id long, idx int, w double")
+    basis = spark.createDataFrame([(0, [1.0, 0.0, 3.0]), (1, [0.5, 1.0, 0.0])], "idx int, v array<double>")
+    found = models.project(cells, basis, 10**9)
+    assert "ObjectHashAggregate" not in found._jdf.queryExecution().executedPlan().toString()  # which sorts its rows beyond 128 keys
+    assert {r.doc_id: r.svd.toArray().tolist() for r in found.collect()} == {1: [-0.5, -2.0, 1.5], 2: [0.5, 1.0, 0.0]}
+
+
+def test_svd_product_over_many_chunks_is_the_dense_one(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 40)) * (rng.random((90, 40)) < 0.3)
+    column = [j * 1_500 for j in range(40)]  # fifteen chunks of columns
+    cells = spark.createDataFrame(
+        [(i * 7, column[j], float(x[i, j])) for i in range(90) for j in np.flatnonzero(x[i])], "doc_id long, idx int, w double")
+    blocks_, ids = svd.packed(cells, "doc_id")
+    assert ids.count() == 90 and ids.select("slab").distinct().count() == svd.SLABS
+    v = rng.normal(size=(40, 3))
+    rows = {}
+    for j in range(40):
+        rows.setdefault(column[j] // svd.CHUNK, []).append(j)
+    table = spark.createDataFrame(
+        [(c, np.array([column[j] % svd.CHUNK for j in own], np.int16).tobytes(), v[own].tobytes()) for c, own in rows.items()], svd.VECTORS)
+    got = np.zeros((40, 3))
+    for r in svd.product(blocks_, table, 3).collect():
+        for idx, value in zip(*svd._numbers(r.asDict(), 3)):
+            got[column.index(int(idx) + r.chunk * svd.CHUNK)] = value
+    assert got == pytest.approx(x.T @ (x @ v))
