@@ -364,3 +364,41 @@ def test_svd_product_over_many_chunks_is_the_dense_one(spark):
         for idx, value in zip(*svd._numbers(r.asDict(), 3)):
             got[column.index(int(idx) + r.chunk * svd.CHUNK)] = value
     assert got == pytest.approx(x.T @ (x @ v))
+
+
+@pytest.mark.parametrize("n, width", [(20, 300), (300, 20)])
+def test_svd_moves_the_shorter_side_and_projects_the_rows(spark, monkeypatch, n, width):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, width)) * (rng.random((n, width)) < 0.3)
+    cells = [(i * 3, int(j), float(x[i, j])) for i in range(n) for j in np.flatnonzero(x[i])]
+    moved = []
+    plain = svd.product
+
+    def watched(blocks_, vectors, size, *rest, **named):
+        if named.get("left", True):
+            moved.append(sum(len(r.v) for r in vectors.collect()) / 8 / size)
+        return plain(blocks_, vectors, size, *rest, **named)
+    monkeypatch.setattr(svd, "product", watched)
+    basis, rows, found = svd.decomposed(spark.createDataFrame(cells, "doc_id long, idx int, w double"), 6)
+    assert found == 6 and moved and set(moved) == {20}  # rows of the tables that every slab meets
+    v = np.zeros((width, found))
+    for row in basis.collect():
+        v[row.idx] = row.v
+    assert {r.doc_id for r in rows.collect()} == {3 * i for i in range(n)}
+    assert all(r.v == pytest.approx((x @ v)[r.doc_id // 3].tolist(), abs=1e-9) for r in rows.collect())
+
+
+def test_projection_in_blocks_is_the_plain_sum(spark):
+    rng = np.random.default_rng(9)
+    cells = spark.createDataFrame([(i, int(j) * 900, float(rng.normal())) for i in range(30) for j in rng.choice(20, 6, False)],
+                                  "doc_id long, idx int, w double")
+    basis = spark.createDataFrame([(j * 900, rng.normal(size=4).tolist()) for j in range(15)], "idx int, v array<double>")
+    plain = {r.doc_id: r.svd.toArray().tolist() for r in models.project(cells, basis, 2).collect()}
+    found = models.project(cells, basis, 10**9)
+    assert "SortMergeJoin [idx" not in found._jdf.queryExecution().executedPlan().toString()  # no cell carries a vector
+    got = {r.doc_id: r.svd.toArray().tolist() for r in found.collect()}
+    assert got.keys() == plain.keys() and all(got[i] == pytest.approx(plain[i]) for i in plain)
+
+
+def test_slabs_grow_with_the_rows(monkeypatch):
+    assert [svd.slabs_for(n) for n in (0, 1, 2_001, 10**5, 400_000, 10**6)] == [1, 1, 2, 8, 8, 20]
