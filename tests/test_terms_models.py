@@ -402,3 +402,24 @@ def test_projection_in_blocks_is_the_plain_sum(spark):
 
 def test_slabs_grow_with_the_rows(monkeypatch):
     assert [svd.slabs_for(n) for n in (0, 1, 2_001, 10**5, 400_000, 10**6)] == [1, 1, 2, 8, 8, 20]
+
+
+def test_small_sums_of_many_tasks_come_directly(spark, monkeypatch):
+    x, y = sparse_problem(seed=3)
+    data = packed(spark, x, y, True).repartition(12)
+    monkeypatch.setattr(blocks, "_add", None)  # adding up in parts would fail
+    assert blocks.total(data, linear._moments(30, 4), 35) == pytest.approx(
+        np.concatenate(((x ** 2).sum(axis=0), y.sum(axis=0), [len(x)])))
+
+
+def test_block_products_equal_the_dense_ones():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(7, 9)) * (rng.random((7, 9)) < 0.4)
+    x[2] = x[6] = 0
+    bounds = np.concatenate(([0], np.cumsum((x != 0).sum(axis=1))))
+    columns, place = np.unique(np.nonzero(x)[1], return_inverse=True)
+    block = blocks.Block(np.zeros((7, 1)), bounds, columns.astype(np.int32), place.astype(np.int32), x[x != 0])
+    right, rest, out = rng.normal(size=(9, 3)), rng.normal(size=(7, 3)), np.zeros((9, 3))
+    assert block.times(right) == pytest.approx(x @ right)
+    block.transposed_times(rest, out)
+    assert out == pytest.approx(x.T @ rest)
