@@ -423,3 +423,39 @@ def test_block_products_equal_the_dense_ones():
     assert block.times(right) == pytest.approx(x @ right)
     block.transposed_times(rest, out)
     assert out == pytest.approx(x.T @ rest)
+
+
+def test_widths_fitted_together_equal_single_fits_in_shared_passes(spark, monkeypatch):
+    x, y = sparse_problem(seed=4)
+    data = packed(spark, x, y, True)
+    passes, losses = [], linear._losses
+    monkeypatch.setattr(linear, "_losses", lambda points: passes.append(list(points)) or losses(points))
+    found = linear.fit_widths(data, [30, 3, 11, 30], y.shape[1], tolerance=1e-8)
+    assert list(found) == [30, 11, 3] and passes[0] == [30, 11, 3] and len(passes) == found[30].passes + 1 < 80
+    for width in found:
+        alone = linear.fit(packed(spark, x[:, :width], y, True), width, y.shape[1], tolerance=1e-8)
+        assert found[width].coefficients == pytest.approx(alone.coefficients, abs=1e-5)
+        assert found[width].intercepts == pytest.approx(alone.intercepts, abs=1e-5)
+    monkeypatch.setattr(linear, "NUMBERS", 20)  # groups of one or two problems
+    assert linear.fit_widths(data, [30, 11], y.shape[1], tolerance=1e-8)[11].coefficients == pytest.approx(
+        found[11].coefficients, abs=1e-5)
+
+
+def test_the_sweep_fits_all_widths_at_once(baselines, monkeypatch):
+    calls, fit = [], linear.fit_widths
+    monkeypatch.setattr(linear, "fit_widths", lambda blocks, widths, *a: calls.append(list(widths)) or fit(blocks, widths, *a))
+    rows = {r.k: r for r in baselines.sweep([60, 10, 20]).collect()}
+    assert calls == [[60, 10, 20]]
+    plain = metrics.multilabel_report(baselines.linear(20)).head()
+    assert rows[20].macro_average_precision == pytest.approx(plain.macro_average_precision, abs=1e-6)
+
+
+def test_first_columns_of_a_block():
+    x = np.array([[0.0, 1, 0, 2], [0, 0, 0, 0], [0, 0, 3, 4], [5, 0, 0, 6]])
+    bounds = np.concatenate(([0], np.cumsum((x != 0).sum(axis=1))))
+    columns, place = np.unique(np.nonzero(x)[1], return_inverse=True)
+    block = blocks.Block(np.zeros((4, 1)), bounds, columns.astype(np.int32), place.astype(np.int32), x[x != 0])
+    full = blocks.Block(np.zeros((4, 1)), *[np.zeros(0, int)] * 3, x.ravel())
+    for width in range(5):
+        for kind in (block, full):
+            assert kind.first_columns(width).times(np.eye(width)) == pytest.approx(x[:, :width])
