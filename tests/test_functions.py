@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crowdlens.functions.lists import clean_list, counted_list
 from crowdlens.functions.numeric import clip, finite_or_zero, logistic, norm_ppf
-from crowdlens.functions.text import fingerprint_text, strip_accents, text_fingerprint, word_count, word_ngrams, words
+from crowdlens.functions.text import fingerprint_text, runs_of_equals, strip_accents, text_fingerprint, word_count, word_ngrams, words
 
 
 def text(value):
@@ -84,3 +84,10 @@ def test_norm_ppf_matches_the_normal_distribution(spark):
         assert row.z == pytest.approx(NormalDist().inv_cdf(row.p), abs=1e-9)
     ends = spark.createDataFrame([(0.0,), (1.0,), (None,)], "p double").select(norm_ppf(F.col("p")).alias("z")).collect()
     assert [row.z for row in ends] == [None, None, None]
+
+
+def test_runs_of_equals_count_each_string(one):
+    values = ["b", "a", "b", "ab", "a b", "a", "b", "é"]
+    runs = one(runs_of_equals(F.array(*[F.lit(x) for x in values])))
+    assert sorted(run.split("\n") for run in runs) == sorted([x] * values.count(x) for x in set(values))
+    assert one(runs_of_equals(F.array().cast("array<string>"))) == []

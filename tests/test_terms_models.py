@@ -164,6 +164,23 @@ def test_partitions_of_tokens_follow_the_characters(spark, monkeypatch):
     assert {(r.term, r.tf) for r in tokens.collect()} == {("some", 10), ("words", 10), ("some words", 10), ("words some", 9)}
 
 
+def test_terms_are_counted_in_the_row_of_their_document(spark):
+    rows = [(1, "b a b a b"), (1, "b a"), (None, "xx yy"), (None, "xx"), (2, None), (3, "aa aab aa aab"), (4, "zz " * 100_000)]
+    docs = spark.createDataFrame([(i, t and t.replace("b a", "bb aa").replace("a b", "aa bb")) for i, t in rows], "doc_id long, text string")
+    want = {}
+    for i, t in docs.collect():
+        own = [w for w in (t or "").split() if len(w) > 1]
+        for term in own + [f"{a} {b}" for a, b in zip(own, own[1:])]:
+            want[i, term] = want.get((i, term), 0) + 1
+    found = terms.tokenise(docs)
+    got = found.collect()
+    assert {(r.doc_id, r.term): r.tf for r in got} == want and len(got) == len(want)
+    assert dict(found.dtypes)["tf"] == "bigint"
+    # No hash table of (id, term): it would hold all n-grams of a task.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[doc_id" not in plan.replace("ObjectHashAggregate", "") and "Python" not in plan
+
+
 def test_dense_features_clean_numbers(spark):
     from pyspark.ml.linalg import Vectors
 
