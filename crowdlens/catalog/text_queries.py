@@ -42,9 +42,9 @@ weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))
 
 
 def weighted(docs: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
-    tokens = terms.tokenise(docs)
-    vocabulary = terms.term_stats(tokens, MIN_DF, max_features)
-    return terms.tfidf(tokens, vocabulary, docs.count(), vocabulary_rows=max_features)
+    n_docs, chars = terms.text_size(docs)
+    vocabulary = terms.vocabulary_of(docs, MIN_DF, max_features, chars=chars)
+    return terms.tfidf(terms.tokenise(docs, chars=chars), vocabulary, n_docs, vocabulary_rows=max_features)
 
 
 @query("tokenise", f"WITH {tokens_sql('documents')} SELECT doc_id, term, tf FROM tokens")
@@ -60,7 +60,7 @@ HAVING count(*) >= {MIN_DF} ORDER BY term_count DESC, term LIMIT {MAX_FEATURES}"
 @query("term_stats_full", TERM_STATS)
 @query("term_stats", TERM_STATS)
 def term_stats(spark, sf):
-    return terms.term_stats(terms.tokenise(tables.read(spark, sf, "documents")), MIN_DF, MAX_FEATURES)
+    return terms.vocabulary_of(tables.read(spark, sf, "documents"), MIN_DF, MAX_FEATURES)
 
 
 TFIDF = f"WITH {tfidf_sql('documents')} SELECT doc_id, term, {six('w')} FROM weights"
@@ -82,9 +82,9 @@ SELECT doc_id, count(*) AS terms, round(max(w) / sqrt(sum(w * w)) + 1e-10, 6) AS
 def tfidf_unbounded(spark, sf):
     """No limit on the vocabulary: frequent terms are broadcast, the others shuffled."""
     docs = tables.read(spark, sf, "documents")
-    tokens = terms.tokenise(docs)
-    vocabulary = terms.term_stats(tokens, MIN_DF, None)
-    weights = terms.tfidf(tokens, vocabulary, docs.count(), hot_rows=200)
+    n_docs, chars = terms.text_size(docs)
+    vocabulary = terms.vocabulary_of(docs, MIN_DF, None, chars=chars)
+    weights = terms.tfidf(terms.tokenise(docs, chars=chars), vocabulary, n_docs, hot_rows=200)
     return rounded(weights.groupBy("doc_id").agg(F.count("*").alias("terms"), F.max("w").alias("top_weight")))
 
 
