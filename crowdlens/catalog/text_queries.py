@@ -84,7 +84,7 @@ def tfidf_unbounded(spark, sf):
     docs = tables.read(spark, sf, "documents")
     n_docs, chars = terms.text_size(docs)
     vocabulary = terms.vocabulary_of(docs, MIN_DF, None, chars=chars)
-    weights = terms.tfidf(terms.tokenise(docs, chars=chars), vocabulary, n_docs, hot_rows=200)
+    weights = terms.tfidf(terms.tokenise(docs, chars=chars), vocabulary, n_docs, hot_rows=200, parts=terms.text_parts(docs, chars))
     return rounded(weights.groupBy("doc_id").agg(F.count("*").alias("terms"), F.max("w").alias("top_weight")))
 
 
